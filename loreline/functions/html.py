@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loreline.functions.text import first_or_null, strip
 
@@ -54,7 +55,7 @@ def unescape(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_all(texts: pd.Series) -> pd.Series:
     """Every HTML5 entity, also those without a semicolon; one Arrow hop."""
     return texts.map(_unescape, na_action="ignore")
@@ -113,6 +114,12 @@ def _is_signature(attrs: dict) -> bool:
     return "signature" in ident or "signature" in css or "ms-outlook" in ident
 
 
+DOM_VIEW = T.StructType([
+    T.StructField("body", T.StringType()),
+    T.StructField("blocks", T.ArrayType(T.StringType())),
+])
+
+
 class _Blocks(HTMLParser):
     """Collects the body without signature elements, and the text of each block element."""
 
@@ -160,7 +167,7 @@ class _Blocks(HTMLParser):
                     slot.append(text)
 
 
-@F.pandas_udf("body string, blocks array<string>")
+@F.pandas_udf(DOM_VIEW)
 def dom_view(bodies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """H5 and the element walk of H15: struct(body without signatures, block texts).
 

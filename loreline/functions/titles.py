@@ -41,7 +41,7 @@ def looks_like_title(text: Column) -> Column:
         & ~starts_with_any(t, V.COMMENT_PREFIXES)
         & ~starts_with_any(t, V.GREETING_STARTS)
         & F.rlike(t, F.lit(r"(?U)\S+(?:\s+\S+){3}"))
-        & ~F.rlike(t, F.lit(r"(?U)[\w.+-]+@[\w-]+\."))
+        & ~F.rlike(t, F.lit(r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\."))
         & ~F.rlike(t, F.lit(r"\.(pdf|docx?|pptx?|xlsx?)$"))
         & (letters(t) >= F.length(t) * 0.4)
     )

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from loreline.functions.stopwords import ENGLISH
 from loreline.functions.text import capitalise, let, strip
 
+# Fixed value: a word of any script.
+WORD = r"[\p{L}\p{N}_]{2,}"
+
 # Vocabularies up to this size are small enough for every task to hold.
 VOCABULARY_BROADCAST_MAX = 50_000
 
@@ -20,8 +23,8 @@ def normalise_title(c: Column) -> Column:
 
 
 def tokens(c: Column, stop_words=ENGLISH) -> Column:
-    """Lower-case words of two or more word characters, stop words removed."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    """Lower-case runs of two or more letters, digits and underscores, stop words removed."""
+    words = F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
     stop = [w for w in dict.fromkeys(stop_words)]
     if not stop:
         return words
