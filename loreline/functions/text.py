@@ -119,7 +119,8 @@ def feed_description(comment: Column, journal: Column, n: int = 500) -> Column:
 
 def percent_text(x: Column) -> Column:
     """`x` as percent with two decimals; null gives an empty text."""
-    return F.coalesce(F.format_string("%.2f%%", x.cast("double") * 100), F.lit(""))
+    text = F.format_string("%.2f%%", x.cast("double") * 100)
+    return F.when(x.isNotNull(), text).otherwise(F.lit(""))
 
 
 def page_slug(path: Column, prefix: str, root: str = "README") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loreline.plans import queries_series  # noqa: F401
+from loreline.plans import queries_items, queries_series  # noqa: F401
 from loreline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

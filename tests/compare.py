@@ -61,13 +61,14 @@ if __name__ == "__main__":
     sf_dir = sys.argv[1]
     only = sys.argv[2:]
     session = build_session(
-        "compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+        "compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
         spark__driver__memory="8g", spark__driver__host="127.0.0.1",
     )
     session.sparkContext.setLogLevel("ERROR")
     con, queries, oracles = database(sf_dir), entry.queries(), entry.oracle_sql()
     failed = 0
-    for name in only or queries:
+    skip = set() if only else {"topic_growth"}
+    for name in only or [q for q in queries if queries[q] and q not in skip]:
         began = time.time()
         try:
             n, problem = compare(session, con, name, queries, oracles, sf_dir)

@@ -14,7 +14,7 @@ def spark():
         "tests",
         "local[8]",
         spark__sql__shuffle__partitions="8",
-        spark__ui__enabled="false",
+        spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
         spark__driver__memory="8g",
         spark__driver__host="127.0.0.1",
     )
