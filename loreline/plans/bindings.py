@@ -19,15 +19,11 @@ TABLES = (
 DIALECT = {
     "spark": {
         "<TS>": "timestamp_micros",
-        "<B64>": "base64",
-        "<BYTES>": "encode(text, 'UTF-8')",
-        "<SPLIT>": "split",
+        "<B64>": "replace(base64(encode(text, 'UTF-8')), concat(chr(13), chr(10)), '')",
     },
     "duck": {
         "<TS>": "make_timestamp",
-        "<B64>": "to_base64",
-        "<BYTES>": "encode(text)",
-        "<SPLIT>": "string_split",
+        "<B64>": "to_base64(encode(text))",
     },
 }
 
@@ -136,7 +132,7 @@ VIEWS = {
           CASE WHEN doc_id % 10 = 1 THEN concat('caf=C3=A9 ', replace(replace(text, '=', '=3D'), 'é', '=C3=A9'), ' soft=', chr(10), 'break')
                WHEN doc_id % 10 < 5 THEN concat('plain body ', doc_id, ' ', text, chr(10), 'From here on cut')
                WHEN doc_id % 10 < 8 THEN concat('--=_b.1', chr(10), 'Content-Type: text/html', chr(10), 'Content-Transfer-Encoding: base64',
-                 chr(10), chr(10), <B64>(<BYTES>), chr(10), '--=_b.1--')
+                 chr(10), chr(10), <B64>, chr(10), '--=_b.1--')
                ELSE concat('--=_b.1', chr(10), 'Content-Type: image/png', chr(10), chr(10), 'xx', chr(10),
                  '--=_b.1', chr(10), 'Content-Type: text/plain', chr(10), chr(10), text, chr(10), '--=_b.1--') END) AS raw
         FROM documents""",
