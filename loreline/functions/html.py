@@ -187,6 +187,10 @@ def dom_view(bodies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["body", "blocks"])
 
 
+# Marked so, the optimizer neither copies the parse nor moves filters into it.
+dom_view = dom_view.asNondeterministic()
+
+
 def strip_signature(html: Column) -> Column:
     """H5: elements whose id or class names a signature removed, with all they hold."""
     return dom_view(html)["body"]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loreline.functions.text import item_key, let
+from loreline.functions.text import item_key
 from loreline.operators.text import ngrams_1_2
 from loreline.schemas import EMBEDDING
 
@@ -24,12 +24,11 @@ MODEL_FLOATS_MAX = 50_000_000
 
 def l2_normalise(v: Column) -> Column:
     """I4: array scaled to unit length; a zero vector stays zero."""
-
-    def scale(s: Column) -> Column:
-        norm = F.sqrt(F.aggregate(s["v"], F.lit(0.0), lambda a, x: a + x * x))
-        return let(norm, lambda n: F.transform(s["v"], lambda x: F.when(n > 0, x / n).otherwise(x)))
-
-    return let(F.struct(F.transform(v, lambda x: x.cast("double")).alias("v")), scale)
+    v = F.transform(v, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    return F.zip_with(
+        v, F.array_repeat(norm, F.size(v)), lambda x, n: F.when(n > 0, x / n).otherwise(x)
+    )
 
 
 def embed(
@@ -136,7 +135,9 @@ def assign_topics(
             best = np.maximum(d[np.arange(len(at)), at], 0.0)
             yield pd.DataFrame({"topic": ids[at], "distance2": best})
 
-    found = vectors.withColumn("_hit", nearest(F.col(embedding)))
+    # Marked so, no filter on the result is moved into the scan of the vectors.
+    hit = nearest.asNondeterministic()(F.col(embedding))
+    found = vectors.withColumn("_hit", hit)
     return found.withColumn("topic", F.col("_hit.topic")).withColumn(
         "distance2", F.col("_hit.distance2")
     ).drop("_hit")

@@ -17,12 +17,6 @@ ITEM_COLUMNS = [
 
 ITEM_CSV = T.StructType(_strings(*ITEM_COLUMNS))
 
-CATALOGUE = T.StructType([
-    T.StructField("folder", T.StringType(), False),
-    T.StructField("folder_rank", T.IntegerType(), False),
-    T.StructField("path", T.StringType(), False),
-])
-
 NEWS = T.StructType([
     T.StructField("date", T.DateType()),
     *_strings("title", "description", "img", "img_alt"),

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from loreline.functions.dates import year_of
 from loreline.schemas import ITEM_COLUMNS
 
-CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "emptyValue": ""}
+CSV_OPTIONS = {
+    "header": True, "quote": '"', "escape": '"', "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 
 
 def write_items_csv(items: DataFrame, path: str, columns: list[str] = ITEM_COLUMNS) -> None:

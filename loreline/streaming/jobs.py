@@ -8,9 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loreline.functions.text import item_key
 from loreline.operators.items import carry_enrichment, dedupe_first, parse_messages, with_title_and_comment
-from loreline.sources.archives import MESSAGE_SEPARATOR
+from loreline.sources.archives import MESSAGE_SEPARATOR, message_text
 
-EXTRACTED = ["title", "url", "sender", "date", "date_parsed", "date_ts", "comment", "keywords"]
+EXTRACTED = ["title", "subject_title", "url", "sender", "date", "date_parsed", "date_ts", "comment", "keywords"]
 
 
 def ingest_archive_stream(
@@ -26,9 +26,10 @@ def ingest_archive_stream(
         .option("lineSep", MESSAGE_SEPARATOR)
         .format("text")
         .load(folder)
-        .select(F.regexp_replace("value", r"\AFrom ", "").alias("raw"))
+        .select(message_text(F.col("value")).alias("raw"))
     )
-    items = with_title_and_comment(parse_messages(raw), dom).select(*EXTRACTED)
+    parsed = parse_messages(raw).withColumn("subject_title", F.col("title"))
+    items = with_title_and_comment(parsed, dom).select(*EXTRACTED)
     return (
         items.writeStream.format("parquet")
         .option("path", sink)
