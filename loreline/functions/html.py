@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loreline.functions.text import first_or_null, strip
+from loreline.functions.text import let, strip
 
 TAG = r"<[^>]+>"
 
@@ -48,11 +48,15 @@ def _code_points(c: Column) -> Column:
 
 def unescape(c: Column) -> Column:
     """Entities to characters, in one pass: the ampersand itself comes last."""
-    out = _code_points(c)
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
+
+    def decode(t: Column) -> Column:
+        out = _code_points(t)
+        for name, char in ENTITIES.items():
+            out = F.replace(out, F.lit(name), F.lit(char))
+        out = F.replace(out, F.lit("&amp;"), F.lit("&"))
+        return F.when(F.contains(t, F.lit("&")), out).otherwise(t)
+
+    return let(c, decode)
 
 
 @F.pandas_udf(T.StringType())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loreline.functions.text import first_or_null, strip
+from loreline.functions.text import first_or_null, let, strip
 
 BLANK_LINE = r"\r?\n\r?\n"
 TAGGED_LINE = r"(?m)^Subject: \[paper\]"
@@ -104,17 +104,20 @@ def select_body(body: Column, content_type: Column, encoding: Column) -> Column:
     Of several parts the first HTML or acceptable plain one counts. Plain parts are
     refused when the body itself starts with an HTML content type.
     """
-    boundary = boundary_of(content_type, body)
     own_type = header(F.left(body, F.lit(BOUNDARY_WINDOW)), "Content-Type")
     plain_ok = ~F.contains(own_type, F.lit("text/html"))
-    chosen = first_or_null(
-        F.filter(
+
+    def multipart(boundary: Column) -> Column:
+        parts = F.filter(
             mime_parts(body, boundary),
             lambda p: F.contains(p["ctype"], F.lit("text/html"))
             | (F.contains(p["ctype"], F.lit("text/plain")) & plain_ok),
         )
-    )
-    multipart = decode_part(chosen["body"], chosen["cte"])
+        return let(first_or_null(parts), lambda p: decode_part(p["body"], p["cte"]))
+
     # One separator line that slipped in from the next message is dropped.
     single = F.array_join(F.split(decode_part(body, encoding), r"\nFrom[ -][^\n]*", 2), "\n")
-    return F.when(boundary.isNotNull(), multipart).otherwise(strip(single))
+    return let(
+        boundary_of(content_type, body),
+        lambda b: F.when(b.isNotNull(), multipart(b)).otherwise(strip(single)),
+    )

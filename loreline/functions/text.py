@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -36,8 +37,8 @@ def letters(c: Column) -> Column:
 
 
 def starts_with_any(c: Column, prefixes) -> Column:
-    """True when the text starts with one of a fixed list of prefixes."""
-    return reduce(lambda a, b: a | b, [F.startswith(c, F.lit(p)) for p in prefixes])
+    """True when the text starts with one of a fixed list of prefixes, as one match."""
+    return F.rlike(c, F.lit("^(?:" + "|".join(re.escape(p) for p in prefixes) + ")"))
 
 
 def contains_any(c: Column, parts) -> Column:

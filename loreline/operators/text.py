@@ -73,13 +73,17 @@ def term_counts(grams: Column) -> Column:
 
         return let(starts, cut)
 
-    return let(F.array_sort(grams), runs)
+    return let(F.sort_array(grams), runs)
 
 
 def doc_terms(items: DataFrame, text: Column, item_id: str, *keep: str, stop_words=ENGLISH) -> DataFrame:
-    """One row per item and term with its count in the item; narrow, no shuffle."""
+    """One row per item and term with its count in the item; narrow, no shuffle.
+
+    The outer form with a filter after it: for the inner one the optimizer tests the
+    array before it is unfolded, and so builds it twice more.
+    """
     counted = items.select(item_id, *keep, term_counts(ngrams_1_2(text, stop_words)).alias("_t"))
-    return counted.select(item_id, *keep, F.inline("_t"))
+    return counted.select(item_id, *keep, F.inline_outer("_t")).filter(F.col("term").isNotNull())
 
 
 def term_statistics(terms: DataFrame) -> DataFrame:

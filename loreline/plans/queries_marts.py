@@ -204,17 +204,17 @@ def _archive(i):
 
 
 @query("read_mail_archive", "v_messages", sql=MESSAGES + """
-SELECT folder_rank, subject, sender_field, date_field, count(*) AS messages, CAST(sum(length(replace(body, chr(10) || 'From ', chr(10) || '>From '))) AS BIGINT) AS characters FROM fields GROUP BY ALL""")
+SELECT folder_rank, subject, sender_field, date_field, count(*) AS messages, CAST(sum(length(rtrim(replace(body, chr(10) || 'From ', chr(10) || '>From '), chr(10)))) AS BIGINT) AS characters FROM fields GROUP BY ALL""")
 def read_mail_archive(i):
     from loreline.functions import mail
 
-    m = _archive(i).withColumn("m", mail.split_message(F.regexp_replace("raw", r"\n\z", ""))).select("folder_rank", "m.*")
+    m = _archive(i).withColumn("m", mail.split_message(F.col("raw"))).select("folder_rank", "m.*")
     return m.select(
         "folder_rank",
         mail.header(F.col("headers"), "Subject").alias("subject"),
         mail.header(F.col("headers"), "From").alias("sender_field"),
         mail.header(F.col("headers"), "Date").alias("date_field"),
-        F.length("body").alias("n"),
+        F.length(F.rtrim("body", F.lit("\n"))).alias("n"),
     ).groupBy("folder_rank", "subject", "sender_field", "date_field").agg(F.count(F.lit(1)).alias("messages"), F.sum("n").alias("characters"))
 
 
