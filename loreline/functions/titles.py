@@ -90,7 +90,13 @@ def comment_from_body(body: Column, title: Column, url: Column) -> Column:
             & (F.rtrim(s, F.lit("/")) != k["link"])
             & (s != k["url"]),
         )
-        lines = F.transform(lines, lambda s: strip(F.regexp_replace(s, r"(?U)https?://\S+", "")))
+        address = r"(?U)https?://\S+"
+        lines = F.transform(
+            lines,
+            lambda s: F.when(
+                F.contains(s, F.lit("://")), strip(F.regexp_replace(s, address, ""))
+            ).otherwise(s),
+        )
         return F.filter(lines, lambda s: F.length(s) >= 3)
 
     return collapse(F.array_join(let(known, kept), " "))
