@@ -61,8 +61,6 @@ def main() -> None:
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="16g",
         spark__driver__host="127.0.0.1",
-        # Small test files: splits small enough for all threads.
-        spark__sql__files__openCostInBytes="1048576",
     )
     spark.sparkContext.setLogLevel("ERROR")
     only = sys.argv[1:] or HEADLINE
