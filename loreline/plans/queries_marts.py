@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loreline.functions.dates import feed_pubdate
 from loreline.functions.text import item_key, normal_title
 from loreline.operators import items as item_ops
-from loreline.operators import marts, nested, series, vectors
+from loreline.operators import marts, nested, vectors
 from loreline.plans.extract import extract_items
 from loreline.plans.queries_items import KEY, MESSAGES, WS
 from loreline.plans.queries_text import unescape_sql
@@ -330,7 +330,7 @@ def dedupe_and_merge_stream(i):
 @query("weekly_counts_stream", sql=f"""
 SELECT strftime(date_trunc('week', ts), {CLOCK}) AS week_start, count(*) AS count FROM events GROUP BY 1""")
 def weekly_counts_stream(i):
-    """Complete weeks leave the stream once the watermark passes them; closing rows push the last ones out."""
+    """All weeks of the arriving events, the unfinished last one included."""
     e = i.table("events").select("event_id", "ts")
     source, sink, checkpoint = (scratch_path(i.spark, n) for n in ("events", "weeks", "offsets"))
     e.write.parquet(source)
