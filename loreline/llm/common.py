@@ -11,8 +11,13 @@ from loreline.session import prepare, scratch_path
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows in one Arrow batch: texts may be long, and a batch is held in memory by Python and Java.
+BATCH_ROWS = 500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

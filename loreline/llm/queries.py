@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreline.llm import exact_dedup, mixing, sentencepiece, simhash
+from loreline.llm import exact_dedup, mixing, sentencepiece, simhash, toxicity
 from loreline.llm.common import stored, table, text_or_empty, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@query()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 EXACT_SQL = """
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM (
   SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, sha256(coalesce(text, '')) AS text_sha256
@@ -47,10 +53,8 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = piece_model()
-    coded = docs.select("doc_id", sentencepiece.encode("text", model).alias("ids"))
-    read = coded.select("doc_id", "ids", sentencepiece.decode("ids", model).alias("decoded"))
-    return read.select(
+    coded = docs.select("doc_id", sentencepiece.round_trip("text", piece_model()).alias("coded"))
+    return coded.select("doc_id", "coded.*").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -8,14 +8,14 @@ from functools import lru_cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Chunks of text whose ids a worker keeps; the dictionary is emptied when full, so memory is bounded.
-CHUNKS_KEPT = 700_000
-PAIRS_KEPT = 1_000_000
+CHUNKS_KEPT = 500_000
+PAIRS_KEPT = 300_000
 #: Longer chunks are encoded each time.
 CHUNK_KEPT_CHARS = 64
 #: Chunks looked up between two checks of the dictionary's size.
@@ -196,26 +196,48 @@ def pieces(path: str) -> PieceTable:
     return PieceTable(path)
 
 
+def listed(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays], dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int32)))
+
+
+def _text(text: str | Column) -> Column:
+    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
 def encode(text: str | Column, path: str) -> Column:
     """Ids (array of int) of each text, by the model file at `path`; a null text counts as empty."""
 
-    @F.pandas_udf("array<int>")
-    def ids_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def ids_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = pieces(path)
         for batch in texts:
-            yield pd.Series([table.encode(t) for t in batch], dtype=object)
+            yield listed([table.encode(t) for t in batch.to_pylist()])
 
-    # Several columns are made from the ids; this keeps them from being computed for each.
-    return ids_of.asNondeterministic()(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    return ids_of(_text(text))
 
 
 def decode(ids: str | Column, path: str) -> Column:
     """Text of each array of ids; null for null."""
 
-    @F.pandas_udf("string")
-    def text_of(arrays: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def text_of(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = pieces(path)
         for batch in arrays:
-            yield pd.Series([None if a is None else table.decode(np.asarray(a)) for a in batch], dtype=object)
+            yield pa.array([None if a is None else table.decode(np.array(a, dtype=np.int32)) for a in batch.to_pylist()], pa.string())
 
     return text_of(F.col(ids) if isinstance(ids, str) else ids)
+
+
+def round_trip(text: str | Column, path: str) -> Column:
+    """Struct of `ids` and of the text `decoded` from them, in one pass through Python."""
+
+    @F.arrow_udf("struct<ids array<int>, decoded string>")
+    def both(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = pieces(path)
+        for batch in texts:
+            ids = [table.encode(t) for t in batch.to_pylist()]
+            yield pa.StructArray.from_arrays([listed(ids), pa.array([table.decode(x) for x in ids], pa.string())], ["ids", "decoded"])
+
+    # Several columns are made from the struct; this keeps it from being computed for each.
+    return both.asNondeterministic()(_text(text))
