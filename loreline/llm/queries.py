@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreline.llm import exact_dedup, mixing, sentencepiece, simhash, toxicity
+from loreline.llm import exact_dedup, mixing, sentencepiece, simhash, toxicity, warc
 from loreline.llm.common import stored, table, text_or_empty, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,24 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    manifest = warc.write_warc(pages, warc.archive_folder(spark))
+    read = warc.read_warc(manifest).select("page", "record_type", "payload_digest", "refers_to", F.octet_length("payload").cast("long").alias("bytes"))
+    read = stored(read, "warc-read")
+    # A revisit's payload is that of the response it names.
+    full = stored(read.where("record_type = 'response'").select(F.col("page").alias("of"), F.col("payload_digest").alias("same"), F.col("bytes").alias("full")).distinct(), "warc-full")
+    sized = read.join(full, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("same")), "left")
+    return sized.select(
+        F.col("page").try_cast("long").alias("page_id"),
+        F.coalesce("bytes", "full").alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").try_cast("long").alias("refers_to"),
+    )
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, length(coalesce(text, '')) AS n FROM documents),
