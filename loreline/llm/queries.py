@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreline.llm import exact_dedup, mixing, sentencepiece, simhash, toxicity, warc
+from loreline.llm import exact_dedup, mixing, pii, sentencepiece, simhash, toxicity, warc
 from loreline.llm.common import stored, table, text_or_empty, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "fingerprint", "component_id")
+
+
+@query()
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+
+    def count(i: int, kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(i, kind) for i, kind in enumerate(pii.KINDS)]
+    everything = F.array_sort(F.concat("base", "more"))
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(everything).alias("spans"))
