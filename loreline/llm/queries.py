@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreline.llm import exact_dedup, hnsw, mixing, pii, sentencepiece, simhash, toxicity, warc
+from loreline.llm import exact_dedup, hnsw, lm_score, mixing, pii, sentencepiece, simhash, toxicity, warc
 from loreline.llm.common import stored, table, text_or_empty, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,32 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+LM_SQL = r"""
+WITH listed AS (
+  SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+placed AS (SELECT row_no, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM listed),
+lined AS (SELECT row_no, i, w, lag(w) OVER d AS v, lag(w, 2) OVER d AS u FROM placed WINDOW d AS (PARTITION BY row_no ORDER BY i)),
+one AS (SELECT w, count(*) AS n FROM lined GROUP BY w),
+two AS (SELECT v, w, count(*) AS n FROM lined WHERE v IS NOT NULL GROUP BY v, w),
+three AS (SELECT u, v, w, count(*) AS n FROM lined WHERE u IS NOT NULL GROUP BY u, v, w),
+scored AS (
+  SELECT l.row_no, CASE
+    WHEN l.u IS NOT NULL AND t3.n >= 2 THEN ln(t3.n / c3.n)
+    WHEN l.v IS NOT NULL AND t2.n >= 2 THEN ln(t2.n / c2.n) + CASE WHEN l.u IS NULL THEN 0 ELSE ln(0.4::DOUBLE) END
+    ELSE ln(t1.n / (SELECT count(*) FROM lined)) + CASE WHEN l.v IS NULL THEN 0 WHEN l.u IS NULL THEN ln(0.4::DOUBLE) ELSE 2 * ln(0.4::DOUBLE) END END AS s
+  FROM lined l JOIN one t1 ON l.w = t1.w LEFT JOIN two t2 ON l.v = t2.v AND l.w = t2.w LEFT JOIN one c2 ON l.v = c2.w
+    LEFT JOIN three t3 ON l.u = t3.u AND l.v = t3.v AND l.w = t3.w LEFT JOIN two c3 ON l.u = c3.v AND l.v = c3.w)
+SELECT any_value(d.doc_id) AS doc_id, count(s.s) AS n_words, round(coalesce(sum(s.s), 0), 4) + 0.0 AS score
+FROM listed d LEFT JOIN scored s ON d.row_no = s.row_no GROUP BY d.row_no
+"""
+
+
+@query(LM_SQL)
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.lm_scores(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", (F.round("score", 4) + F.lit(0.0)).alias("score"))
+
+
 @query()
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
