@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreline.llm import exact_dedup, hnsw, lm_score, mixing, pii, sentencepiece, simhash, toxicity, warc
+from loreline.llm import exact_dedup, hnsw, licenses, lm_score, mixing, pii, sentencepiece, simhash, toxicity, warc
 from loreline.llm.common import stored, table, text_or_empty, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,6 +150,57 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def licence_sql() -> str:
+    """The scan in SQL; templates are given as rows."""
+    rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.TEMPLATES)
+    return rf"""
+WITH templates AS (SELECT licence, list_distinct(regexp_extract_all(lower(t), '[a-z0-9]+(?:\.[0-9]+)*')) AS ts FROM (VALUES {rows}) AS v(licence, t)),
+files AS (
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text,
+    source || '/' || (doc_id // 1000) || '/' || (doc_id // 50) || CASE WHEN doc_id % 10 = 0 THEN '/LICENSE' ELSE '/' || doc_id || '.txt' END AS path
+  FROM documents),
+terms AS (SELECT DISTINCT unnest(ts) AS t FROM templates),
+docterms AS (SELECT row_no, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+(?:\.[0-9]+)*'))) AS t FROM files),
+total AS (SELECT count(*) AS n FROM files),
+idf AS (SELECT t, ln((n + 1) / (count(row_no) + 1)) + 1 AS w FROM terms LEFT JOIN docterms USING (t), total GROUP BY t, n),
+passages AS (
+  SELECT row_no, pno, list_distinct(regexp_extract_all(p, '[a-z0-9]+(?:\.[0-9]+)*')) AS ts FROM (
+    SELECT row_no, generate_subscripts(ps, 1) AS pno, lower(unnest(ps)) AS p FROM (
+      SELECT row_no, regexp_split_to_array(text, '[.!?;]+[ 	
+]+|[
+]+') AS ps FROM files))
+  WHERE regexp_matches(p, '{licenses.CUES}')),
+long AS (SELECT row_no, pno, unnest(ts) AS t FROM passages),
+norms AS (
+  SELECT row_no, pno, sqrt(sum(coalesce(w * w, (ln(n + 1) + 1) * (ln(n + 1) + 1)))) AS norm FROM long LEFT JOIN idf USING (t), total GROUP BY row_no, pno),
+tlong AS (SELECT row_number() OVER () AS tno, licence, ts FROM templates),
+tterms AS (SELECT tno, licence, unnest(ts) AS t FROM tlong),
+tnorms AS (SELECT tno, sqrt(sum(w * w)) AS norm FROM tterms JOIN idf USING (t) GROUP BY tno),
+dots AS (SELECT row_no, pno, tno, licence, sum(w * w) AS dot FROM long JOIN tterms USING (t) JOIN idf USING (t) GROUP BY row_no, pno, tno, licence),
+cosines AS (SELECT d.row_no, licence, round(dot / (n.norm * m.norm), 6) AS score FROM dots d JOIN norms n ON d.row_no = n.row_no AND d.pno = n.pno JOIN tnorms m USING (tno)),
+own AS (SELECT row_no, licence, score FROM cosines WHERE score >= 0.8 QUALIFY row_number() OVER (PARTITION BY row_no ORDER BY score DESC, licence) = 1),
+placed AS (
+  SELECT f.row_no, doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS folder, regexp_matches(path, '/LICENSE$') AS is_file, licence, score
+  FROM files f LEFT JOIN own o ON f.row_no = o.row_no),
+granted AS (SELECT folder AS above, licence, score FROM placed WHERE is_file AND licence IS NOT NULL QUALIFY row_number() OVER (PARTITION BY folder ORDER BY score DESC, licence) = 1),
+inherited AS (
+  SELECT f.folder, g.licence, g.score FROM (SELECT DISTINCT folder FROM placed) f JOIN granted g ON f.folder = g.above OR starts_with(f.folder, g.above || '/')
+  QUALIFY row_number() OVER (PARTITION BY f.folder ORDER BY length(g.above) DESC) = 1)
+SELECT doc_id, path, coalesce(p.licence, i.licence) AS licence, coalesce(p.score, i.score) AS score,
+  CASE WHEN p.licence IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END WHEN i.licence IS NOT NULL THEN 'inherited' END AS origin
+FROM placed p LEFT JOIN inherited i ON p.folder = i.folder
+"""
+
+
+@query(licence_sql())
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The table has no paths: a document's source is a repository, its number gives directory and file.
+    name = F.when(F.col("doc_id") % 10 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    folder = [F.floor(F.col("doc_id") / n).cast("string") for n in (1000, 50)]
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", "source", *folder, name))
+    return licenses.license_scan(docs)
+
+
 @query()
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
