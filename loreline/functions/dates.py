@@ -101,3 +101,11 @@ def week_grid(lo: Column, hi: Column) -> Column:
 def feed_pubdate(ts: Column) -> Column:
     """Mail style date text; null stays null."""
     return F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss Z")
+
+
+def feed_pubdate_text(text: Column) -> Column:
+    """Mail style date text of an ISO date text, at the text's own offset; UTC where it has none."""
+    zone = r"(?<=[0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,9})?)?)[ ]?(?:Z|([+-][0-9]{2}):?([0-9]{2}))$"
+    offset = F.concat(F.regexp_extract(text, zone, 1), F.regexp_extract(text, zone, 2))
+    local = F.date_format(F.try_to_timestamp(F.regexp_replace(text, zone, "")), "EEE, dd MMM yyyy HH:mm:ss ")
+    return F.concat(local, F.when(offset != "", offset).otherwise(F.lit("+0000")))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from html import unescape as _unescape
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,54 +16,75 @@ from loreline.functions.text import let, strip
 
 TAG = r"<[^>]+>"
 
-# Named entities decoded natively; `unescape_all` knows the full set.
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\xa0",
-    "&copy;": "©", "&reg;": "®", "&middot;": "·", "&bull;": "•", "&hellip;": "…",
-    "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’",
-    "&ldquo;": "“", "&rdquo;": "”", "&laquo;": "«", "&raquo;": "»",
-    "&deg;": "°", "&plusmn;": "±", "&times;": "×", "&micro;": "µ", "&euro;": "€",
-    "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&szlig;": "ß", "&eacute;": "é",
-    "&egrave;": "è", "&agrave;": "à", "&ccedil;": "ç", "&ntilde;": "ñ",
-}
-
-
-def _code_points(c: Column) -> Column:
-    """Decimal and hexadecimal character references, by pieces between `&#`."""
-    pieces = F.split(c, "&#")
-
-    def piece(p: Column, i: Column) -> Column:
-        decimal = F.regexp_extract(p, r"^(\d{1,7});", 1)
-        hexa = F.regexp_extract(p, r"^[xX]([0-9A-Fa-f]{1,6});", 1)
-        code = F.when(decimal != "", F.conv(decimal, 10, 16)).when(hexa != "", hexa)
-        char = F.make_valid_utf8(
-            F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32").cast("string")
+# What the HTML standard makes of character references, by rule from the standard library's table:
+# names with and without semicolon, the old Windows characters, and numbers that name nothing.
+NAMED = {name: char for name, char in html5.items()}
+OPEN_NAMES = {name: char for name, char in html5.items() if not name.endswith(";")}
+OPEN_LENGTHS = sorted({len(n) for n in OPEN_NAMES}, reverse=True)
+WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)} | {0: "\ufffd", 0x0D: "\r"}
+
+
+def _table(pairs: dict) -> Column:
+    """A constant map, folded once when the plan is made."""
+    return F.from_json(F.lit(json.dumps({str(k): v for k, v in pairs.items()})), T.MapType(T.StringType(), T.StringType()))
+
+
+def _number(p: Column) -> Column:
+    """The character of a numeric reference at the start of a piece, with what follows it; null if there is none."""
+    decimal = F.regexp_extract(p, "^#0*([0-9]+)", 1)
+    hexa = F.regexp_extract(p, "^#[xX]0*([0-9a-fA-F]+)", 1)
+    # Numbers too long for any character are read as the first one past the last.
+    beyond = F.lit("110000")
+    digits = F.when(decimal != "", F.when(F.length(decimal) > 9, beyond).otherwise(F.conv(F.left(decimal, F.lit(9)), 10, 16))).when(
+        hexa != "", F.when(F.length(hexa) > 6, beyond).otherwise(F.upper(F.left(hexa, F.lit(6))))
+    )
+    rest = F.regexp_replace(p, "^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", "")
+
+    def char(h: Column) -> Column:
+        code = F.when(F.length(h) <= 6, F.conv(h, 16, 10).cast("int")).otherwise(0x110000)
+        nothing = (
+            code.between(1, 8) | (code == 11) | code.between(14, 31) | code.between(127, 159)
+            | code.between(0xFDD0, 0xFDEF) | ((code % 65536) >= 65534)
         )
-        rest = F.regexp_replace(p, r"^[xX]?[0-9A-Fa-f]+;", "")
-        return F.when(i == 0, p).when(code.isNotNull(), F.concat(char, rest)).otherwise(
-            F.concat(F.lit("&#"), p)
+        made = F.make_valid_utf8(F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32").cast("string"))
+        return (
+            F.try_element_at(_table(WINDOWS), code.cast("string")),
+            F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd")).when(nothing, F.lit("")).otherwise(made),
         )
 
-    return F.when(F.contains(c, F.lit("&#")), F.array_join(F.transform(pieces, piece), "")).otherwise(c)
+    return let(digits, lambda h: F.when(h.isNotNull(), F.concat(F.coalesce(*char(h)), rest)))
+
+
+def _name(p: Column) -> Column:
+    """The characters of a named reference at the start of a piece, with what follows it; null if there is none."""
+    name = F.regexp_extract(p, "^[^\\t\\n\\f <&#;]{1,32};?", 0)
+
+    def look(n: Column) -> Column:
+        whole = F.concat(F.try_element_at(_table(NAMED), n), F.substr(p, F.length(n) + 1))
+        begun = [
+            F.when(F.length(n) > size, F.concat(F.try_element_at(_table(OPEN_NAMES), F.left(n, F.lit(size))), F.substr(p, F.lit(size + 1))))
+            for size in OPEN_LENGTHS
+        ]
+        return F.coalesce(whole, *begun)
+
+    return let(name, look)
 
 
 def unescape(c: Column) -> Column:
-    """Entities to characters, in one pass: the ampersand itself comes last."""
+    """Character references to characters, each once, as the HTML standard reads them.
 
-    def decode(t: Column) -> Column:
-        out = _code_points(t)
-        for name, char in ENTITIES.items():
-            out = F.replace(out, F.lit(name), F.lit(char))
-        out = F.replace(out, F.lit("&amp;"), F.lit("&"))
-        return F.when(F.contains(t, F.lit("&")), out).otherwise(t)
+    The text is cut at its ampersands and each piece is read from its start, so a
+    decoded ampersand is never read again.
+    """
 
-    return let(c, decode)
+    def decode(t: Column) -> Column:
+        def piece(p: Column, i: Column) -> Column:
+            read = F.when(F.startswith(p, F.lit("#")), _number(p)).otherwise(_name(p))
+            return F.when(i == 0, p).otherwise(F.coalesce(read, F.concat(F.lit("&"), p)))
 
+        return F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, "&"), piece), "")).otherwise(t)
 
-@F.pandas_udf(T.StringType())
-def unescape_all(texts: pd.Series) -> pd.Series:
-    """Every HTML5 entity, also those without a semicolon; one Arrow hop."""
-    return texts.map(_unescape, na_action="ignore")
+    return let(c, decode)
 
 
 def strip_style_script(html: Column) -> Column:

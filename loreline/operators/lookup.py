@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loreline.functions.text import first_or_null
-
-# More rules than this are not put into one array literal.
-ARRAY_RULES_MAX = 2000
+# Characters of the piece a rule is found by.
+RULE_GRAM = 4
 
 
 def asof_locate(
@@ -70,49 +68,38 @@ def match_first_rule(
 ) -> DataFrame:
     """C11: value of the rule with the lowest `ord` whose `segment` occurs in the text.
 
-    A small rule table becomes one array that every row scans, without a join. A
-    large one is joined by equality on the first characters of its segments, at
-    every place of the text, and the hits are reduced by rule order.
+    Each rule is filed under the piece of `RULE_GRAM` characters of its segment that
+    the fewest rules have, a shorter one under itself; the pieces of each distinct
+    text meet them by equality, and hits are reduced per text. So ids may repeat,
+    pieces that many rules share pair with nothing else, and rules may be many. A
+    null text matches nothing; an empty segment matches every other text.
     """
-    n = rules.count()
-    if n == 0:
-        return items.withColumn(out, F.lit(None).cast("string"))
-    if n <= ARRAY_RULES_MAX:
-        table = rules.agg(
-            F.array_sort(F.collect_list(F.struct("ord", "segment", "value"))).alias("t")
-        ).scalar()
-        hit = first_or_null(
-            F.filter(F.col("_rules"), lambda r: F.contains(F.col(text), r["segment"]))
-        )
-        return items.withColumn("_rules", table).withColumn(out, hit["value"]).drop("_rules")
-    return match_first_rule_by_stem(items, rules, text, item_id, out)
-
-
-def match_first_rule_by_stem(
-    items: DataFrame, rules: DataFrame, text: str, item_id: str, out: str = "match"
-) -> DataFrame:
-    """The join form of C11, for rule tables of any size."""
-    real = rules.filter(F.length("segment") > 0)
-    q = real.agg(F.min(F.length("segment"))).first()[0] or 1
-    stems = real.withColumn("_stem", F.left("segment", F.lit(q)))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - q + 1, F.lit(1)))
-    places = items.select(
-        item_id,
-        F.col(text).alias("_text"),
-        F.explode(
-            F.array_distinct(F.transform(starts, lambda i: F.substr(F.col(text), i, F.lit(q))))
-        ).alias("_stem"),
+    q = RULE_GRAM
+    starts = F.sequence(F.lit(1), F.greatest(F.length("segment") - q + 1, F.lit(1)))
+    pieces = rules.filter(F.length("segment") > 0).select(
+        "ord", "segment", "value",
+        F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("segment"), i, F.lit(q))))).alias("_piece"),
+    )
+    shared = pieces.groupBy("_piece").agg(F.count(F.lit(1)).alias("_rules"))
+    filed = (
+        pieces.join(shared, "_piece")
+        .groupBy("ord", "segment", "value")
+        .agg(F.min(F.struct("_rules", "_piece"))["_piece"].alias("_piece"))
+    )
+    texts = items.select(F.col(text).alias("_text")).filter(F.col("_text").isNotNull()).distinct()
+    place = F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1)))
+    grams = F.array_distinct(
+        F.flatten(F.transform(place, lambda i: F.array(*[F.substr(F.col("_text"), i, F.lit(n)) for n in range(1, q + 1)])))
     )
-    hits = places.join(stems, "_stem").filter(F.contains("_text", F.col("segment")))
-    always = rules.filter(F.length("segment") == 0).agg(
-        F.min(F.struct("ord", "value")).alias("r")
-    ).scalar()
-    best = hits.groupBy(item_id).agg(F.min(F.struct("ord", "value")).alias("_best"))
+    hits = texts.select("_text", F.explode(grams).alias("_piece")).join(filed, "_piece")
+    hits = hits.filter(F.contains("_text", F.col("segment")))
+    best = hits.groupBy("_text").agg(F.min(F.struct("ord", "value")).alias("_best"))
+    always = rules.filter(F.length("segment") == 0).agg(F.min(F.struct("ord", "value")).alias("r")).scalar()
     return (
-        items.join(best, item_id, "left")
-        .withColumn("_always", always)
+        items.join(best, F.col(text) == F.col("_text"), "left")
+        .withColumn("_always", F.when(F.col(text).isNotNull(), always))
         .withColumn(out, F.least("_best", "_always")["value"])
-        .drop("_best", "_always")
+        .drop("_best", "_always", "_text")
     )
 
 
@@ -145,15 +132,18 @@ def filter_standalone(
 
 
 def page_key(path: Column, registered: Column, manual: str) -> Column:
-    """Key of a page: the registry, then posts (`p/<slug>/<file>`), then the manual."""
-    folders = F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
-    post = F.concat(F.lit("post:"), F.split_part(path, F.lit("/"), F.lit(2)))
-    slug = F.replace(F.replace(path, F.lit(manual.split("-")[-1] + "/"), F.lit("")), F.lit("/index.html"), F.lit(""))
-    slug = F.replace(slug, F.lit(manual.split("-")[0] + "-"), F.lit(""))
+    """Key of a page: its registered one, else `post:<slug>` of `p/<slug>/<file>`, else `<manual>:<place>`.
+
+    The place of a manual page is its path below the manual, without the index file;
+    the first page of the manual is `index`.
+    """
+    post = F.regexp_extract(path, "^p/([^/]*)/[^/]*$", 1)
+    below = F.regexp_extract(path, f"^{manual}/(.*?)/?(?:index\\.html)?$", 1)
+    place = F.when(below == "", F.lit("index")).otherwise(below)
     return (
         F.when(registered.isNotNull(), registered)
-        .when(F.startswith(path, F.lit("p/")) & (folders == 2), post)
-        .when(F.startswith(path, F.lit(manual + "/")), F.concat(F.lit(manual + ":"), slug))
+        .when(F.rlike(path, F.lit("^p/[^/]*/[^/]*$")), F.concat(F.lit("post:"), post))
+        .when(F.startswith(path, F.lit(manual + "/")), F.concat(F.lit(manual + ":"), place))
     )
 
 
@@ -189,11 +179,14 @@ def union_inventory(pages: DataFrame, feeds: DataFrame) -> DataFrame:
 
 
 def latest_by_key(commits: DataFrame, key: str = "key", group: str = "group", ts: str = "ts") -> DataFrame:
-    """Newest change of every key and of every group, in one aggregate.
+    """Newest change of every key and of every group.
 
-    Columns: key, group, lastmod. The row of a group has no key.
+    Columns: key, group, level ('key' or 'group'), lastmod. The row of a group has
+    no key; `level` tells it from a key that is null. Groups come from the maxima of
+    their keys, so the changes themselves are aggregated once.
     """
-    return (
-        commits.groupingSets([[F.col(key), F.col(group)], [F.col(group)]], key, group)
-        .agg(F.max(ts).alias("lastmod"))
-    )
+    keys = commits.groupBy(F.col(key), F.col(group)).agg(F.max(ts).alias("lastmod"))
+    groups = keys.groupBy(group).agg(F.max("lastmod").alias("lastmod"))
+    whole = groups.withColumn(key, F.lit(None).cast(commits.schema[key].dataType))
+    order = [key, group, "level", "lastmod"]
+    return keys.withColumn("level", F.lit("key")).select(*order).unionByName(whole.withColumn("level", F.lit("group")).select(*order))

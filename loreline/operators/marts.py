@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loreline.functions import fixed_values as V
-from loreline.functions.dates import feed_pubdate, year_of
+from loreline.functions.dates import feed_pubdate, feed_pubdate_text, year_of
 from loreline.functions.html import text_summary
 from loreline.functions.text import feed_description, feed_guid, news_guid, percent_text
 from loreline.operators.lookup import attach_label
@@ -135,8 +135,8 @@ def topic_report(items: DataFrame, growth: DataFrame, labels: DataFrame) -> Data
 
 
 def topic_items(items: DataFrame, topics: DataFrame, labels: DataFrame, coords: DataFrame, item_id: str = "item_id") -> DataFrame:
-    """One row per item with topic, label and place on the map."""
-    joined = items.join(topics.select(item_id, "topic"), item_id).join(coords, item_id)
+    """One row per item with topic, label and place on the map, null where it has none."""
+    joined = items.join(topics.select(item_id, "topic"), item_id, "left").join(coords, item_id, "left")
     return attach_label(joined, labels)
 
 
@@ -149,7 +149,7 @@ def item_feed(items: DataFrame, link_default: str, n: int = 100, item_id: str =
         F.coalesce("url", F.lit(link_default)).alias("link"),
         feed_guid(F.col("url"), F.col("doi"), F.col("title")).alias("guid"),
         F.nullif("from_name", F.lit("")).alias("author"),
-        feed_pubdate(F.try_to_timestamp("date_parsed")).alias("pubDate"),
+        feed_pubdate_text(F.col("date_parsed").cast("string")).alias("pubDate"),
         feed_description(F.col("comment"), F.col("journal")).alias("description"),
     )
 

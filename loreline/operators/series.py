@@ -28,29 +28,34 @@ def densify(counts: DataFrame, grid: Column, key: str, by: str, make_key) -> Dat
     return dense.select(key, "date", by, "x", count.alias("count"))
 
 
-def calendar(items: DataFrame, ts: str = "ts", complete: bool = False) -> Column:
-    """Month grid and last time of all items as one scalar, from a scan of that column alone."""
-    return items.agg(
-        F.struct(
-            month_grid(F.min(ts), F.max(ts), complete).alias("grid"), F.max(ts).alias("last")
-        )
+def month_cells(items: DataFrame, topic: str = "topic", ts: str = "ts") -> DataFrame:
+    """Items per month and topic with their first and last time; items without a time are in no month."""
+    keyed = items.filter(F.col(ts).isNotNull()).select(
+        F.col(topic).cast("int").alias("topic"), month_key(F.col(ts)).alias("year_month"), F.col(ts).alias("_ts")
+    )
+    return keyed.groupBy("year_month", "topic").agg(
+        F.count(F.lit(1)).alias("count"), F.min("_ts").alias("lo"), F.max("_ts").alias("hi")
+    )
+
+
+def calendar(items: DataFrame, topic: str = "topic", ts: str = "ts", complete: bool = False) -> Column:
+    """Month grid and last time of all items as one scalar.
+
+    It comes out of the month cells, so that Spark reuses their shuffle where the
+    counts are needed too, and items are read once.
+    """
+    cells = month_cells(items, topic, ts)
+    return cells.agg(
+        F.struct(month_grid(F.min("lo"), F.max("hi"), complete).alias("grid"), F.max("hi").alias("last"))
     ).scalar()
 
 
 def month_topic_counts(items: DataFrame, topic: str = "topic", ts: str = "ts") -> DataFrame:
-    """Items per month and topic, and per month in total as topic -1, in one pass."""
-    keyed = items.select(F.col(topic).cast("int").alias("_t"), month_key(F.col(ts)).alias("year_month"))
-    total = F.grouping("_t") == 1
-    return (
-        keyed.groupingSets([["year_month"], ["year_month", "_t"]], "year_month", "_t")
-        .agg(
-            F.count(F.lit(1)).alias("count"),
-            F.when(total, F.lit(V.NOISE_TOPIC)).otherwise(F.col("_t")).alias("topic"),
-            F.grouping("_t").alias("is_total"),
-        )
-        .filter((F.col("is_total") == 1) | (F.col("topic") != V.NOISE_TOPIC))
-        .select("year_month", "topic", "count")
-    )
+    """Items per month and topic, and per month in total as topic -1."""
+    cells = month_cells(items, topic, ts)
+    total = cells.groupBy("year_month").agg(F.lit(V.NOISE_TOPIC).alias("topic"), F.sum("count").alias("count"))
+    own = cells.filter(F.col("topic") != V.NOISE_TOPIC).select("year_month", "topic", "count")
+    return total.unionByName(own)
 
 
 def monthly_counts(
@@ -60,10 +65,10 @@ def monthly_counts(
 
     The grid runs from the first to the last item; a partial first month is not in
     it (unless `complete`). `x` is the place in the series. Everything after the
-    first aggregate is months x topics.
+    first aggregate is months x topics. Items without a time are left out.
     """
     counts = month_topic_counts(items, topic, ts)
-    grid = calendar(items, ts, complete)["grid"]
+    grid = calendar(items, topic, ts, complete)["grid"]
     return densify(counts, grid, "year_month", "topic", month_key)
 
 
@@ -84,9 +89,9 @@ def weekly_counts(items: DataFrame, ts: str = "ts") -> DataFrame:
     """Items per Monday-based week of the year over the grid of Mondays.
 
     Days before the first Monday of a year belong to week 00, which has no Monday
-    and so no row.
+    and so no row. Items without a time are in no week.
     """
-    counts = items.groupBy(week_key(F.col(ts)).alias("year_week")).agg(
+    counts = items.filter(F.col(ts).isNotNull()).groupBy(week_key(F.col(ts)).alias("year_week")).agg(
         F.count(F.lit(1)).alias("count"), F.min(ts).alias("lo"), F.max(ts).alias("hi")
     )
     # One map as long as the calendar; the span comes out of the same pass.
@@ -220,7 +225,7 @@ def flag_hot_cold(growth: DataFrame) -> DataFrame:
 def topic_growth(items: DataFrame, topic: str = "topic", ts: str = "ts") -> DataFrame:
     """D13, B11 and I12 from items: the growth report; empty when no topic survives."""
     trends = topic_trends(items, topic, ts)
-    last_item = calendar(items, ts)["last"]
+    last_item = calendar(items, topic, ts)["last"]
     return flag_hot_cold(significant_or_all(growth_table(trends, last_item)))
 
 

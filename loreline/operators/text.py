@@ -12,9 +12,6 @@ from loreline.functions.text import capitalise, let, strip
 # Fixed value: a word of any script.
 WORD = r"[\p{L}\p{N}_]{2,}"
 
-# Vocabularies up to this size are applied inside the row; longer ones are joined.
-VOCABULARY_LITERAL_MAX = 2_000
-
 
 def normalise_title(c: Column) -> Column:
     """Lower case, anything but a-z, 0-9 and white space to a blank, runs collapsed."""
@@ -125,46 +122,21 @@ def tfidf(
     """Weight of every kept term of every item, items scaled to unit length.
 
     weight = tf * (ln((1 + n) / (1 + df)) + 1), n counting items without terms too.
-    A short vocabulary is fitted first and then applied inside each row, so weighting
-    moves no rows at all. A long one, or all terms, is joined by shuffle.
+    Terms meet the vocabulary by a join, which Spark broadcasts while it is short.
     """
     n_items = items.agg(F.count(F.lit(1))).scalar()
     terms = doc_terms(items, text, item_id, *keep, stop_words=stop_words)
     vocabulary = top_vocabulary(term_statistics(terms), k, n_items, min_df, max_df)
     idf = F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + 1.0
     model = vocabulary.withColumn("_n", n_items).select("term", idf.alias("idf"))
-    if k is not None and k <= VOCABULARY_LITERAL_MAX:
-        grams = ngrams_1_2(text, stop_words)
-        return _weigh_in_row(items, grams, item_id, keep, {r["term"]: r["idf"] for r in model.collect()})
-    raw = terms.join(model, "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    # One row per distinct term of an item stands in its window.
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(item_id)))
+    rows = items.withColumn("_row", F.monotonically_increasing_id())
+    own = doc_terms(rows, text, item_id, "_row", *keep, stop_words=stop_words)
+    raw = own.join(model, "term").withColumn("_w", F.col("tf") * F.col("idf"))
+    # The row key is made inside, as ids may repeat; one row per distinct term of an item stands in its window.
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy("_row")))
     return raw.select(item_id, *keep, "term", "tf", (F.col("_w") / norm).alias("weight"))
 
 
-def _weigh_in_row(items: DataFrame, grams: Column, item_id: str, keep, model: dict) -> DataFrame:
-    """Weights by a vocabulary that is part of the expression."""
-    table = F.map_from_arrays(F.lit(list(model)), F.lit(list(model.values()))) if model else None
-    kept = F.filter(grams, lambda g: g.isin(*model)) if model else F.array().cast("array<string>")
-
-    def weigh(t: Column) -> Column:
-        w = t["tf"] * F.try_element_at(table, t["term"]) if model else F.lit(0.0)
-        return F.struct(t["term"].alias("term"), t["tf"].alias("tf"), w.alias("w"))
-
-    def scale(ws: Column) -> Column:
-        norm = F.sqrt(F.aggregate(ws, F.lit(0.0), lambda a, t: a + t["w"] * t["w"]))
-        return let(
-            norm,
-            lambda n: F.transform(
-                ws, lambda t: F.struct(t["term"].alias("term"), t["tf"].alias("tf"), (t["w"] / n).alias("weight"))
-            ),
-        )
-
-    weighted = let(F.transform(term_counts(kept), weigh), scale)
-    rows = items.select(item_id, *keep, weighted.alias("_t"))
-    return rows.select(item_id, *keep, F.inline_outer("_t")).filter(F.col("term").isNotNull())
-
-
 def cluster_centroids(weights: DataFrame, sizes: DataFrame, topic: str = "topic") -> DataFrame:
     """Mean weight of every term over all items of a topic.
 

@@ -10,16 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreline.session import prepare
-from loreline.sources.tables import spread_small
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
-# Tables whose rows are costly to work on, with their unique key.
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
-
 DIALECT = {
     "spark": {
         "<TS>": "timestamp_micros",
@@ -54,7 +50,7 @@ VIEWS = {
         SELECT doc_id AS item_id,
           CASE WHEN doc_id % 23 = 0 THEN -1 ELSE (doc_id * 7) % 6 END AS topic,
           CASE WHEN doc_id % 23 = 0 THEN NULL ELSE concat('label ', (doc_id * 7) % 6) END AS topic_label,
-          <TS>(1663565400000000 + ((doc_id * 37) % 1400) * 86400000000) AS ts
+          CASE WHEN doc_id % 31 = 0 THEN NULL ELSE <TS>(1663565400000000 + ((doc_id * 37) % 1400) * 86400000000) END AS ts
         FROM documents""",
     "v_urls": """
         SELECT page_id, CASE page_id % 26
@@ -164,8 +160,6 @@ class Inputs:
 
     def table(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        if name in TEXT_KEYS:
-            df = spread_small(df, TEXT_KEYS[name])
         zoneless = [c for c, t in df.dtypes if t == "timestamp_ntz"]
         return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 

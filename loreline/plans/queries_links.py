@@ -185,7 +185,7 @@ def match_first_rule(i):
 @query("match_first_rule_by_stem", "v_urls", sql=FIRST_RULE)
 def match_first_rule_by_stem(i):
     v = i.view("v_urls").withColumn("path", F.lower("url"))
-    return lookup.match_first_rule_by_stem(v, _rules(i), "path", "page_id").select("page_id", "match")
+    return lookup.match_first_rule(v, _rules(i), "path", "page_id").select("page_id", "match")
 
 
 @query("feed_guid", "v_urls", sql=PLACES + """
@@ -285,21 +285,22 @@ def merge_right_wins(i):
 
 
 @query("latest_by_key", sql="""
-SELECT user_id AS key, event_type AS "group", strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS lastmod FROM events GROUP BY ALL
-UNION ALL SELECT NULL, event_type, strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM events GROUP BY ALL""")
+SELECT CASE WHEN user_id % 11 = 0 THEN NULL ELSE user_id END AS key, event_type AS "group", 'key' AS level, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS lastmod
+FROM events GROUP BY ALL
+UNION ALL SELECT NULL, event_type, 'group', strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM events GROUP BY ALL""")
 def latest_by_key(i):
-    e = i.table("events").select(F.col("user_id").alias("key"), F.col("event_type").alias("group"), "ts")
-    return lookup.latest_by_key(e).select("key", "group", clock("lastmod").alias("lastmod"))
+    e = i.table("events").select(F.expr("CASE WHEN user_id % 11 = 0 THEN NULL ELSE user_id END").alias("key"), F.col("event_type").alias("group"), "ts")
+    return lookup.latest_by_key(e).select("key", "group", "level", clock("lastmod").alias("lastmod"))
 
 
 @query("asof_locate", sql="""
 , b AS (SELECT user_id, ts, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_id
   FROM events WHERE event_type = 'signup')
 SELECT p.event_id, b.event_id AS start_id, b.next_id AS end_id
-FROM (SELECT * FROM events WHERE event_type = 'error') p ASOF JOIN b ON p.user_id = b.user_id AND p.ts >= b.ts""")
+FROM (SELECT * FROM events WHERE event_type <> 'signup') p ASOF JOIN b ON p.user_id = b.user_id AND p.ts >= b.ts""")
 def asof_locate(i):
     e = i.table("events").select("user_id", "ts", "event_id", "event_type")
-    points = e.filter("event_type = 'error'").drop("event_type")
+    points = e.filter("event_type <> 'signup'").drop("event_type")
     bounds = e.filter("event_type = 'signup'").drop("event_type")
     found = lookup.asof_locate(points, bounds, ["user_id"], ["ts", "event_id"], F.to_date("ts"))
     return found.select("event_id", F.col("start.event_id").alias("start_id"), F.col("end.event_id").alias("end_id"))

@@ -16,8 +16,16 @@ STRIPPED = "regexp_replace(regexp_replace({}, '(?is)<style[^>]*>.*?</style>', ''
 WS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160)"
 
 
+# The references that stand in the tables, for the SQL check.
+SHOWN = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\xa0",
+    "&copy;": "©", "&reg;": "®", "&middot;": "·", "&bull;": "•", "&hellip;": "…",
+    "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”",
+}
+
+
 def unescape_sql(c: str) -> str:
-    for name, char in html.ENTITIES.items():
+    for name, char in SHOWN.items():
         c = f"replace({c}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
     return f"replace({c}, '&amp;', '&')"
 
@@ -254,7 +262,7 @@ def map_points(i):
 @query("topic_items", "v_items", "v_topics", sql="""
 , names AS (SELECT topic, max(topic_label) AS name FROM v_topics WHERE topic_label IS NOT NULL GROUP BY topic)
 SELECT v.item_id, v.title, t.topic, coalesce(name, 'Other') AS topic_label, round(e.embedding[1]::DOUBLE, 6) + 0 AS x, round(e.embedding[2]::DOUBLE, 6) + 0 AS y
-FROM v_items v JOIN v_topics t USING (item_id) JOIN embeddings e ON e.vec_id = v.item_id LEFT JOIN names n ON n.topic = t.topic""")
+FROM v_items v LEFT JOIN v_topics t USING (item_id) LEFT JOIN embeddings e ON e.vec_id = v.item_id LEFT JOIN names n ON n.topic = t.topic""")
 def topic_items(i):
     from loreline.operators import marts
 

@@ -63,16 +63,6 @@ def read_nested_records(
     return spark.read.format("binaryFile").load(glob).select("content").mapInPandas(parse, schema)
 
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """A scan with fewer splits than there are cores, dealt out by a unique key.
-
-    For costly work per row on a small file, whose few row groups would keep one core
-    busy. A large input has more splits than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def _front_matter(name: str):
     block = F.regexp_extract("value", r"(?s)\A---[ \t]*\r?\n(.*?\r?\n)---[ \t]*(?:\r?\n|\z)", 1)
     value = F.regexp_extract(block, rf"(?m)^{name}:[ \t]*(.*?)[ \t]*$", 1)
