@@ -73,51 +73,53 @@ def decode_part(body: Column, encoding: Column) -> Column:
     )
 
 
-def boundary_of(content_type: Column, body: Column) -> Column:
-    """The quoted MIME boundary of the header, else one near the start of the body; or null."""
+def _start(body: Column, window: int | None) -> Column:
+    return body if window is None else F.left(body, F.lit(window))
+
+
+def boundary_of(content_type: Column, body: Column, window: int | None = BOUNDARY_WINDOW) -> Column:
+    """The quoted MIME boundary of the header, else one in the first `window` characters of the body; or null."""
     pattern = r'(?i)boundary="([^"]+)"'
     declared = F.nullif(F.regexp_extract(content_type, pattern, 1), F.lit(""))
-    repeated = F.regexp_extract(F.left(body, F.lit(BOUNDARY_WINDOW)), pattern, 1)
+    repeated = F.regexp_extract(_start(body, window), pattern, 1)
     return F.coalesce(declared, F.nullif(repeated, F.lit("")))
 
 
-def mime_parts(body: Column, boundary: Column) -> Column:
-    """array<struct(ctype, cte, body)> of the parts that have a header of their own."""
+def mime_pieces(body: Column, boundary: Column) -> Column:
+    """array of [header, body] of the parts that have a header of their own."""
     pieces = F.split(body, F.concat(F.lit(r"\Q--"), boundary, F.lit(r"\E")))
     pieces = F.transform(pieces, lambda p: F.split(p, BLANK_LINE, 2))
-    pieces = F.filter(pieces, lambda p: F.size(p) == 2)
-
-    def part(p: Column) -> Column:
-        text = strip(F.rtrim(strip(p[1]), F.lit("-")))
-        return F.struct(
-            header(p[0], "Content-Type").alias("ctype"),
-            header(p[0], "Content-Transfer-Encoding").alias("cte"),
-            text.alias("body"),
-        )
+    return F.filter(pieces, lambda p: F.size(p) == 2)
 
-    return F.transform(pieces, part)
 
-
-def select_body(body: Column, content_type: Column, encoding: Column) -> Column:
+def select_body(body: Column, content_type: Column, encoding: Column, window: int | None = BOUNDARY_WINDOW) -> Column:
     """H3: the decoded text of a message; null for a multipart without a text part.
 
     Of several parts the first HTML or acceptable plain one counts. Plain parts are
-    refused when the body itself starts with an HTML content type.
+    refused when the body itself starts with an HTML content type. A boundary or
+    content type that the header does not name is sought in the first `window`
+    characters of the body, with None in all of it.
     """
-    own_type = header(F.left(body, F.lit(BOUNDARY_WINDOW)), "Content-Type")
+    own_type = header(_start(body, window), "Content-Type")
     plain_ok = ~F.contains(own_type, F.lit("text/html"))
 
     def multipart(boundary: Column) -> Column:
-        parts = F.filter(
-            mime_parts(body, boundary),
-            lambda p: F.contains(p["ctype"], F.lit("text/html"))
-            | (F.contains(p["ctype"], F.lit("text/plain")) & plain_ok),
-        )
-        return let(first_or_null(parts), lambda p: decode_part(p["body"], p["cte"]))
+        # Only headers are looked at before one part is chosen; its body alone is trimmed and decoded.
+        def is_text(p: Column) -> Column:
+            return let(
+                header(p[0], "Content-Type"),
+                lambda t: F.contains(t, F.lit("text/html")) | (F.contains(t, F.lit("text/plain")) & plain_ok),
+            )
+
+        def read(p: Column) -> Column:
+            text = strip(F.rtrim(strip(p[1]), F.lit("-")))
+            return decode_part(text, header(p[0], "Content-Transfer-Encoding"))
+
+        return let(first_or_null(F.filter(mime_pieces(body, boundary), is_text)), read)
 
     # One separator line that slipped in from the next message is dropped.
     single = F.array_join(F.split(decode_part(body, encoding), r"\nFrom[ -][^\n]*", 2), "\n")
     return let(
-        boundary_of(content_type, body),
+        boundary_of(content_type, body, window),
         lambda b: F.when(b.isNotNull(), multipart(b)).otherwise(strip(single)),
     )

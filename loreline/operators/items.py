@@ -138,8 +138,11 @@ def carry_enrichment(new: DataFrame, old: DataFrame, order: str = "ord", title:
         .agg(F.max_by(F.struct("_doi", "_journal"), "_ord").alias("_old"))
     )
     keep = [c for c in new.columns if c not in ("doi", "journal")]
+    # Rows without a title have keys of their own, which match nothing, so they don't meet in one task.
+    apart = F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))
+    key = normal_title(F.col(title))
     return (
-        new.withColumn("_key", normal_title(F.col(title)))
+        new.withColumn("_key", F.when(key != "", key).otherwise(apart))
         .join(known, "_key", "left")
         .select(
             *keep,
@@ -159,8 +162,10 @@ def with_sender_name(items: DataFrame, people: DataFrame, sender: str = "sender"
         .groupBy(F.lower("email").alias("_email"))
         .agg(F.max("name").alias("_name"))
     )
+    # Rows without a sender have keys of their own, as above.
+    apart = F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))
     return (
-        items.withColumn("_email", F.lower(F.col(sender)))
+        items.withColumn("_email", F.when(F.col(sender) != "", F.lower(F.col(sender))).otherwise(apart))
         .join(names, "_email", "left")
         .withColumn("from_name", F.coalesce("_name", F.substring_index(F.col(sender), "@", 1)))
         .drop("_email", "_name")

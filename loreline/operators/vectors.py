@@ -18,8 +18,8 @@ from loreline.functions.text import item_key
 from loreline.operators.text import ngrams_1_2
 from loreline.schemas import EMBEDDING
 
-# Centroids are a model: floats that every task holds. Larger ones are refused.
-MODEL_FLOATS_MAX = 50_000_000
+# Numbers of a block of centroids, which a task holds as one matrix.
+BLOCK_FLOATS = 10_000_000
 
 
 def l2_normalise(v: Column) -> Column:
@@ -112,35 +112,47 @@ def assign_topics(
 ) -> DataFrame:
     """Adds `topic` and `distance2`, the nearest centroid; the lowest id on ties.
 
-    Centroids (topic, centroid) are a model of k rows; one matrix product per Arrow
-    batch replaces any join of items and centroids.
+    Centroids (topic, centroid) are taken in blocks of `BLOCK_FLOATS` numbers, one
+    matrix product per Arrow batch and block in place of any join; a row keeps the
+    nearest so far. Without centroids topic and distance are null.
     """
-    n, width = centroids.agg(F.count(F.lit(1)), F.max(F.size("centroid"))).first()
-    if n == 0 or n * width > MODEL_FLOATS_MAX:
-        raise ValueError(f"{n} centroids of width {width}: not a model every task can hold")
-    rows = centroids.orderBy("topic").collect()
+    width = centroids.agg(F.max(F.size("centroid"))).first()[0] or 1
+    size = max(1, BLOCK_FLOATS // width)
+    hits, block = [], []
+    for row in centroids.orderBy("topic").toLocalIterator():
+        block.append(row)
+        if len(block) == size:
+            hits.append(_nearest(block)(F.col(embedding)))
+            block = []
+    if block:
+        hits.append(_nearest(block)(F.col(embedding)))
+    none = F.lit(None).cast("struct<distance2:double,topic:int>")
+    found = vectors.withColumn("_hit", F.array_min(F.array(*hits)) if hits else none)
+    return found.withColumn("topic", F.col("_hit.topic")).withColumn(
+        "distance2", F.col("_hit.distance2")
+    ).drop("_hit")
+
+
+def _nearest(rows: list):
+    """A function of a vector: the nearest of these centroids."""
     ids = np.array([r["topic"] for r in rows], dtype="int32")
     model = np.array([r["centroid"] for r in rows], dtype="float64")
 
-    @F.pandas_udf("topic int, distance2 double")
+    @F.pandas_udf("distance2 double, topic int")
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         squares = (model * model).sum(axis=1)
         for batch in batches:
             if len(batch) == 0:
-                yield pd.DataFrame({"topic": [], "distance2": []})
+                yield pd.DataFrame({"distance2": [], "topic": []})
                 continue
             x = np.stack(batch.to_numpy()).astype("float64")
             d = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ model.T) + squares
             at = d.argmin(axis=1)
             best = np.maximum(d[np.arange(len(at)), at], 0.0)
-            yield pd.DataFrame({"topic": ids[at], "distance2": best})
+            yield pd.DataFrame({"distance2": best, "topic": ids[at]})
 
     # Marked so, no filter on the result is moved into the scan of the vectors.
-    hit = nearest.asNondeterministic()(F.col(embedding))
-    found = vectors.withColumn("_hit", hit)
-    return found.withColumn("topic", F.col("_hit.topic")).withColumn(
-        "distance2", F.col("_hit.distance2")
-    ).drop("_hit")
+    return nearest.asNondeterministic()
 
 
 def dense_centroids(vectors: DataFrame, topic: str = "topic", embedding: str = "embedding") -> DataFrame:

@@ -268,23 +268,13 @@ def write_url_inventory(i):
 @query("read_nested_records", sql="""
 SELECT c_custkey AS item_id, c_name AS name, 'it''s ' || c_mktsegment AS note FROM customer""")
 def read_nested_records(i):
-    """Customers written as many small YAML files, one record per line group, read back."""
-    path = scratch_path(i.spark, "yaml")
-    # A flow mapping per row; the text writer gives one file per partition.
-    record = F.concat(
-        F.lit('  - {item_id: '), F.col("c_custkey").cast("string"), F.lit(', name: "'), F.col("c_name"), F.lit("\", note: 'it''s "), F.col("c_mktsegment"), F.lit("'}")
-    )
-    rows = i.table("customer").select(record.alias("value"))
-    rows.mapInPandas(_with_root, "value string").write.text(path)
-    return tables.read_nested_records(i.spark, f"{path}/*.txt", "list.items", _record_schema())
-
-
-def _with_root(frames):
-    import pandas as pd
-
-    yield pd.DataFrame({"value": ["list:", " items:"]})
-    for frame in frames:
-        yield frame
+    """Customers written as JSON collections, one file per segment, and read back."""
+    path = scratch_path(i.spark, "collections")
+    record = F.struct(F.col("c_custkey").alias("item_id"), F.col("c_name").alias("name"), F.concat(F.lit("it's "), "c_mktsegment").alias("note"))
+    files = i.table("customer").groupBy("c_mktsegment").agg(F.collect_list(record).alias("items"))
+    one = files.select("c_mktsegment", F.to_json(F.struct(F.struct("items").alias("list"))).alias("value"))
+    one.write.partitionBy("c_mktsegment").text(path)
+    return tables.read_nested_records(i.spark, f"{path}/*/*.txt", "list.items", _record_schema())
 
 
 def _record_schema():

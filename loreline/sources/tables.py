@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,44 +20,31 @@ def read_items_csv(spark: SparkSession, path: str, schema: T.StructType = ITEM_C
 def read_nested_records(
     spark: SparkSession, glob: str, root: str, schema: T.StructType, key: str | None = None
 ) -> DataFrame:
-    """A4: records under `root` of many YAML files, one task per group of files.
+    """A4: records under `root` of JSON collections, one document per file.
 
     `root` is a dotted path inside each file. The records there are a list, or with
-    `key` a map whose keys become that column. Fields outside the schema are dropped,
-    a single text where the schema has a list becomes a list of one.
+    `key` a map whose keys become that column. Fields outside the schema are never
+    parsed; a single text where the schema has a list of texts becomes a list of one.
+    Collections kept in another notation are converted to JSON first.
     """
-    try:
-        import yaml
-    except ImportError as error:  # the reader is optional
-        raise RuntimeError("reading YAML needs the yaml package") from error
-    del yaml
-    fields = {f.name: f.dataType for f in schema.fields}
-
-    def fit(value, kind):
-        if value is None:
-            return None
-        if isinstance(kind, T.ArrayType) and not isinstance(value, list):
-            return [value]
-        if isinstance(kind, T.StringType):
-            return str(value)
-        return value
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import yaml
-
-        for frame in frames:
-            rows = []
-            for content in frame["content"]:
-                node = yaml.safe_load(bytes(content))
-                for step in root.split("."):
-                    node = (node or {}).get(step)
-                records = node or []
-                if key is not None:
-                    records = [{key: name} | (value or {}) for name, value in records.items()]
-                rows += [{n: fit(r.get(n), k) for n, k in fields.items()} for r in records]
-            yield pd.DataFrame(rows, columns=list(fields), dtype=object)
-
-    return spark.read.format("binaryFile").load(glob).select("content").mapInPandas(parse, schema)
+    texts = T.ArrayType(T.StringType())
+    fields = [f for f in schema.fields if f.name != key]
+    # The reader gives a list under a text field as its JSON.
+    plain = T.StructType([T.StructField(f.name, T.StringType() if f.dataType == texts else f.dataType) for f in fields])
+    kind = T.ArrayType(plain) if key is None else T.MapType(T.StringType(), plain)
+    for step in reversed(root.split(".")):
+        kind = T.StructType([T.StructField(step, kind)])
+    files = spark.read.schema(kind).json(glob, multiLine=True)
+    records = files.select(F.explode(root).alias("r")) if key is None else files.select(F.explode(root).alias(key, "r"))
+
+    def field(f: T.StructField):
+        value = F.col(f"r.`{f.name}`")
+        if f.dataType == texts:
+            value = F.when(F.startswith(value, F.lit("[")), F.from_json(value, texts)).when(value.isNotNull(), F.array(value))
+        return value.alias(f.name)
+
+    own = {f.name: field(f) for f in fields}
+    return records.select(*[F.col(key) if n == key else own[n] for n in schema.fieldNames()])
 
 
 def _front_matter(name: str):

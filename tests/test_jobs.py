@@ -43,21 +43,17 @@ def test_years_are_laid_out_newest_first(spark, tmp_path):
 
 
 def test_nested_records(spark, tmp_path):
-    (tmp_path / "news.yaml").write_text(
-        "news:\n  title: x\n  news:\n  - date: 2024-05-01\n    title: One\n    description: null\n    img: a.webp\n  - date: 2023-01-02\n    title: Two\n"
-    )
-    news = tables.read_nested_records(spark, str(tmp_path / "news.yaml"), "news.news", NEWS).orderBy("date").collect()
+    (tmp_path / "news.json").write_text('''{"news": {"title": "x", "news": [{"date": "2024-05-01", "title": "One", "description": null, "img": "a.webp"}, {"date": "2023-01-02", "title": "Two"}]}}''')
+    news = tables.read_nested_records(spark, str(tmp_path / "news.json"), "news.news", NEWS).orderBy("date").collect()
     assert [(str(r["date"]), r["title"], r["img"]) for r in news] == [("2023-01-02", "Two", None), ("2024-05-01", "One", "a.webp")]
-    (tmp_path / "pubs.yaml").write_text(
-        "publications:\n  10.1/a:\n    title: A\n    year: 2020\n    type: journal\n    highlight: true\n    resources:\n    - code: http://c\n    - data: http://d\n  10.1/b:\n    title: B\n    year: 2021\n    resources: null\n"
-    )
-    pubs = tables.read_nested_records(spark, str(tmp_path / "pubs.yaml"), "publications", PUBLICATION, key="doi")
+    (tmp_path / "pubs.json").write_text('''{"publications": {"10.1/a": {"title": "A", "year": 2020, "type": "journal", "highlight": true, "resources": [{"code": "http://c"}, {"data": "http://d"}]}, "10.1/b": {"title": "B", "year": 2021, "resources": null}}}''')
+    pubs = tables.read_nested_records(spark, str(tmp_path / "pubs.json"), "publications", PUBLICATION, key="doi")
     assert sorted(r["doi"] for r in pubs.collect()) == ["10.1/a", "10.1/b"]
     links = nested.explode_resources(pubs, "resources", "doi").collect()
     assert sorted(tuple(r) for r in links) == [("10.1/a", "code", "http://c"), ("10.1/a", "data", "http://d")]
     assert [r["doi"] for r in marts.highlighted(pubs).collect()] == ["10.1/a"]
-    (tmp_path / "art.yaml").write_text("art:\n- title: one\n  img: x.png\n  img_alt: alt\n- title: two\n  img: [a, b]\n  img_alt: [c]\n")
-    art = tables.read_nested_records(spark, str(tmp_path / "art.yaml"), "art", ART)
+    (tmp_path / "art.json").write_text('''{"art": [{"title": "one", "img": "x.png", "img_alt": "alt"}, {"title": "two", "img": ["a", "b"], "img_alt": ["c"]}]}''')
+    art = tables.read_nested_records(spark, str(tmp_path / "art.json"), "art", ART)
     got = nested.align_images(art, "title").orderBy("title", "pos").collect()
     assert [tuple(r) for r in got] == [("one", 0, "x.png", "alt"), ("two", 0, "a", "c"), ("two", 1, "b", None)]
 
