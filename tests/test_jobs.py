@@ -178,7 +178,15 @@ def test_all_series_cover_the_grid(spark):
     assert by[-1] == sum(c for t, c in by.items() if t != -1)
 
 
-def test_label_matrix_guard(spark):
-    c = spark.createDataFrame([], "topic int, centroid array<double>")
-    with pytest.raises(ValueError):
-        vectors.assign_topics(spark.createDataFrame([([1.0],)], "embedding array<float>"), c)
+def test_centroids_in_blocks(spark, monkeypatch):
+    import random
+
+    draw = random.Random(2)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    points = spark.createDataFrame(rows, "id int, embedding array<double>")
+    model = spark.createDataFrame([(i, v) for i, v in rows[:11]] + [(99, rows[3][1])], "topic int, centroid array<double>")
+    whole = {r["id"]: r["topic"] for r in vectors.assign_topics(points, model).collect()}
+    monkeypatch.setattr(vectors, "BLOCK_FLOATS", 10)
+    assert {r["id"]: r["topic"] for r in vectors.assign_topics(points, model).collect()} == whole
+    assert [whole[i] for i in range(11)] == list(range(11))
+    assert vectors.assign_topics(points, model.limit(0)).first()["topic"] is None
