@@ -133,7 +133,7 @@ drawn AS (
   SELECT k.doc_id, k.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS epochs,
     sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS UNBOUNDED PRECEDING) AS running
   FROM keyed k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
+SELECT doc_id, size, source_size, round(target, 6) AS target,
   (size * (epochs + CASE WHEN 2 * running - size <= 2 * (target - epochs * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM drawn
 """
@@ -147,7 +147,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = docs.select("doc_id", "source", word_count(text).alias("words"), text.alias("text"))
     narrow = stored(sized.select("doc_id", "source", "words", mixing.prose_quality(F.col("text"), F.col("words")).alias("prose")), "mix-sizes")
     drawn = mixing.mix(narrow.withColumn("text", F.lit(None).cast("string")), size=F.col("words"), quality=F.col("prose"))
-    return drawn.select("row.doc_id", "size", "source_size", "target", "taken")
+    return drawn.select("row.doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def licence_sql() -> str:
@@ -166,8 +166,8 @@ idf AS (SELECT t, ln((n + 1) / (count(row_no) + 1)) + 1 AS w FROM terms LEFT JOI
 passages AS (
   SELECT row_no, pno, list_distinct(regexp_extract_all(p, '[a-z0-9]+(?:\.[0-9]+)*')) AS ts FROM (
     SELECT row_no, generate_subscripts(ps, 1) AS pno, lower(unnest(ps)) AS p FROM (
-      SELECT row_no, regexp_split_to_array(text, '[.!?;]+[ 	
-]+|[
+      SELECT row_no, regexp_split_to_array(text, '[.!?;]+[ 	
+]+|[
 ]+') AS ps FROM files))
   WHERE regexp_matches(p, '{licenses.CUES}')),
 long AS (SELECT row_no, pno, unnest(ts) AS t FROM passages),
