@@ -195,7 +195,7 @@ def fit_label_model(votes: np.ndarray, label: np.ndarray, count: np.ndarray, rou
     else:
         prior = 0.1
     model = LabelModel(prior, start)
-    for _ in range(rounds):
+    for _ in range(rounds if len(votes) else 0):
         p = np.where(known, label, model.posterior(bits))
         mass = np.stack([count * (1 - p), count * p])
         held = mass.sum(axis=1)
@@ -211,12 +211,18 @@ def fit_label_model(votes: np.ndarray, label: np.ndarray, count: np.ndarray, rou
 
 def fit_linear(active: list[list[int]], target: np.ndarray, weight: np.ndarray, n: int, l2: float = 0.5, rounds: int = 300) -> np.ndarray:
     """Weights (the last is the bias) of a logistic regression on soft labels, by accelerated gradient steps."""
-    x = np.zeros((len(active), n + 1), dtype=np.float32)
-    for i, features in enumerate(active):
-        x[i, features] = 1
+    # Documents that show the same features are one row: most show none.
+    rows: dict[tuple[int, ...], list[float]] = {}
+    for features, y, mass in zip(active, target, weight / weight.sum() * len(active), strict=True):
+        held = rows.setdefault(tuple(features), [0.0, 0.0])
+        held[0] += mass * y
+        held[1] += mass
+    x = np.zeros((len(rows), n + 1), dtype=np.float32)
+    for i, features in enumerate(rows):
+        x[i, list(features)] = 1
     x[:, n] = 1
-    weight = (weight / weight.mean()).astype(np.float32)
-    target = target.astype(np.float32)
+    hits, weight = np.array(list(rows.values()), dtype=np.float32).T
+    target = hits / weight
     # The curvature is a quarter of the largest eigenvalue at most.
     v = np.ones(n + 1, dtype=np.float32)
     for _ in range(20):
