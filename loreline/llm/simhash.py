@@ -140,10 +140,6 @@ def _compare(bits: int, radius: int):
     return run
 
 
-def _pack(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"tile": [rows["tile"].iloc[0]], "part": [rows["part"].iloc[0]], "prints": [b"".join(rows["fp"])]})
-
-
 def tiles_met(radius: int, quarters: bool) -> tuple[F.Column, F.Column] | F.Column:
     """The tiles whose counts a fingerprint within the radius of one in `tile` can have, each pair of tiles once."""
     if not quarters:
@@ -171,7 +167,9 @@ def links(prints: DataFrame, bits: int = 64, radius: int = 3) -> DataFrame:
     # At most 17 ** 4 = 83,521 tile names, or one for each population count, whatever the data: a bounded broadcast.
     parts = stored(prints.groupBy("tile").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("parts")), "tile-parts")
     split = prints.join(F.broadcast(parts), "tile").select("tile", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"), "fp")
-    tiles = stored(split.groupBy("tile", "part").applyInPandas(_pack, "tile int, part int, prints binary"), "tiles")
+    # About TILE_ROWS fingerprints are laid end to end.
+    packed_prints = F.unhex(F.concat_ws("", F.collect_list(F.hex("fp")))).alias("prints")
+    tiles = stored(split.groupBy("tile", "part").agg(packed_prints), "tiles")
     asks = (
         tiles.select(F.col("tile").alias("from_tile"), F.col("part").alias("from_part"), F.explode(tiles_met(radius, quarters)).alias("tile"))
         .join(F.broadcast(parts), "tile")
