@@ -16,9 +16,9 @@ from loreline.llm.common import packed, stored, text_or_empty
 from loreline.llm.exact_dedup import golomb_decode, golomb_encode
 
 #: Words of one block of documents; a longer document is a block of its own.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 1_500_000
 #: Bits of an n-gram's hash.
-HASH_BITS = 56
+HASH_BITS = 48
 #: An n-gram of two words or more is in the tables when the corpus shows it so often.
 LEAST_COUNT = 2
 #: What each step to a shorter context costs.
@@ -27,6 +27,16 @@ BACKOFF = 0.4
 SHIFT = np.uint64(64 - HASH_BITS)
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte of their places, so that high bytes pack to nothing."""
+    return zlib.compress(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 3)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of two hashes, in order."""
     z = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(0x632BE59BD9B4E019))
@@ -43,10 +53,10 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     parts: list[np.ndarray] = []
 
     def pack() -> pd.DataFrame:
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, seen), dtype=np.uint64, count=len(seen))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, seen), dtype=np.uint64, count=len(seen)) >> SHIFT
         row = {
             "block": uuid.uuid4().hex, "total": sum(lengths), "docs": list(docs), "lengths": np.array(lengths, dtype="<i8").tobytes(),
-            "words": zlib.compress(np.concatenate([*parts, np.zeros(0, np.int32)]).astype("<i4").tobytes(), 1), "hashes": hashes.astype("<u8").tobytes(),
+            "words": squeezed(np.concatenate([*parts, np.zeros(0, np.int32)])), "hashes": hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8].tobytes(),
         }
         for x in (seen, docs, lengths, parts):
             x.clear()
@@ -73,8 +83,11 @@ def grams(row, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Of a block: lengths of its documents, place of each word in its document, and hashes of the n-grams
     that end at each word, by n; an n-gram that would begin before its document has hash 0."""
     lengths = np.frombuffer(row["lengths"], dtype="<i8")
-    words = np.frombuffer(zlib.decompress(row["words"]), dtype="<i4")
-    single = np.frombuffer(row["hashes"], dtype="<u8").astype(np.uint64)[words] if len(words) else np.zeros(0, np.uint64)
+    words = unsqueezed(row["words"])
+    short = np.frombuffer(row["hashes"], np.uint8).reshape(-1, HASH_BITS // 8)
+    wide = np.zeros((len(short), 8), np.uint8)
+    wide[:, : HASH_BITS // 8] = short
+    single = (wide.view("<u8").ravel().astype(np.uint64) << SHIFT)[words] if len(words) else np.zeros(0, np.uint64)
     place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     full, out = single, [(single >> SHIFT) | np.uint64(1)]
     for n in range(2, order + 1):
@@ -101,9 +114,9 @@ def _ask(order: int, owners: int):
                 for n, hashes in enumerate(grams(row, order)[2], 1):
                     values, counts = np.unique(hashes[hashes > 0], return_counts=True)
                     owner, parts = owner_cuts(values, owners)
-                    tally = np.split(counts.astype("<u4"), np.cumsum([len(p) for p in parts])[:-1]) if parts else []
+                    tally = np.split(counts, np.cumsum([len(p) for p in parts])[:-1]) if parts else []
                     yield pd.DataFrame({
-                        "block": row["block"], "n": n, "owner": owner, "asked": [golomb_encode(p) for p in parts], "counts": [zlib.compress(c.tobytes(), 1) for c in tally],
+                        "block": row["block"], "n": n, "owner": owner, "asked": [golomb_encode(p) for p in parts], "counts": [squeezed(c) for c in tally],
                     })
 
     return run
@@ -112,11 +125,11 @@ def _ask(order: int, owners: int):
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """An owner of a hash range adds up the counts of all blocks and gives each block the totals it asked for."""
     lists = [golomb_decode(b) for b in rows["asked"]]
-    counts = np.concatenate([np.frombuffer(zlib.decompress(c), "<u4") for c in rows["counts"]])
+    counts = np.concatenate([unsqueezed(c) for c in rows["counts"]])
     _, place = np.unique(np.concatenate(lists), return_inverse=True)
-    total = np.bincount(place, weights=counts).astype("<i8")[place]
+    total = np.bincount(place, weights=counts).astype(np.int64)[place]
     answers = np.split(total, np.cumsum([len(x) for x in lists])[:-1])
-    return pd.DataFrame({"block": rows["block"], "n": rows["n"], "owner": rows["owner"], "totals": [zlib.compress(a.tobytes(), 1) for a in answers]})
+    return pd.DataFrame({"block": rows["block"], "n": rows["n"], "owner": rows["owner"], "totals": [squeezed(a) for a in answers]})
 
 
 def _score(order: int, corpus_words: int):
@@ -127,7 +140,7 @@ def _score(order: int, corpus_words: int):
         count = []
         for n, asked in enumerate(hashes, 1):
             values, place = np.unique(asked, return_inverse=True)
-            totals = [np.frombuffer(zlib.decompress(t), "<i8") for t in answers["totals"][answers["n"] == n]]
+            totals = [unsqueezed(t) for t in answers["totals"][answers["n"] == n]]
             known = np.concatenate([np.zeros(int(len(values) and values[0] == 0), np.int64), *totals])
             count.append(known[place])
         score = np.log(count[0] / corpus_words)
@@ -156,7 +169,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     them to its n-grams and sums by document. A frequent n-gram is one number in a block, so none is hot.
 
     Null and empty texts have 0 words and score 0. Null and repeated ids keep their rows. Empty tables give
-    no rows. N-grams are told apart by 56 bits of hash.
+    no rows. N-grams are told apart by 48 bits of hash.
     """
     spark = docs.sparkSession
     owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
