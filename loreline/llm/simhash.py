@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 from itertools import product
 from math import acos, pi
 
@@ -12,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreline.llm.common import packed, stored, text_or_empty
+from loreline.llm.common import WORD, packed, stored, text_or_empty
 from loreline.llm.components import components, forest
 
 #: Quarters of a 64-bit fingerprint whose population counts name a tile, and the largest radius this is used for.
@@ -21,6 +23,8 @@ QUARTERS, QUARTER_RADIUS = 4, 4
 TILE_ROWS = 8192
 #: Shingles whose bits are added up at once, and pairs compared at once.
 BLOCK, PAIRS = 16384, 65536
+#: Smaller nodes that a node is compared with in the first round of verification, and how that number grows by round.
+FIRST_ASKED, ASKED_GROWTH = 1, 16
 #: Odd constants that turn one hash into further words of a long fingerprint.
 STEP = 0x9E3779B97F4A7C15
 
@@ -170,15 +174,25 @@ def links(prints: DataFrame, bits: int = 64, radius: int = 3) -> DataFrame:
     # About TILE_ROWS fingerprints are laid end to end.
     packed_prints = F.unhex(F.concat_ws("", F.collect_list(F.hex("fp")))).alias("prints")
     tiles = stored(split.groupBy("tile", "part").agg(packed_prints), "tiles")
+    return tile_pairs(tiles, parts, radius, quarters).select("one", "other").mapInPandas(_compare(bits, radius), "a binary, b binary")
+
+
+def tile_pairs(tiles: DataFrame, parts: DataFrame, radius: int, quarters: bool) -> DataFrame:
+    """The contents (one, other) of all pairs of tiles (tile, part, prints) that can hold a link; tiles with a
+    column `busy` meet only where one of the two is."""
     asks = (
         tiles.select(F.col("tile").alias("from_tile"), F.col("part").alias("from_part"), F.explode(tiles_met(radius, quarters)).alias("tile"))
         .join(F.broadcast(parts), "tile")
         .select("from_tile", "from_part", "tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         .where("tile <> from_tile OR part >= from_part")
     )
+    if "busy" in tiles.columns:
+        busy = tiles.select("tile", "part", "busy")
+        asks = asks.join(F.broadcast(busy.toDF("from_tile", "from_part", "from_busy")), ["from_tile", "from_part"])
+        asks = asks.join(F.broadcast(busy), ["tile", "part"]).where("busy OR from_busy").drop("busy", "from_busy")
+        tiles = tiles.drop("busy")
     one = tiles.toDF("from_tile", "from_part", "one")
-    met = asks.join(one, ["from_tile", "from_part"]).join(tiles.withColumnRenamed("prints", "other"), ["tile", "part"])
-    return met.select("one", "other").mapInPandas(_compare(bits, radius), "a binary, b binary")
+    return asks.join(one, ["from_tile", "from_part"]).join(tiles.withColumnRenamed("prints", "other"), ["tile", "part"])
 
 
 def simhash_groups(
@@ -201,12 +215,144 @@ def simhash_groups(
     return prints.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def shingle_counts(text: str, shingle: int) -> tuple[Counter, float]:
+    """A text's word shingles, as `fingerprint` takes them, with their counts, and the length of that vector."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - shingle + 1) if words else 0
+    counts = Counter(b" ".join(words[i : i + shingle]) for i in range(n))
+    return counts, sum(c * c for c in counts.values()) ** 0.5
+
+
+def shingle_cosine(a: tuple[Counter, float], b: tuple[Counter, float]) -> float:
+    """Cosine of two shingle counts; 0 where one is empty."""
+    small, large = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
+    dot = sum(c * large[0][s] for s, c in small[0].items() if s in large[0])
+    return dot / (a[1] * b[1]) if dot else 0.0
+
+
+def first_of(keys: np.ndarray, limit: int, taken: np.ndarray) -> np.ndarray:
+    """Which of some keys are among the first `limit` of their kind; `taken` counts those seen, and is updated."""
+    order = np.argsort(keys, kind="stable")
+    line = keys[order]
+    begins = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(begins, len(line)))
+    rank = np.arange(len(line)) - np.repeat(begins, sizes) + taken[line]
+    out = np.empty(len(keys), dtype=bool)
+    out[order] = rank < limit
+    taken[line[begins]] += sizes
+    return out
+
+
+def _nearest(bits: int, radius: int, limit: int):
+    node = np.dtype([("at", ">i8"), ("label", ">i8"), ("open", "u1"), ("fp", ">u8", (bits // 64,))])
+
+    def asked(x: np.ndarray, y: np.ndarray, both: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For open nodes of `x`, and of `y` if `both`, the first smaller nodes of the other; and nodes with more than those."""
+        of_x, of_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+        for i, j in near_pairs(x["fp"].astype(np.uint64), y["fp"].astype(np.uint64), radius):
+            apart = x["label"][i] != y["label"][j]
+            i, j = i[apart], j[apart]
+            down = y["at"][j] < x["at"][i]
+            k, m = i[down], j[down]
+            chosen = first_of(k, limit, of_x)
+            yield x["at"][k[chosen]], y["at"][m[chosen]]
+            if both:
+                up = (y["at"][j] > x["at"][i]) & (y["open"][j] > 0)
+                k, m = j[up], i[up]
+                chosen = first_of(k, limit, of_y)
+                yield y["at"][k[chosen]], x["at"][m[chosen]]
+        for nodes, seen in ((x, of_x), (y, of_y)):
+            more = nodes["at"][seen > limit]
+            yield more, np.full(len(more), -1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for one, other in zip(batch["one"], batch["other"], strict=True):
+                a, b = np.frombuffer(one, node), np.frombuffer(other, node)
+                live, rest = a[a["open"] > 0], a[a["open"] == 0]
+                found = []
+                if len(live):
+                    found += asked(live, b, True)
+                if len(rest) and (b["open"] > 0).any():
+                    found += asked(b[b["open"] > 0], rest, False)
+                if found:
+                    yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]).astype(np.int64), "b": np.concatenate([y for _, y in found]).astype(np.int64)})
+
+    return run
+
+
+def _near_by_shingles(shingle: int, cosine: float):
+    @F.pandas_udf("boolean")
+    def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        # Neighbours often share a text; each is cut into shingles once.
+        counts = lru_cache(64)(lambda text: shingle_counts(text, shingle))
+        for one, other in batches:
+            yield pd.Series([shingle_cosine(counts(a), counts(b)) >= cosine for a, b in zip(one, other, strict=True)], dtype=bool)
+
+    return near
+
+
+def verified_links(nodes: DataFrame, texts: DataFrame, *, shingle: int, bits: int, radius: int, cosine: float) -> DataFrame:
+    """(node, root) of the nodes (at, sha, fp, tile) joined by pairs within the radius whose shingles have the cosine.
+
+    Each round compares tiles, as `links` does, and asks for every open node its first smaller neighbours
+    under another label; their texts (sha, text) are compared by their shingles, and those that pass join
+    labels. A node with more neighbours than were asked stays open, and the next round asks more of it that
+    its label hasn't reached yet, until none is left: no pair is dropped unseen, and near copies in thousands
+    don't become pairs.
+    """
+    parts = stored(nodes.groupBy("tile").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("parts")), "near-parts")
+    state = nodes.select("at", "fp", "tile", F.col("at").alias("label"), F.lit(True).alias("open"))
+    near, limit, passed = _near_by_shingles(shingle, cosine), FIRST_ASKED, []
+    while True:
+        entry = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("at", "label")], F.when(F.col("open"), "01").otherwise("00"), F.hex("fp"))
+        split = state.join(F.broadcast(parts), "tile").select("tile", F.pmod(F.xxhash64("at"), F.col("parts")).cast("int").alias("part"), "open", entry.alias("entry"))
+        laid = F.unhex(F.concat_ws("", F.array_sort(F.collect_list("entry")))).alias("prints")
+        tiles = stored(split.groupBy("tile", "part").agg(laid, F.max("open").alias("busy")), "near-tiles")
+        found = tile_pairs(tiles, parts, radius, False).select("one", "other").mapInPandas(_nearest(bits, radius, limit), "a long, b long")
+        asked = found.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("bs"))
+        others = F.filter("bs", lambda b: b >= 0)
+        asked = stored(asked.select("a", F.slice(others, 1, limit).alias("bs"), ((F.size(others) > limit) | F.array_contains("bs", F.lit(-1).cast("long"))).alias("more")), "near-asked")
+        pairs = stored(asked.select("a", F.explode("bs").alias("b")), "near-pairs")
+        wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "at")
+        wanted = stored(nodes.join(wanted, "at", "left_semi").select("at", "sha"), "near-wanted")
+        # Copies of a text are one node.
+        read = stored(texts.join(wanted, "sha").groupBy("at").agg(F.first("text").alias("text")), "near-texts")
+        half = pairs.join(read.toDF("a", "one"), "a")
+        whole = half.join(read.toDF("b", "other"), "b")
+        passed.append(stored(whole.where(near("one", "other")).select("a", "b"), "near-passed"))
+        roots = components(reduce(DataFrame.union, passed))
+        open_ = asked.where("more").select(F.col("a").alias("o_at"), F.lit(True).alias("is_open"))
+        if open_.isEmpty():
+            return roots
+        state = nodes.join(roots, F.col("at") == F.col("node"), "left").join(open_, F.col("at") == F.col("o_at"), "left")
+        state = stored(state.select("at", "fp", "tile", F.coalesce("root", "at").alias("label"), F.coalesce("is_open", F.lit(False)).alias("open")), "near-state")
+        limit *= ASKED_GROWTH
+
+
 def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 256, cosine: float = 0.8) -> DataFrame:
-    """One document of each component stays: the one with the smallest id. Rows without an id stay.
+    """One text of each component stays: the one with the smallest id, in its rows with that id.
 
-    Similarity is the cosine of shingle counts, which the share of equal bits estimates; 256 bits keep the
-    error near 0.03, so pairs that share four fifths of their shingles (cosine 0.89) are found.
+    Similarity is the cosine of shingle counts. The share of equal bits estimates it and names the candidates:
+    256 bits keep the error near 0.03, so pairs that share four fifths of their shingles (cosine 0.89) are
+    found. Candidates are linked only if the cosine of their own shingle counts is `cosine` or more.
+
+    Texts without words are near to none: their rows stay. Null ids are larger than any other; a component
+    without any id keeps the rows of one text. Decisions hold for an id with its text, so an id that
+    stands with several texts loses only those that are copies.
     """
-    groups = simhash_groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, bits=bits, radius=radius_for(bits, cosine))
-    drop = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct(), "simhash-dropped")
-    return docs.join(drop, F.col(f"`{id_col}`") == F.col("__dropped"), "left_anti")
+    row = packed(docs)
+    base = row.select(F.col(f"row.`{id_col}`").alias("id"), text_or_empty(F.col(f"row.`{text_col}`")).alias("text")).where(F.col("text").rlike(WORD))
+    keyed = base.withColumn("sha", F.unhex(F.sha2("text", 256)))
+    prints = fingerprints(keyed.select(F.struct("id", "sha").alias("key"), "text"), id_col="key", shingle=shingle, bits=bits, radius=radius_for(bits, cosine))
+    prints = stored(prints.select("doc_id.id", "doc_id.sha", "fp", "tile"), "near-prints")
+    grouped = prints.groupBy("sha").agg(F.first("fp").alias("fp"), F.first("tile").alias("tile"), F.min("id").alias("first"), F.count("*").alias("copies"))
+    nodes = stored(grouped.select(F.monotonically_increasing_id().alias("at"), "*"), "near-nodes")
+    roots = verified_links(nodes, keyed.select("sha", "text"), shingle=shingle, bits=bits, radius=radius_for(bits, cosine), cosine=cosine)
+    rooted = nodes.join(roots, F.col("at") == F.col("node"), "left").select("at", "sha", "first", "copies", F.coalesce("root", "at").alias("root"))
+    rooted = stored(rooted, "near-rooted")
+    keep = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "at")).alias("keep"))
+    decided = rooted.join(stored(keep, "near-keep"), "root").withColumn("stays", F.col("at") == F.col("keep.at"))
+    decided = stored(decided.where("copies > 1 OR NOT stays").select(F.col("sha").alias("__sha"), "stays", "first"), "near-dropped").toDF("__sha", "__stays", "__first")
+    other = ~(F.col("__stays") & F.col(f"`{id_col}`").eqNullSafe(F.col("__first")))
+    return docs.join(decided, (F.unhex(F.sha2(text_or_empty(f"`{text_col}`"), 256)) == F.col("__sha")) & other, "left_anti")

@@ -138,6 +138,35 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted(r.doc_id for r in simhash.without_near_copies(docs).collect()) == [3, 4]
 
 
+def test_near_copies_are_verified_by_their_shingles(spark, monkeypatch):
+    # Tiles of few rows and one neighbour asked at first, so that rounds and tiles matter.
+    monkeypatch.setattr(simhash, "TILE_ROWS", 8)
+    monkeypatch.setattr(simhash, "ASKED_GROWTH", 2)
+    draw = random.Random(11)
+    words = [f"w{i}" for i in range(500)]
+
+    def text(n):
+        return [draw.choice(words) for _ in range(n)]
+
+    # One passage that repeats sets the majority of bits of texts that share nothing else.
+    passage = "the same passage stands here again and again".split()
+    texts = [" ".join(text(40) + passage * 8) for _ in range(25)]
+    base = text(200)
+    for _ in range(25):
+        base[draw.randrange(200)] = "new"
+        texts.append(" ".join(base))
+    texts += [" ".join(text(6)) for _ in range(150)] + ["", " "]
+    docs = list(enumerate(texts))
+    prints = [plain_print(t, 5, 256) for t in texts]
+    counts = [simhash.shingle_counts(t, 5) for t in texts]
+    near = [(a, b) for b in range(len(texts)) for a in range(b) if (prints[a] ^ prints[b]).bit_count() <= 52]
+    true = [(a, b) for a, b in near if simhash.shingle_cosine(counts[a], counts[b]) >= 0.8]
+    assert len(true) < len(near)
+    root = linked(range(len(texts)), true)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.without_near_copies(frame).collect()) == sorted(set(root.values()))
+
+
 # Exact duplicates
 
 
