@@ -13,19 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreline.llm.common import packed, stored, text_or_empty
-from loreline.llm.exact_dedup import golomb_decode, golomb_encode
+from loreline.llm.exact_dedup import golomb_decode, golomb_encode, owner_of
 
 #: Words of one block of documents; a longer document is a block of its own.
 BLOCK_WORDS = 1_500_000
-#: Bits of an n-gram's hash.
-HASH_BITS = 48
 #: An n-gram of two words or more is in the tables when the corpus shows it so often.
 LEAST_COUNT = 2
 #: What each step to a shorter context costs.
 BACKOFF = 0.4
 
-SHIFT = np.uint64(64 - HASH_BITS)
-
 
 def squeezed(numbers: np.ndarray) -> bytes:
     """Whole numbers, byte by byte of their places, so that high bytes pack to nothing."""
@@ -53,10 +49,10 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     parts: list[np.ndarray] = []
 
     def pack() -> pd.DataFrame:
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, seen), dtype=np.uint64, count=len(seen)) >> SHIFT
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, seen), dtype=np.uint64, count=len(seen))
         row = {
             "block": uuid.uuid4().hex, "total": sum(lengths), "docs": list(docs), "lengths": np.array(lengths, dtype="<i8").tobytes(),
-            "words": squeezed(np.concatenate([*parts, np.zeros(0, np.int32)])), "hashes": hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8].tobytes(),
+            "words": squeezed(np.concatenate([*parts, np.zeros(0, np.int32)])), "hashes": hashes.astype("<u8").tobytes(),
         }
         for x in (seen, docs, lengths, parts):
             x.clear()
@@ -79,29 +75,26 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pack()
 
 
-def grams(row, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of a block: lengths of its documents, place of each word in its document, and hashes of the n-grams
-    that end at each word, by n; an n-gram that would begin before its document has hash 0."""
+def grams(row, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Of a block: lengths of its documents, and by n the places of the words at which an n-gram ends, with its
+    hash; an n-gram that would begin before its document has no place."""
     lengths = np.frombuffer(row["lengths"], dtype="<i8")
     words = unsqueezed(row["words"])
-    short = np.frombuffer(row["hashes"], np.uint8).reshape(-1, HASH_BITS // 8)
-    wide = np.zeros((len(short), 8), np.uint8)
-    wide[:, : HASH_BITS // 8] = short
-    single = (wide.view("<u8").ravel().astype(np.uint64) << SHIFT)[words] if len(words) else np.zeros(0, np.uint64)
+    single = np.frombuffer(row["hashes"], "<u8").astype(np.uint64)[words] if len(words) else np.zeros(0, np.uint64)
     place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    full, out = single, [(single >> SHIFT) | np.uint64(1)]
+    full, out = single, [(np.arange(len(words)), single)]
     for n in range(2, order + 1):
         longer = np.zeros_like(full)
         longer[1:] = mixed(full[:-1], single[1:])
         full = longer
-        # Odd values are n-grams; 0 is none.
-        out.append(np.where(place >= n - 1, (full >> SHIFT) | np.uint64(1), np.uint64(0)))
-    return lengths, place, out
+        at = np.flatnonzero(place >= n - 1)
+        out.append((at, full[at]))
+    return lengths, out
 
 
 def owner_cuts(values: np.ndarray, owners: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Owners of sorted hashes, by range, and the hashes of each."""
-    owner = ((values >> np.uint64(HASH_BITS - 32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int32)
+    owner = owner_of(values, owners)
     cuts = np.flatnonzero(np.diff(owner)) + 1
     parts = np.split(values, cuts) if len(values) else []
     return owner[np.concatenate([[0], cuts])] if len(values) else owner, parts
@@ -111,8 +104,8 @@ def _ask(order: int, owners: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                for n, hashes in enumerate(grams(row, order)[2], 1):
-                    values, counts = np.unique(hashes[hashes > 0], return_counts=True)
+                for n, (_, hashes) in enumerate(grams(row, order)[1], 1):
+                    values, counts = np.unique(hashes, return_counts=True)
                     owner, parts = owner_cuts(values, owners)
                     tally = np.split(counts, np.cumsum([len(p) for p in parts])[:-1]) if parts else []
                     yield pd.DataFrame({
@@ -123,7 +116,7 @@ def _ask(order: int, owners: int):
 
 
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
-    """An owner of a hash range adds up the counts of all blocks and gives each block the totals it asked for."""
+    """An owner of a hash range of one order adds up the counts of all blocks and gives each block the totals it asked for."""
     lists = [golomb_decode(b) for b in rows["asked"]]
     counts = np.concatenate([unsqueezed(c) for c in rows["counts"]])
     _, place = np.unique(np.concatenate(lists), return_inverse=True)
@@ -135,21 +128,21 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
 def _score(order: int, corpus_words: int):
     def run(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         row = block.iloc[0]
-        lengths, _, hashes = grams(row, order)
+        lengths, found = grams(row, order)
         answers = answers.sort_values(["n", "owner"])
-        count = []
-        for n, asked in enumerate(hashes, 1):
-            values, place = np.unique(asked, return_inverse=True)
+        score, context = None, None
+        for n, (at, asked) in enumerate(found, 1):
+            _, place = np.unique(asked, return_inverse=True)
             totals = [unsqueezed(t) for t in answers["totals"][answers["n"] == n]]
-            known = np.concatenate([np.zeros(int(len(values) and values[0] == 0), np.int64), *totals])
-            count.append(known[place])
-        score = np.log(count[0] / corpus_words)
-        for n in range(2, order + 1):
-            # The context of an n-gram is the one that ends a word before it.
-            context = np.concatenate([[1], count[n - 2][:-1]])[: len(score)]
-            seen = count[n - 1] >= LEAST_COUNT
-            longer = np.log(np.maximum(count[n - 1], 1) / np.maximum(context, 1))
-            score = np.where(hashes[n - 1] == 0, score, np.where(seen, longer, np.log(BACKOFF) + score))
+            count = np.zeros(len(found[0][0]), np.int64)
+            count[at] = np.concatenate([np.zeros(0, np.int64), *totals])[place]
+            if n == 1:
+                score = np.log(count / corpus_words)
+            else:
+                # The context of an n-gram is the one that ends a word before it.
+                longer = np.log(np.maximum(count[at], 1) / context[at - 1])
+                score[at] = np.where(count[at] >= LEAST_COUNT, longer, np.log(BACKOFF) + score[at])
+            context = count
         summed = np.add.reduceat(np.append(score, 0.0), np.minimum(np.cumsum(lengths) - lengths, len(score))) if len(lengths) else []
         return pd.DataFrame({"doc_key": row["docs"], "n_words": lengths, "score": np.where(lengths > 0, summed, 0.0)})
 
@@ -165,19 +158,19 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     documents; counts cover all documents, each repeated row included.
 
     Documents are packed into blocks of word numbers. Each block sends its distinct n-gram hashes with counts,
-    sorted and Golomb-coded, to the owners of hash ranges; owners add up and send totals back; the block joins
+    sorted and Golomb-coded, to the owners of hash ranges, order by order; owners add up and send totals back; the block joins
     them to its n-grams and sums by document. A frequent n-gram is one number in a block, so none is hot.
 
     Null and empty texts have 0 words and score 0. Null and repeated ids keep their rows. Empty tables give
-    no rows. N-grams are told apart by 48 bits of hash.
+    no rows. N-grams of one order are told apart by 64 bits of hash.
     """
     spark = docs.sparkSession
-    owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
     row = packed(docs)
     texts = row.select(F.col(f"row.`{id_col}`").cast("string").alias("doc_key"), text_or_empty(F.col(f"row.`{text_col}`")).alias("text"))
     blocks = stored(texts.mapInPandas(_blocks, "block string, total long, docs array<string>, lengths binary, words binary, hashes binary"), "lm-blocks")
     corpus_words = blocks.agg(F.sum("total")).first()[0] or 1
+    owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = blocks.drop("docs").mapInPandas(_ask(order, owners), "block string, n int, owner int, asked binary, counts binary")
-    answers = asked.groupBy("owner").applyInPandas(_answer, "block string, n int, owner int, totals binary")
+    answers = asked.groupBy("owner", "n").applyInPandas(_answer, "block string, n int, owner int, totals binary")
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(order, corpus_words), "doc_key string, n_words long, score double")
     return scored.select(F.col("doc_key").cast(docs.schema[id_col].dataType).alias("doc_id"), "n_words", "score")

@@ -6,10 +6,11 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
-from loreline.llm import exact_dedup, hnsw, mixing, pii, sentencepiece, simhash, toxicity, warc
+from loreline.llm import exact_dedup, hnsw, lm_score, mixing, pii, sentencepiece, simhash, toxicity, warc
 from loreline.llm.components import components
 from loreline.llm.queries import QUERIES, piece_model
 
@@ -248,6 +249,26 @@ def test_contexts_find_more(spark):
     assert more == {20: [(18, 0, 32)]}
 
 
+# Language-model scores
+
+
+def test_words_whose_hashes_share_48_bits_stay_apart(spark, monkeypatch):
+    # Two words whose hashes differ in their low bits only, and one whose n-grams' hashes would be "none".
+    digest = xxhash.xxh64_intdigest
+    planned = {b"left": 5 << 20 | 2, b"right": 5 << 20 | 4, b"none": 0}
+    monkeypatch.setattr(lm_score.xxhash, "xxh64_intdigest", lambda w: planned.get(w, digest(w)))
+    batch = pd.DataFrame({"doc_key": ["1", "2"], "text": ["left right none left", "none right none"]})
+    (block,) = lm_score._blocks(iter([batch]))
+    asked = pd.concat(lm_score._ask(3, 4)(iter([block])))
+    answers = pd.concat([lm_score._answer(g) for _, g in asked.groupby(["owner", "n"])])
+    counts = {n: sorted(np.concatenate([lm_score.unsqueezed(t) for t in answers["totals"][answers["n"] == n]]).tolist()) for n in (1, 2, 3)}
+    assert counts == {1: [2, 2, 3], 2: [1, 1, 1, 2], 3: [1, 1, 1]}
+    got = lm_score._score(3, 7)(block, answers).set_index("doc_key")["score"]
+    s = lm_score.np.log
+    first = s(2 / 7) + s(0.4) + s(2 / 7) + (s(0.4) + s(2 / 2)) + (2 * s(0.4) + s(2 / 7))
+    assert abs(got["1"] - first) < 1e-9
+
+
 # WARC
 
 
