@@ -17,6 +17,8 @@ from loreline.llm.exact_dedup import golomb_decode, golomb_encode, owner_of
 
 #: Words of one block of documents; a longer document is a block of its own.
 BLOCK_WORDS = 1_500_000
+#: Words whose n-grams one owner of a hash range adds up, about; there are as many owners as that takes.
+OWNER_WORDS = 2_000_000
 #: An n-gram of two words or more is in the tables when the corpus shows it so often.
 LEAST_COUNT = 2
 #: What each step to a shorter context costs.
@@ -159,7 +161,8 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     Documents are packed into blocks of word numbers. Each block sends its distinct n-gram hashes with counts,
     sorted and Golomb-coded, to the owners of hash ranges, order by order; owners add up and send totals back; the block joins
-    them to its n-grams and sums by document. A frequent n-gram is one number in a block, so none is hot.
+    them to its n-grams and sums by document. A frequent n-gram is one number in a block, so none is hot. Owners
+    grow in number with the words of the corpus.
 
     Null and empty texts have 0 words and score 0. Null and repeated ids keep their rows. Empty tables give
     no rows. N-grams of one order are told apart by 64 bits of hash.
@@ -169,7 +172,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     texts = row.select(F.col(f"row.`{id_col}`").cast("string").alias("doc_key"), text_or_empty(F.col(f"row.`{text_col}`")).alias("text"))
     blocks = stored(texts.mapInPandas(_blocks, "block string, total long, docs array<string>, lengths binary, words binary, hashes binary"), "lm-blocks")
     corpus_words = blocks.agg(F.sum("total")).first()[0] or 1
-    owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners = owners or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-corpus_words // OWNER_WORDS))
     asked = blocks.drop("docs").mapInPandas(_ask(order, owners), "block string, n int, owner int, asked binary, counts binary")
     answers = asked.groupBy("owner", "n").applyInPandas(_answer, "block string, n int, owner int, totals binary")
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(order, corpus_words), "doc_key string, n_words long, score double")

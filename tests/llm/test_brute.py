@@ -269,6 +269,16 @@ def test_words_whose_hashes_share_48_bits_stay_apart(spark, monkeypatch):
     assert abs(got["1"] - first) < 1e-9
 
 
+def test_owners_grow_with_the_words(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "OWNER_WORDS", 10)
+    asked = []
+    plain = lm_score._ask
+    monkeypatch.setattr(lm_score, "_ask", lambda order, owners: asked.append(owners) or plain(order, owners))
+    docs = spark.createDataFrame([(i, "a b c d e") for i in range(40)], "doc_id long, text string")
+    assert lm_score.lm_scores(docs).count() == 40
+    assert asked == [20]
+
+
 # WARC
 
 
