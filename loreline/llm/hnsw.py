@@ -210,15 +210,24 @@ class Graph:
         found.append((todo[r], c))
         return np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found])
 
-    def audited(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs found with the first beam whose recall, on some queries, an exact comparison confirms."""
+    def audited(self, q: np.ndarray, least: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs found with the first beam whose recall, on some queries, an exact comparison confirms.
+
+        Recall is the mean over queries of the share of their neighbours found, for few and for many neighbours
+        apart; both must suffice. `own` is each query's own node, which is no neighbour, or -1.
+        """
         sample = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(np.int64))
         r, c = self.whole(q[sample], least)
-        truth = r * len(self.x) + c
+        if own is not None:
+            r, c = r[c != own[sample][r]], c[c != own[sample][r]]
+        truth, size = r * len(self.x) + c, np.bincount(r, minlength=len(sample))
+        # A first beam that finds more than half of its width is widened in any case.
+        sides = [x for x in ((size > 0) & (size <= FIRST_BEAM // 2), size > FIRST_BEAM // 2) if x.any()]
         width = FIRST_BEAM
         while width <= min(WIDEST_BEAM, len(self.x)):
-            r, c = self.within(q[sample], least, width)
-            if not len(truth) or np.isin(truth, r * len(self.x) + c).mean() >= RECALL:
+            x, y = self.within(q[sample], least, width)
+            recall = np.bincount(r, weights=np.isin(truth, x * len(self.x) + y), minlength=len(sample)) / np.maximum(size, 1)
+            if all(recall[side].mean() >= RECALL for side in sides):
                 return self.within(q, least, width)
             width *= WIDEN
         return self.whole(q, least)
@@ -259,7 +268,9 @@ def _search(cosine: float):
         graph, nodes, copies = Graph.from_bytes(shard["graph"]), np.frombuffer(shard["nodes"], "<i8"), np.frombuffer(shard["copies"], "<i8")
         v, asked = _rows(queries), queries["node"].to_numpy()
         w = np.frombuffer(shard["vectors"], "<f8").reshape(len(nodes), -1)
-        r, c = graph.audited(_units(v), cosine - SLACK)
+        order = np.argsort(nodes)
+        place = order[np.minimum(np.searchsorted(nodes, asked, sorter=order), len(nodes) - 1)]
+        r, c = graph.audited(_units(v), cosine - SLACK, np.where(nodes[place] == asked, place, -1))
         exact = np.empty(len(r), dtype=bool)
         for i in range(0, len(r), 1 << 16):
             a, b = v[r[i : i + (1 << 16)]], w[c[i : i + (1 << 16)]]
@@ -289,7 +300,8 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
 
     Equal vectors are one node with its number of copies. Nodes are dealt by hash to shards; each shard gets
     a hierarchical graph, every node is put to every shard, and the answers are added up. Beams full of hits
-    are widened, as are all beams of a task whose recall on audited queries falls below `RECALL`; a group
+    are widened, as are all beams of a task whose mean recall on audited queries, of few or of many neighbours, falls
+    below `RECALL`; a group
     larger than the widest beam is compared with the whole shard. Nothing below the cosine is linked.
     Links leave a task as sums and as a spanning forest, never as all pairs.
 

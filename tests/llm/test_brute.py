@@ -322,6 +322,30 @@ def test_near_vectors(spark):
     assert {i: c for i, (_, c, _) in got.items()} == root
 
 
+def test_lost_pairs_are_seen_beside_a_large_group(monkeypatch):
+    draw = np.random.default_rng(2)
+    center = draw.normal(size=24)
+    large = center + draw.normal(size=(400, 24)) * 0.02
+    twins = np.repeat(draw.normal(size=(400, 24)), 2, axis=0)
+    twins[1::2] += draw.normal(size=(400, 24)) * 0.01
+    v = np.concatenate([large, twins])
+    u = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    graph, plain = hnsw.Graph.build(u), hnsw.Graph.within
+
+    def lossy(self, q, least, first):
+        r, c = plain(self, q, least, first)
+        if first == hnsw.FIRST_BEAM:
+            # Twins lose each other and keep themselves.
+            keep = (c < 400) | (np.abs((q[r] * self.x[c]).sum(axis=1) - 1) < 1e-6)
+            r, c = r[keep], c[keep]
+        return r, c
+
+    monkeypatch.setattr(hnsw.Graph, "within", lossy)
+    r, c = graph.audited(u, 0.95, np.arange(len(u)))
+    found = set(zip(r.tolist(), c.tolist(), strict=True))
+    assert np.mean([(i, i ^ 1) in found for i in range(400, 1200)]) >= 0.98
+
+
 # Toxicity
 
 
