@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreline.llm import exact_dedup, hnsw, licenses, lm_score, mixing, pii, sentencepiece, simhash, toxicity, warc
+from loreline.llm import (
+    conversations, exact_dedup, exact_search, hnsw, lexical_search, licenses, lm_score, mixing, pii, sentencepiece, simhash, toxicity, warc,
+)
 from loreline.llm.common import stored, table, text_or_empty, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,3 +220,59 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [count(i, kind) for i, kind in enumerate(pii.KINDS)]
     everything = F.array_sort(F.concat("base", "more"))
     return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(everything).alias("spans"))
+
+
+@query()
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    fixed = conversations.repaired(conversations.damaged(rows))
+    reports = stored(fixed.reports.join(conversations.digests(fixed.turns), "key", "left").withColumnRenamed("key", "r_key"), "repair-reports")
+    ids = rows.select("conv_id").distinct()
+    empty = hashlib.sha256().hexdigest()
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return ids.join(reports, conversations.key_of(F.col("conv_id")) == F.col("r_key"), "left").select(
+        "conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha", F.lit(empty)).alias("repaired_sha256")
+    )
+
+
+LEXICAL_SQL = r"""
+WITH cut AS (
+  SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+placed AS (SELECT row_no, unnest(ts) AS t FROM cut),
+total AS (SELECT count(*) AS l, count(DISTINCT row_no) AS n FROM placed),
+freq AS (SELECT row_no, t, count(*) AS tf FROM placed GROUP BY row_no, t),
+weights AS (SELECT t, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM freq, total GROUP BY t, n),
+sizes AS (SELECT row_no, 75 + (25 * len(ts) * n) // l AS m FROM cut, total),
+asked AS (SELECT item_no, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM (SELECT row_number() OVER () AS item_no, * FROM benchmark)),
+scored AS (
+  SELECT item_no, any_value(item_id) AS item_id, f.row_no, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN freq f USING (t) JOIN weights USING (t) JOIN sizes s ON f.row_no = s.row_no GROUP BY item_no, f.row_no),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score
+  FROM scored JOIN cut USING (row_no) WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query(LEXICAL_SQL)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+TOP_K_SQL = """
+WITH whole AS (
+  SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score,
+    row_number() OVER (PARTITION BY q.row_no ORDER BY list_dot_product(q.v, c.v) DESC, c.vec_id NULLS LAST) AS rank
+  FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND q.row_no <> c.row_no AND len(q.v) = len(c.v))
+WHERE rank <= 20
+"""
+
+
+@query(TOP_K_SQL)
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
