@@ -16,6 +16,9 @@ from loreline.functions.text import let, strip
 
 TAG = r"<[^>]+>"
 
+# An anchor up to its href, whose value is the group; the other attributes may hold anything in quotes.
+ANCHOR = r"""(?i)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
 # What the HTML standard makes of character references, by rule from the standard library's table:
 # names with and without semicolon, the old Windows characters, and numbers that name nothing.
 NAMED = {name: char for name, char in html5.items()}
@@ -112,9 +115,10 @@ def page_heading(html: Column) -> Column:
 
 
 def page_links(html: Column) -> Column:
-    """The href of every anchor, in order."""
-    found = F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
-    return F.transform(found, unescape)
+    """The href of every anchor, in order, whether in double, single or no quotes."""
+    found = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))
+    bare = F.transform(found, lambda v: F.regexp_replace(v, r"""(?s)^(["'])(.*)\1$""", "$2"))
+    return F.transform(bare, unescape)
 
 
 def drop_heading(html: Column) -> Column:

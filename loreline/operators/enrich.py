@@ -36,16 +36,24 @@ def journal_by_doi(
     return keyed.join(titles.withColumnRenamed("doi", "_doi"), "_doi", "left").drop("_doi")
 
 
+def address_by_doi(items: DataFrame, resolved: DataFrame, item_id: str, wanted: Column) -> DataFrame:
+    """The address that a DOI leads to, as `_address`, for the rows that want one; keys as in `journal_by_doi`."""
+    known = resolved.groupBy(F.col("doi").alias("_doi")).agg(F.min("resolved_url").alias("_address"))
+    apart = F.concat(F.lit("#"), F.col(item_id).cast("string"))
+    return items.withColumn("_doi", F.when(wanted, F.col("doi")).otherwise(apart)).join(known, "_doi", "left").drop("_doi")
+
+
 def enrich(
     items: DataFrame,
     doi_dim: DataFrame,
     item_id: str,
-    resolved: str | None = "resolved_url",
+    resolved: str | DataFrame | None = "resolved_url",
     own_hosts=(),
 ) -> DataFrame:
     """Doi kept or extracted; journal kept, looked up, or by host, prefix, address.
 
-    Adds `source`: kept, lookup, domain, prefix, resolved or none.
+    Adds `source`: kept, lookup, domain, prefix, resolved or none. `resolved` is the column with the address
+    that a row's DOI leads to, or a dimension table (doi, resolved_url); without it that step is left out.
     """
     url = strip(F.coalesce("url", F.lit("")))
     kept_doi = _filled(F.col("doi")) if "doi" in items.columns else F.lit(None).cast("string")
@@ -59,13 +67,15 @@ def enrich(
     has_doi = F.col("doi") != ""
     by_host = F.when(F.startswith("_url", F.lit("http")), journal_by_domain(F.col("_url"), own_hosts))
     by_prefix = F.when(has_doi, journal_by_doi_prefix(F.col("doi")))
-    if resolved is None:
-        by_address = F.lit(None).cast("string")
-    else:
-        by_address = F.when(
-            has_doi & F.startswith("_url", F.lit("https://doi.org/")),
-            journal_by_resolved_domain(F.col(resolved), own_hosts),
-        )
+    led = has_doi & F.startswith("_url", F.lit("https://doi.org/"))
+    by_address = F.lit(None).cast("string")
+    if isinstance(resolved, DataFrame):
+        # Only rows that no step before has named ask for an address.
+        open_ = led & F.coalesce(F.col("_kept"), _filled(F.col("journal_lookup")), by_host, by_prefix).isNull()
+        rows = address_by_doi(rows, resolved, item_id, open_)
+        by_address = F.when(led, journal_by_resolved_domain(F.col("_address"), own_hosts))
+    elif resolved is not None:
+        by_address = F.when(led, journal_by_resolved_domain(F.col(resolved), own_hosts))
     steps = [
         ("kept", F.col("_kept")),
         ("lookup", _filled(F.col("journal_lookup"))),
@@ -85,33 +95,22 @@ def enrich(
         rows.withColumn("_found", found)
         .withColumn("journal", F.col("_found.journal"))
         .withColumn("source", F.col("_found.source"))
-        .drop("_url", "_kept", "_found", "journal_lookup")
+        .drop("_url", "_kept", "_found", "journal_lookup", "_address")
     )
 
 
-def run_counters(enriched: DataFrame) -> DataFrame:
-    """What a run found, one row. Items with a journal from before count as DOIs only."""
+def counters() -> list[Column]:
+    """The counters of enriched rows. Items with a journal from before count as DOIs only."""
     s = F.col("source")
-    return enriched.agg(
+    return [
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("doi") != "").alias("doi_found"),
         F.count_if(s == "lookup").alias("journal_lookup"),
         F.count_if(s.isin("domain", "prefix", "resolved")).alias("journal_domain"),
         F.count_if(s == "none").alias("no_journal"),
-    )
-
+    ]
 
-def extraction_counters(parsed: DataFrame, tagged: DataFrame, deduped: DataFrame) -> DataFrame:
-    """D16 for a scan: tagged lines, items made, lines skipped, copies removed, items left.
 
-    A message with two tagged lines is two hits.
-    """
-    hits = tagged.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("tagged"))
-    made = parsed.agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("extracted")).scalar()
-    left = deduped.agg(F.count(F.lit(1)).alias("final")).scalar()
-    return (
-        hits.withColumn("extracted", made)
-        .withColumn("final", left)
-        .withColumn("skipped", F.col("tagged") - F.col("extracted"))
-        .withColumn("duplicates", F.col("extracted") - F.col("final"))
-    )
+def run_counters(enriched: DataFrame) -> DataFrame:
+    """What a run found, one row. A job that writes the rows anyway observes `counters()` as it does."""
+    return enriched.agg(*counters())

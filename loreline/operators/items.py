@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loreline.functions import mail
@@ -37,14 +37,17 @@ def filter_tagged(df: DataFrame, subject: str = "subject", tag: str = TAG) -> Da
     )
 
 
-def parse_messages(messages: DataFrame) -> DataFrame:
+def parse_messages(messages: DataFrame, window: int | None = mail.BOUNDARY_WINDOW, watch: Observation | None = None) -> DataFrame:
     """Tagged messages with title, sender, dates, keywords and body text.
 
-    `hits` is the number of tagged lines of a message, for the counters of a run.
+    `hits` is the number of tagged lines of a message, for the counters of a run; `watch` gets their sum, also
+    for messages that make no item, when the rows are computed. `window` is that of `select_body`.
     """
+    tagged = prefilter_tagged(messages).withColumn("hits", F.regexp_count("raw", F.lit(mail.TAGGED_LINE)))
+    if watch is not None:
+        tagged = tagged.observe(watch, F.coalesce(F.sum("hits"), F.lit(0)).alias("tagged"))
     parts = (
-        prefilter_tagged(messages)
-        .withColumn("hits", F.regexp_count("raw", F.lit(mail.TAGGED_LINE)))
+        tagged
         .withColumn("message", mail.split_message(F.col("raw")))
         .drop("raw")
     )
@@ -64,6 +67,7 @@ def parse_messages(messages: DataFrame) -> DataFrame:
                     F.col("message.body"),
                     mail.header(h, "Content-Type"),
                     mail.header(h, "Content-Transfer-Encoding"),
+                    window,
                 ),
                 F.lit(""),
             ),

@@ -9,6 +9,25 @@ from pyspark.sql import functions as F
 # Characters of the piece a rule is found by.
 RULE_GRAM = 4
 
+# Rows of a key and bucket that one task sorts; more are split by position, at every so many of a sample.
+CELL_ROWS, PER_CUT = 1_000_000, 32
+
+
+def split_cells(rows: DataFrame, keys: list[str], place: str = "_pos", bucket: str = "_bucket") -> DataFrame:
+    """Rows with `bucket` as a struct (bucket, range): the place of a row among positions that cut a large cell.
+
+    A cell is a key and bucket. One of more than `CELL_ROWS` rows is cut at positions from a sample, drawn by a hash of the
+    position so that every reading of the plan cuts alike; equal positions stay together. Other cells have one range.
+    """
+    cell = [*keys, bucket]
+    large = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > CELL_ROWS)
+    share = PER_CUT * F.ceil(F.col("_n") / CELL_ROWS) / F.col("_n")
+    drawn = rows.select(*cell, place).join(large, cell).filter(F.pmod(F.xxhash64(*keys, place), F.lit(1 << 20)) < share * (1 << 20))
+    cuts = drawn.groupBy(*cell).agg(F.array_sort(F.collect_set(place)).alias("_drawn"))
+    cuts = cuts.select(*cell, F.filter("_drawn", lambda x, i: i % PER_CUT == PER_CUT - 1).alias("_cuts"))
+    below = F.size(F.filter(F.coalesce("_cuts", F.array().cast(rows.select(F.array(place).alias("a")).schema["a"].dataType)), lambda c: c <= F.col(place)))
+    return rows.join(cuts, cell, "left").withColumn(bucket, F.struct(F.col(bucket).alias("bucket"), below.alias("range"))).drop("_cuts")
+
 
 def asof_locate(
     points: DataFrame, bounds: DataFrame, keys: list[str], pos: list[str], bucket: Column
@@ -21,8 +40,8 @@ def asof_locate(
 
     `bucket` is an expression that never falls as `pos` rises, such as the day or
     the 128 MB block. Rows are sorted by (key, bucket), so a key that holds a third
-    of the table is still spread over its buckets; what crosses buckets is one row
-    per bucket, reduced before its shuffle.
+    of the table is still spread over its buckets, and a bucket that is too large for a task is cut
+    by position (`split_cells`); what crosses buckets is one row per bucket, reduced before its shuffle.
     """
     place = F.struct(*pos)
     p = points.select("*", place.alias("_pos"), F.lit(1).alias("_kind"))
@@ -32,6 +51,7 @@ def asof_locate(
         .withColumn("_bucket", bucket)
         .withColumn("_bound", F.when(F.col("_kind") == 0, F.col("_pos")))
     )
+    rows = split_cells(rows, keys)
     cell = [*keys, "_bucket"]
     inside = W.partitionBy(*cell).orderBy("_pos", "_kind")
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)

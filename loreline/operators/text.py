@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 
 from loreline.functions.stopwords import ENGLISH
 from loreline.functions.text import capitalise, let, strip
+from loreline.session import kept
 
 # Fixed value: a word of any script.
 WORD = r"[\p{L}\p{N}_]{2,}"
 
+# Share of rows that names candidates for frequent terms, candidates for each term asked for, and buckets that count the others.
+SAMPLED, CANDIDATES, TERM_BUCKETS = 64, 8, 1 << 18
+
 
 def normalise_title(c: Column) -> Column:
     """Lower case, anything but a-z, 0-9 and white space to a blank, runs collapsed."""
@@ -83,6 +87,15 @@ def doc_terms(items: DataFrame, text: Column, item_id: str, *keep: str, stop_wor
     return counted.select(item_id, *keep, F.inline_outer("_t")).filter(F.col("term").isNotNull())
 
 
+def counted_terms(items: DataFrame, text: Column, item_id: str, *keep: str, stop_words=ENGLISH) -> DataFrame:
+    """A written table with one row per item: a number `_row`, and its terms with their counts.
+
+    Statistics and weights read it, so texts are cut into terms once.
+    """
+    counts = term_counts(ngrams_1_2(text, stop_words)).alias("_t")
+    return kept(items.select(F.monotonically_increasing_id().alias("_row"), item_id, *keep, counts), "terms")
+
+
 def term_statistics(terms: DataFrame) -> DataFrame:
     """Per term its corpus frequency and the number of items it is in.
 
@@ -103,10 +116,56 @@ def top_vocabulary(
 
     `max_df` is a share of `n_items`, the number of all items.
     """
-    kept = stats.filter(F.col("df") >= min_df)
+    within = stats.filter(F.col("df") >= min_df)
     if max_df < 1.0:
-        kept = kept.withColumn("_n", n_items).filter(F.col("df") <= F.col("_n") * max_df).drop("_n")
-    return kept if k is None else kept.orderBy(F.desc("cf"), "term").limit(k)
+        within = within.withColumn("_n", n_items).filter(F.col("df") <= F.col("_n") * max_df).drop("_n")
+    return within if k is None else within.orderBy(F.desc("cf"), "term").limit(k)
+
+
+def frequent_terms(
+    terms: DataFrame, k: int | None, n_items: Column | None = None, min_df: int = 1, max_df: float = 1.0
+) -> DataFrame:
+    """F6 on unfolded terms (term, tf), without a shuffle of all distinct ones.
+
+    A sample of rows names `CANDIDATES` * k terms, a list that is sent to every task. One pass counts these
+    exactly and all others by hash bucket, of which there are `TERM_BUCKETS`. The k-th count among the former
+    is a bound: a term that is to be among the first k must lie in a bucket whose sum reaches it, and only the terms of such
+    buckets are counted on their own. The result is exact whatever the sample held.
+    """
+    if k is None:
+        return top_vocabulary(term_statistics(terms), None, n_items, min_df, max_df)
+    limits = (k, n_items, min_df, max_df)
+    drawn = term_statistics(terms.sample(1 / SAMPLED, seed=1)).orderBy(F.desc("cf"), "term").limit(CANDIDATES * k)
+    named = kept(drawn.select("term", F.lit(True).alias("_named")), "candidates")
+    bucket = F.when(F.col("_named").isNull(), F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)))
+    marked = terms.join(F.broadcast(named), "term", "left").withColumn("_bucket", bucket)
+    sums = marked.groupBy(F.when(F.col("_named"), F.col("term")).alias("term"), "_bucket").agg(
+        F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df")
+    )
+    sums = kept(sums, "term-sums")
+    exact = sums.filter("_bucket IS NULL").drop("_bucket")
+    found, bound = top_vocabulary(exact, *limits).agg(F.count(F.lit(1)), F.min("cf")).first()
+    heavy = sums.filter(F.col("_bucket").isNotNull() & (F.col("cf") >= (bound if found == k else 0))).select("_bucket")
+    if not heavy.isEmpty():
+        # At most one number for each bucket.
+        rest = marked.join(F.broadcast(heavy), "_bucket", "left_semi")
+        exact = exact.unionByName(term_statistics(rest))
+    return top_vocabulary(exact, *limits)
+
+
+def weighed_terms(
+    counted: DataFrame, item_id: str, *keep: str, k: int | None = 500, min_df: int = 1, max_df: float = 1.0
+) -> DataFrame:
+    """I9 on a table of counted terms."""
+    n_items = counted.agg(F.count(F.lit(1))).scalar()
+    terms = counted.select(F.inline("_t"))
+    idf = F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + 1.0
+    vocabulary = frequent_terms(terms, k, n_items, min_df, max_df)
+    model = kept(vocabulary.withColumn("_n", n_items).select("term", idf.alias("idf")), "vocabulary")
+    raw = counted.select("_row", item_id, *keep, F.inline("_t")).join(model, "term").withColumn("_w", F.col("tf") * F.col("idf"))
+    # Ids may repeat, so items are told apart by row; one row per distinct term of an item stands in its window.
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy("_row")))
+    return raw.select(item_id, *keep, "term", "tf", (F.col("_w") / norm).alias("weight"))
 
 
 def tfidf(
@@ -124,17 +183,8 @@ def tfidf(
     weight = tf * (ln((1 + n) / (1 + df)) + 1), n counting items without terms too.
     Terms meet the vocabulary by a join, which Spark broadcasts while it is short.
     """
-    n_items = items.agg(F.count(F.lit(1))).scalar()
-    terms = doc_terms(items, text, item_id, *keep, stop_words=stop_words)
-    vocabulary = top_vocabulary(term_statistics(terms), k, n_items, min_df, max_df)
-    idf = F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + 1.0
-    model = vocabulary.withColumn("_n", n_items).select("term", idf.alias("idf"))
-    rows = items.withColumn("_row", F.monotonically_increasing_id())
-    own = doc_terms(rows, text, item_id, "_row", *keep, stop_words=stop_words)
-    raw = own.join(model, "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    # The row key is made inside, as ids may repeat; one row per distinct term of an item stands in its window.
-    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy("_row")))
-    return raw.select(item_id, *keep, "term", "tf", (F.col("_w") / norm).alias("weight"))
+    counted = counted_terms(items, text, item_id, *keep, stop_words=stop_words)
+    return weighed_terms(counted, item_id, *keep, k=k, min_df=min_df, max_df=max_df)
 
 
 def cluster_centroids(weights: DataFrame, sizes: DataFrame, topic: str = "topic") -> DataFrame:
@@ -189,8 +239,9 @@ def label_topics(
         stop_words = (*stop_words, *names)
     else:
         raise ValueError(f"unknown variant {variant!r}")
-    weights = tfidf(items, text, item_id, topic, k=k, stop_words=stop_words, **bounds)
-    sizes = items.groupBy(topic).agg(F.count(F.lit(1)).alias("n"))
+    counted = counted_terms(items, text, item_id, topic, stop_words=stop_words)
+    weights = weighed_terms(counted, item_id, topic, k=k, **bounds)
+    sizes = counted.groupBy(topic).agg(F.count(F.lit(1)).alias("n"))
     if variant == "papers":
         weights = weights.filter(F.col(topic) != -1)
         sizes = sizes.filter(F.col(topic) != -1)

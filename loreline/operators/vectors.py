@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer
+from pyspark.ml.feature import IDF, PCA, HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,9 +17,14 @@ from pyspark.sql import functions as F
 from loreline.functions.text import item_key
 from loreline.operators.text import ngrams_1_2
 from loreline.schemas import EMBEDDING
+from loreline.session import kept
+from loreline.sources.keyed_store import KeyedStore
 
-# Numbers of a block of centroids, which a task holds as one matrix.
-BLOCK_FLOATS = 10_000_000
+# Numbers of all centroids up to which every task holds them as one matrix; beyond, numbers in a block of rows and of centroids.
+BLOCK_FLOATS, ROW_FLOATS, MODEL_FLOATS = 10_000_000, 250_000, 1_000_000
+
+# Rows that starting centres are drawn from.
+SEED_ROWS = 4096
 
 
 def l2_normalise(v: Column) -> Column:
@@ -65,6 +70,91 @@ def embed(
     return items.withColumn("embedding", encode(F.col(title)))
 
 
+class Runs(NamedTuple):
+    """Centres (run, centre, place) of k-means runs, and the cost of each run."""
+
+    centers: np.ndarray
+    costs: list[float]
+
+
+def fit_runs(unit: DataFrame, k: int, seeds: list[int], iterations: int = 20, tolerance: float = 1e-4) -> Runs:
+    """K-means on the arrays `unit`, one run for each seed, all of them advanced by the same pass over the rows.
+
+    A pass adds up, for each run and centre, the rows nearest to it; what leaves a task is one sum for each, combined before
+    the driver sees runs * k of them. Runs that stand still are left out of further passes. Starting centres are drawn by
+    distance (k-means++) from the `SEED_ROWS` rows with the smallest hashes, so that a start is the same for
+    the same rows and seed, alone or among others. A centre without rows stays where it is.
+    """
+    drawn = unit.orderBy(F.xxhash64("unit"), "unit").limit(SEED_ROWS).toPandas()["unit"]
+    if not len(drawn):
+        return Runs(np.zeros((len(seeds), 0, 0)), [0.0] * len(seeds))
+    sample = np.stack(drawn.to_numpy()).astype(float)
+    centers = np.stack([_spread(sample, k, seed) for seed in seeds])
+    costs = [0.0] * len(seeds)
+    live = list(range(len(seeds)))
+    for step in range(iterations + 1):
+        # The last pass only tells the costs of the centres found.
+        last = step == iterations or not live
+        rows = _pass(unit, centers, list(range(len(seeds))) if last else live).collect()
+        found = np.zeros_like(centers)
+        n = np.zeros(centers.shape[:2])
+        for r in rows:
+            n[r["run"], r["center"]], found[r["run"], r["center"]] = r["n"], r["total"].toArray()
+        if last:
+            for r in rows:
+                costs[r["run"]] += r["cost"]
+            return Runs(centers, costs)
+        new = np.where(n[:, :, None] > 0, found / np.maximum(n, 1)[:, :, None], centers)
+        moved = np.sqrt(((new - centers) ** 2).sum(axis=2)).max(axis=1)
+        centers[live] = new[live]
+        live = [r for r in live if moved[r] > tolerance]
+    raise AssertionError
+
+
+def _spread(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """`k` rows drawn one after the other, each with a chance that grows with its squared distance from those before."""
+    draw = np.random.default_rng(seed)
+    chosen = [int(draw.integers(len(sample)))]
+    far = ((sample - sample[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        total = far.sum()
+        chosen.append(int(draw.choice(len(sample), p=far / total) if total > 0 else draw.integers(len(sample))))
+        far = np.minimum(far, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
+    return sample[chosen]
+
+
+def _pass(unit: DataFrame, centers: np.ndarray, runs: list[int]) -> DataFrame:
+    """(run, center, n, cost, total) of the rows nearest to each centre of some runs."""
+    k, width = centers.shape[1:]
+    model = centers[runs].reshape(-1, width)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        squares = (model * model).sum(axis=1)
+        n, cost, total = np.zeros(len(model)), np.zeros(len(model)), np.zeros((len(model), width))
+        for batch in batches:
+            x = np.stack(batch["unit"].to_numpy()).astype(float)
+            d = (x * x).sum(axis=1)[:, None] - 2.0 * (x @ model.T) + squares
+            for r in range(len(runs)):
+                own = d[:, r * k : (r + 1) * k]
+                at = own.argmin(axis=1)
+                best = np.maximum(own[np.arange(len(at)), at], 0.0)
+                at = at + r * k
+                n += np.bincount(at, minlength=len(model))
+                cost += np.bincount(at, weights=best, minlength=len(model))
+                order = np.argsort(at, kind="stable")
+                starts = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
+                total[at[order][starts]] += np.add.reduceat(x[order], starts, axis=0)
+        seen = np.flatnonzero(n)
+        yield pd.DataFrame({
+            "run": np.array(runs, dtype=int)[seen // k], "center": seen % k, "n": n[seen], "cost": cost[seen], "total": list(total[seen]),
+        })
+
+    parts = unit.mapInPandas(sums, "run int, center int, n double, cost double, total array<double>")
+    return parts.groupBy("run", "center").agg(
+        F.sum("n").alias("n"), F.sum("cost").alias("cost"), Summarizer.sum(array_to_vector("total")).alias("total")
+    )
+
+
 def fit_topics(
     vectors: DataFrame,
     k: int = 20,
@@ -75,36 +165,20 @@ def fit_topics(
 ) -> tuple[DataFrame, DataFrame]:
     """(item and topic, centroids) of the cheapest of several k-means runs.
 
-    Vectors are scaled to unit length first. Topics are numbered by falling size, so
-    that equal clusterings get equal numbers. Runs are iterative Spark jobs.
+    Vectors are scaled to unit length first and written once. Topics are numbered by falling size, so
+    that equal clusterings get equal numbers. All runs share their passes over the vectors.
     """
-    unit = Normalizer(p=2.0, inputCol="_raw", outputCol="_unit").transform(
-        vectors.select(item_id, array_to_vector(F.col(embedding)).alias("_raw"))
-    ).select(item_id, "_unit")
-    unit = unit.persist()
-    best = None
-    for run in range(restarts):
-        fitted = KMeans(
-            k=k, seed=seed + run, featuresCol="_unit", predictionCol="_c", distanceMeasure="euclidean"
-        ).fit(unit)
-        cost = fitted.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, fitted)
-    fitted = best[1]
+    unit = kept(vectors.select(item_id, l2_normalise(F.col(embedding)).alias("unit")), "unit-vectors")
+    runs = fit_runs(unit.select("unit"), k, [seed + r for r in range(restarts)])
+    best = runs.centers[int(np.argmin(runs.costs))]
     spark = vectors.sparkSession
-    centers = [
-        (i, [float(x) for x in c], int(n))
-        for i, (c, n) in enumerate(zip(fitted.clusterCenters(), fitted.summary.clusterSizes))
-    ]
-    ranked = sorted(centers, key=lambda r: (-r[2], r[0]))
-    numbers = {old: new for new, (old, _, _) in enumerate(ranked)}
-    renumber = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
-    topics = fitted.transform(unit).select(item_id, renumber[F.col("_c")].alias("topic"))
-    centroids = spark.createDataFrame(
-        [(new, ranked[new][1]) for new in range(len(ranked))], "topic int, centroid array<double>"
-    )
-    unit.unpersist()
-    return topics, centroids
+    model = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(best)], "topic int, centroid array<double>")
+    placed = kept(assign_topics(unit, model, "unit").select(item_id, F.col("topic").alias("_c")), "placed")
+    sizes = {r["_c"]: r["count"] for r in placed.groupBy("_c").count().collect()}
+    ranked = sorted(sizes, key=lambda c: (-sizes[c], c))
+    numbers = spark.createDataFrame([(c, n, [float(x) for x in best[c]]) for n, c in enumerate(ranked)], "_c int, topic int, centroid array<double>")
+    topics = placed.join(F.broadcast(numbers.select("_c", "topic")), "_c").select(item_id, "topic")
+    return topics, numbers.select("topic", "centroid")
 
 
 def assign_topics(
@@ -112,25 +186,18 @@ def assign_topics(
 ) -> DataFrame:
     """Adds `topic` and `distance2`, the nearest centroid; the lowest id on ties.
 
-    Centroids (topic, centroid) are taken in blocks of `BLOCK_FLOATS` numbers, one
-    matrix product per Arrow batch and block in place of any join; a row keeps the
-    nearest so far. Without centroids topic and distance are null.
+    Centroids (topic, centroid) of up to `BLOCK_FLOATS` numbers in all are one matrix that every task holds: one
+    product per Arrow batch, and no join. More of them stay a table: vectors and centroids are packed into
+    blocks, each pair of blocks is one product, skipped where lengths alone rule it out, and rows keep the nearest.
+    Without centroids topic and distance are null.
     """
-    width = centroids.agg(F.max(F.size("centroid"))).first()[0] or 1
-    size = max(1, BLOCK_FLOATS // width)
-    hits, block = [], []
-    for row in centroids.orderBy("topic").toLocalIterator():
-        block.append(row)
-        if len(block) == size:
-            hits.append(_nearest(block)(F.col(embedding)))
-            block = []
-    if block:
-        hits.append(_nearest(block)(F.col(embedding)))
+    numbers = centroids.agg(F.sum(F.size("centroid"))).first()[0] or 0
+    if numbers > BLOCK_FLOATS:
+        return _assign_in_blocks(vectors, centroids, embedding)
+    rows = centroids.orderBy("topic").collect()
     none = F.lit(None).cast("struct<distance2:double,topic:int>")
-    found = vectors.withColumn("_hit", F.array_min(F.array(*hits)) if hits else none)
-    return found.withColumn("topic", F.col("_hit.topic")).withColumn(
-        "distance2", F.col("_hit.distance2")
-    ).drop("_hit")
+    found = vectors.withColumn("_hit", _nearest(rows)(F.col(embedding)) if rows else none)
+    return found.withColumn("topic", F.col("_hit.topic")).withColumn("distance2", F.col("_hit.distance2")).drop("_hit")
 
 
 def _nearest(rows: list):
@@ -155,6 +222,74 @@ def _nearest(rows: list):
     return nearest.asNondeterministic()
 
 
+def _packed(rows: DataFrame, numbers: int) -> DataFrame:
+    """Rows (id, v) as blocks of at most about that many numbers, packed where they lie."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, held = [], []
+        width = 1
+
+        def block() -> pd.DataFrame:
+            x = np.stack(held).astype("<f8")
+            length = np.sqrt((x * x).sum(axis=1))
+            return pd.DataFrame([{"ids": np.array(ids, "<i8").tobytes(), "vectors": x.tobytes(), "low": length.min(), "high": length.max()}])
+
+        for batch in batches:
+            for i, v in zip(batch["id"], batch["v"], strict=True):
+                ids.append(i)
+                held.append(v)
+                width = len(v)
+                if len(ids) * width >= numbers:
+                    yield block()
+                    ids, held = [], []
+        if ids:
+            yield block()
+
+    return rows.mapInPandas(pack, "ids binary, vectors binary, low double, high double")
+
+
+def _nearest_of_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    last = None
+    for batch in batches:
+        for pair in batch.itertuples():
+            if pair.ids != last:
+                if last is not None:
+                    yield pd.DataFrame({"_row": ids, "distance2": best, "topic": topic})
+                last, ids = pair.ids, np.frombuffer(pair.ids, "<i8")
+                x = np.frombuffer(pair.vectors, "<f8").reshape(len(ids), -1)
+                squares = (x * x).sum(axis=1)
+                best, topic = np.full(len(ids), np.inf), np.zeros(len(ids), "<i8")
+            lengths = np.sqrt(squares)
+            # Two vectors are no nearer than their lengths.
+            apart = np.maximum(np.maximum(lengths - pair.c_high, pair.c_low - lengths), 0.0)
+            open_ = np.flatnonzero(apart * apart <= best * (1 + 1e-9) + 1e-12)
+            if not len(open_):
+                continue
+            topics = np.frombuffer(pair.c_ids, "<i8")
+            model = np.frombuffer(pair.c_vectors, "<f8").reshape(len(topics), -1)
+            d = squares[open_, None] - 2.0 * (x[open_] @ model.T) + (model * model).sum(axis=1)
+            at = d.argmin(axis=1)
+            found = np.maximum(d[np.arange(len(at)), at], 0.0)
+            better = (found < best[open_]) | ((found == best[open_]) & (topics[at] < topic[open_]))
+            best[open_[better]], topic[open_[better]] = found[better], topics[at[better]]
+    if last is not None:
+        yield pd.DataFrame({"_row": ids, "distance2": best, "topic": topic})
+
+
+def _assign_in_blocks(vectors: DataFrame, centroids: DataFrame, embedding: str) -> DataFrame:
+    rows = kept(vectors.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    blocks = kept(_packed(rows.select(F.col("_row").alias("id"), F.col(embedding).alias("v")), ROW_FLOATS), "row-blocks")
+    # Blocks of centroids of like length, so that many are ruled out.
+    squares = F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x * x)
+    in_order = centroids.repartitionByRange(squares).sortWithinPartitions(squares, "topic").select(F.col("topic").cast("long").alias("id"), F.col("centroid").alias("v"))
+    model = kept(_packed(in_order, MODEL_FLOATS), "centroid-blocks")
+    pairs = blocks.crossJoin(model.select(*[F.col(c).alias(f"c_{c}") for c in model.columns]))
+    found = pairs.mapInPandas(_nearest_of_pairs, "_row long, distance2 double, topic long")
+    # A block may have met the centroids in several tasks.
+    nearest = found.groupBy("_row").agg(F.min(F.struct("distance2", F.col("topic").cast("int").alias("topic"))).alias("_hit"))
+    return rows.join(nearest, "_row", "left").withColumn("topic", F.col("_hit.topic")).withColumn("distance2", F.col("_hit.distance2")).drop("_row", "_hit")
+
+
 def dense_centroids(vectors: DataFrame, topic: str = "topic", embedding: str = "embedding") -> DataFrame:
     """D14 for dense vectors: mean vector per topic, combined before the shuffle."""
     mean = Summarizer.mean(array_to_vector(F.col(embedding)))
@@ -201,17 +336,19 @@ def map_points(
 # ---- the embedding store ---------------------------------------------------------
 
 
+def embedding_store(spark: SparkSession, path: str) -> KeyedStore:
+    """Vectors by key, laid out by hash bucket of the key."""
+    return KeyedStore(spark, path, EMBEDDING, "item_key")
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """Stored vectors by key; an empty table when nothing was stored yet."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], EMBEDDING)
-    return spark.read.schema(EMBEDDING).parquet(path)
+    """All stored vectors; an empty table when nothing was stored yet."""
+    return embedding_store(spark, path).read().select("item_key", "embedding")
 
 
 def append_store(vectors: DataFrame, path: str) -> None:
-    """New keys appended; earlier files are never rewritten."""
-    vectors.select("item_key", "embedding").write.mode("append").parquet(path)
+    """Vectors of new keys stored as one batch; keys that are there stay as they are."""
+    embedding_store(vectors.sparkSession, path).add(vectors.select("item_key", "embedding").dropDuplicates(["item_key"]))
 
 
 def new_items(items: DataFrame, store: DataFrame, title: str = "title") -> DataFrame:
@@ -233,10 +370,15 @@ def incremental_embed(
 ) -> DataFrame:
     """Vectors of all items, computing only keys the store does not have.
 
-    New vectors are written before they are used, so a second run finds them.
+    Which keys are new is found from the key column of the buckets that the items fall into;
+    vectors of other buckets are never read. New vectors are written before they are used, so a second
+    run finds them, and many small batches are put together. Items without a title have no vector.
     """
-    spark = items.sparkSession
-    fresh = embed(new_items(items, read_store(spark, path), title), title, model, width)
-    append_store(fresh, path)
-    stored = read_store(spark, path).dropDuplicates(["item_key"])
-    return union_cache(items, stored, stored.limit(0), title)
+    store = embedding_store(items.sparkSession, path)
+    keyed = items.withColumn("item_key", item_key(F.col(title)))
+    firsts = keyed.select("item_key", F.col(title).alias("title")).where("item_key IS NOT NULL").dropDuplicates(["item_key"])
+    buckets = store.touched(keyed)
+    store.append(embed(store.unseen(firsts, buckets=buckets), "title", model, width))
+    store.compact()
+    known = store.read(buckets).select(F.col("bucket").alias("_bucket"), "item_key", "embedding")
+    return keyed.withColumn("_bucket", store.bucket()).join(known, ["_bucket", "item_key"], "left").drop("_bucket")

@@ -121,21 +121,6 @@ def union_folders(i):
     )
 
 
-@query("extraction_counters", "v_messages", sql=MESSAGES + """
-SELECT (SELECT count(*) FROM v_messages WHERE regexp_matches(raw, '(?m)^Subject: \\[paper\\]')) AS tagged,
-  count(*) AS extracted, count(DISTINCT lower(title)) AS final,
-  (SELECT count(*) FROM v_messages WHERE regexp_matches(raw, '(?m)^Subject: \\[paper\\]')) - count(*) AS skipped,
-  count(*) - count(DISTINCT lower(title)) AS duplicates FROM decoded""")
-def extraction_counters(i):
-    messages = i.view("v_messages")
-    tagged = ops.prefilter_tagged(messages).select(F.regexp_count("raw", F.lit(mail.TAGGED_LINE)).alias("hits"))
-    from loreline.operators.enrich import extraction_counters as count
-
-    parsed = ops.parse_messages(messages)
-    deduped = ops.dedupe_first(parsed.select("title", "folder_rank", "ord"), F.struct("folder_rank", "ord"))
-    return count(parsed, tagged, deduped)
-
-
 # ---- links of bodies -------------------------------------------------------------
 
 UNESCAPE = "replace({}, '&amp;', '&')"

@@ -88,7 +88,7 @@ enriched AS (SELECT page_id, coalesce(doi, '') AS doi, CASE
 """
 
 
-def _dim(i):
+def doi_dim(i):
     """DOI dimension over all pages; half of its entries have no container title."""
     v = i.view("v_urls")
     title = F.when(F.col("page_id") % 2 == 0, F.array(F.concat(F.lit("Journal "), F.col("page_id") % 5)))
@@ -143,7 +143,7 @@ def journal_by_doi_prefix(i):
 SELECT page_id, title AS journal_lookup FROM places LEFT JOIN dim USING (doi)""")
 def journal_by_doi(i):
     v = i.view("v_urls").withColumn("doi", identifiers.doi_from_url(F.col("url")))
-    return ops.journal_by_doi(v, _dim(i), "page_id").select("page_id", "journal_lookup")
+    return ops.journal_by_doi(v, doi_dim(i), "page_id").select("page_id", "journal_lookup")
 
 
 @query("journal_by_resolved_domain", "v_urls", sql=PLACES + "SELECT page_id, by_address AS journal FROM named")
@@ -153,7 +153,7 @@ def journal_by_resolved_domain(i):
 
 @query("enrich", "v_urls", sql=PLACES + "SELECT * FROM enriched")
 def enrich(i):
-    return ops.enrich(i.view("v_urls"), _dim(i), "page_id").select("page_id", "doi", "journal", "source")
+    return ops.enrich(i.view("v_urls"), doi_dim(i), "page_id").select("page_id", "doi", "journal", "source")
 
 
 @query("run_counters", "v_urls", sql=PLACES + """
@@ -161,7 +161,7 @@ SELECT count(*) AS total, count(*) FILTER (WHERE doi <> '') AS doi_found, count(
   count(*) FILTER (WHERE source IN ('domain', 'prefix', 'resolved')) AS journal_domain, count(*) FILTER (WHERE source = 'none') AS no_journal
 FROM enriched""")
 def run_counters(i):
-    return ops.run_counters(ops.enrich(i.view("v_urls"), _dim(i), "page_id"))
+    return ops.run_counters(ops.enrich(i.view("v_urls"), doi_dim(i), "page_id"))
 
 
 RULES = ", ".join(f"({n}, {quote(s)}, {quote(v)})" for n, (s, v) in enumerate(V.NATURE_PATHS))
@@ -242,7 +242,7 @@ located AS (SELECT page_id, 'https://site.example.org/' || replace(path, 'index.
 """
 
 
-def _located(i):
+def located(i):
     v = i.view("v_paths")
     n = F.col("page_id") % 6
     registry = v.filter((F.col("path") == "index.html") | F.startswith("path", F.lit("section"))).select(
@@ -261,7 +261,7 @@ def _located(i):
 
 @query("attach_lastmod", "v_paths", sql=INVENTORY + "SELECT page_id, loc, lastmod FROM located")
 def attach_lastmod(i):
-    return _located(i).select("page_id", "loc", "lastmod")
+    return located(i).select("page_id", "loc", "lastmod")
 
 
 @query("union_inventory", "v_paths", sql=INVENTORY + """
@@ -272,7 +272,7 @@ def union_inventory(i):
         F.concat(F.lit("https://site.example.org/"), F.split_part("path", F.lit("/"), F.lit(1)), F.lit("/feed.xml")).alias("loc"),
         F.lit("2026-01-01").alias("lastmod"),
     ).distinct()
-    return lookup.union_inventory(_located(i), feeds)
+    return lookup.union_inventory(located(i), feeds)
 
 
 @query("merge_right_wins", sql="""

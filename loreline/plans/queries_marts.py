@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loreline.functions import identifiers
 from loreline.functions.dates import feed_pubdate
 from loreline.functions.text import item_key, normal_title
 from loreline.operators import items as item_ops
-from loreline.operators import marts, nested, vectors
-from loreline.plans.extract import extract_items
-from loreline.plans.queries_items import KEY, MESSAGES, WS
+from loreline.operators import lookup, marts, nested, vectors
+from loreline.plans.extract import collect_items, extract_items, watches
+from loreline.plans.queries_items import KEY, MESSAGES, TITLES, WS
+from loreline.plans.queries_links import INVENTORY, PLACES, doi_dim, located
 from loreline.plans.queries_text import unescape_sql
 from loreline.plans.registry import clock, query
+from loreline.schemas import ITEM_COLUMNS
 from loreline.session import scratch_path
 from loreline.sources import archives, sinks, tables
 from loreline.streaming import jobs
@@ -188,18 +191,18 @@ def null_if_missing_list(i):
 # ---- files: written from the tables, read back ------------------------------------------------
 
 
-def _write_archives(i) -> str:
-    """Two mail folders written from the messages of the documents, `From ` lines quoted."""
+def _write_archives(i, messages=None) -> str:
+    """Two mail folders written from messages, by default those of the documents, `From ` lines quoted."""
     path = scratch_path(i.spark, "mail")
-    m = i.view("v_messages").withColumn("raw", F.replace("raw", F.lit("\nFrom "), F.lit("\n>From ")))
+    m = (i.view("v_messages") if messages is None else messages).withColumn("raw", F.replace("raw", F.lit("\nFrom "), F.lit("\n>From ")))
     for folder, rank in (("inbox", 0), ("sent", 1)):
         mails = m.filter(F.col("folder_rank") == rank).select(F.concat(F.lit("From "), "raw", F.lit("\n")).alias("value"))
         mails.write.text(f"{path}/{folder}")
     return path
 
 
-def _archive(i):
-    path = _write_archives(i)
+def _archive(i, messages=None):
+    path = _write_archives(i, messages)
     return archives.read_mail_archive(i.spark, [("inbox", 0, f"{path}/inbox"), ("sent", 1, f"{path}/sent")])
 
 
@@ -228,6 +231,50 @@ def extract(i):
     return keyed.join(copies, "key")
 
 
+# Messages with the address of a page in the plain ones, as they stand in an archive.
+ADDRESSED = MESSAGES.replace("FROM v_messages", "FROM addressed").replace(", parts AS", """
+, addressed AS (SELECT m.item_id, folder_rank, ord, replace(replace(raw, chr(10) || 'From ', chr(10) || '>From '),
+    'plain body ', coalesce(url, '') || chr(10) || 'plain body ') AS raw FROM v_messages m LEFT JOIN v_urls ON page_id = m.item_id),
+parts AS""", 1)
+COLLECTED = ADDRESSED + TITLES.replace("FROM v_bodies", "FROM (SELECT * EXCLUDE (title), title AS subject FROM decoded)") + f"""
+, told AS (SELECT *, CASE WHEN body = '' THEN '' WHEN remark THEN subject ELSE left_over END AS comment FROM commented),
+firsts AS (SELECT * FROM told WHERE {KEY} <> '' QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY folder_rank, ord) = 1),
+asked AS (SELECT f.* EXCLUDE (item_id), f.ord AS page_id, '' AS journal, v.resolved_url FROM firsts f LEFT JOIN v_urls v ON v.page_id = f.ord)
+""" + PLACES.replace("FROM v_urls", "FROM asked")
+
+
+def _collect(i, path, watch=None):
+    """The whole job: an archive of the messages, pages as dimensions of DOIs and of the addresses they lead to."""
+    pages = i.view("v_urls").select("page_id", "url", "resolved_url")
+    with_address = i.view("v_messages").join(pages.select(F.col("page_id").alias("item_id"), "url"), "item_id", "left")
+    raw = F.replace("raw", F.lit("plain body "), F.concat(F.coalesce("url", F.lit("")), F.lit("\nplain body ")))
+    leads = pages.select(identifiers.doi_from_url(F.col("url")).alias("doi"), "resolved_url").filter("doi IS NOT NULL")
+    messages = _archive(i, with_address.select("item_id", "folder_rank", "ord", raw.alias("raw")))
+    return collect_items(messages, doi_dim(i), path, resolved=leads, watch=watch)
+
+
+@query("collect_items", "v_messages", "v_urls", sql=COLLECTED + """
+SELECT a.title, url, sender AS "from", date, md5(comment) AS comment_md5, e.doi, e.journal FROM asked a JOIN enriched e USING (page_id)""")
+def collect(i):
+    """Archives to the item file, by the default forms of every step, read back."""
+    path = scratch_path(i.spark, "collected")
+    _collect(i, path)
+    back = i.spark.read.schema(", ".join(f"`{c}` string" for c in ITEM_COLUMNS)).parquet(path)
+    return back.select("title", "url", "from", "date", F.md5("comment").alias("comment_md5"), "doi", "journal")
+
+
+@query("extraction_counters", "v_messages", "v_urls", sql=COLLECTED + """
+, lines AS (SELECT count(*) AS tagged FROM addressed WHERE regexp_matches(raw, '(?m)^Subject: \\[paper\\]'))
+SELECT any_value(tagged) AS tagged, (SELECT count(*) FROM decoded) AS extracted, count(*) AS final, any_value(tagged) - (SELECT count(*) FROM decoded) AS skipped,
+  (SELECT count(*) FROM decoded) - count(*) AS duplicates, count(*) FILTER (WHERE doi <> '') AS doi_found, count(*) FILTER (WHERE source = 'lookup') AS journal_lookup,
+  count(*) FILTER (WHERE source IN ('domain', 'prefix', 'resolved')) AS journal_domain, count(*) FILTER (WHERE source = 'none') AS no_journal FROM enriched, lines""")
+def extraction_counters(i):
+    """Counted by the pass that reads the archive and writes the items."""
+    watch = watches()
+    _collect(i, scratch_path(i.spark, "collected"), watch)
+    return i.spark.createDataFrame([tuple(watch.row().values())], ", ".join(f"{c} bigint" for c in watch.row()))
+
+
 @query("items_csv", "v_items", sql="SELECT item_id, title, text, doi, journal FROM v_items")
 def items_csv(i):
     path = scratch_path(i.spark, "items")
@@ -248,32 +295,53 @@ def write_by_year(i):
     )
 
 
-@query("write_feed", "v_items", sql=f"SELECT item_id, trim(guid, {WS}) AS guid, pubDate, author FROM ({FEED.strip()[1:].join(['WITH ', ''])})")
+FEED_AT = FEED.rindex("SELECT item_id, title")
+
+
+@query("write_feed", "v_items", sql=f"""
+{FEED[:FEED_AT].rstrip()}, feed AS ({FEED[FEED_AT:]})
+SELECT title, link, guid, false AS permanent, author, pubDate, nullif(description, '') AS description, 'Items' AS channel, 'https://site.example.org/items/' AS channel_link,
+  'https://site.example.org/feed.xml' AS address, '2.0' AS version FROM feed""")
 def write_feed(i):
+    """The feed document read back: all fields of its entries and of the channel they stand in."""
     path = scratch_path(i.spark, "feed")
-    sinks.write_feed(_feed(i), path)
-    back = i.spark.read.format("xml").options(rowTag="item").schema("item_id bigint, guid string, pubDate string, author string").load(path)
-    return back.select("item_id", "guid", "pubDate", "author")
+    newest = i.view("v_items").select("item_id", F.col("ts").alias("newest"))
+    sinks.write_feed(
+        _feed(i).join(newest, "item_id"), path, title="Items", link="https://site.example.org/items/", description="Items lately shared",
+        address="https://site.example.org/feed.xml", built="Thu, 01 Jan 2026 00:00:00 +0000", order=[F.desc("newest"), F.col("item_id")],
+    )
+    item = "struct<title: string, link: string, guid: struct<_VALUE: string, _isPermaLink: boolean>, author: string, pubDate: string, description: string>"
+    schema = f"_version string, channel struct<title: string, link: string, `atom:link`: struct<_href: string>, item: array<{item}>>"
+    back = i.spark.read.format("xml").options(rowTag="rss", ignoreSurroundingSpaces=False).schema(schema).load(path)
+    rows = back.select(F.col("_version").alias("version"), "channel", F.explode("channel.item").alias("e"))
+    return rows.select(
+        "e.title", "e.link", F.col("e.guid._VALUE").alias("guid"), F.col("e.guid._isPermaLink").alias("permanent"), "e.author", "e.pubDate",
+        F.nullif("e.description", F.lit("")).alias("description"), F.col("channel.title").alias("channel"), F.col("channel.link").alias("channel_link"),
+        F.col("channel.`atom:link`._href").alias("address"), "version",
+    )
 
 
-@query("write_url_inventory", "v_paths", sql="""
-SELECT 'https://site.example.org/' || replace(path, 'index.html', '') AS loc, '2026-01-01' AS lastmod FROM v_paths""")
+@query("write_url_inventory", "v_paths", sql=INVENTORY + """
+SELECT loc, lastmod FROM located UNION ALL SELECT 'https://site.example.org/items/feed.xml', '2026-01-01'""")
 def write_url_inventory(i):
+    """Pages with their changes, and a feed, as an address list read back."""
     path = scratch_path(i.spark, "sitemap")
-    loc = F.concat(F.lit("https://site.example.org/"), F.replace("path", F.lit("index.html"), F.lit("")))
-    sinks.write_url_inventory(i.view("v_paths").select(loc.alias("loc"), F.lit("2026-01-01").alias("lastmod")), path)
+    feeds = i.spark.sql("SELECT 'https://site.example.org/items/feed.xml' AS loc, '2026-01-01' AS lastmod")
+    sinks.write_url_inventory(lookup.union_inventory(located(i), feeds), path)
     return i.spark.read.format("xml").options(rowTag="url").schema("loc string, lastmod string").load(path)
 
 
 @query("read_nested_records", sql="""
 SELECT c_custkey AS item_id, c_name AS name, 'it''s ' || c_mktsegment AS note FROM customer""")
 def read_nested_records(i):
-    """Customers written as JSON collections, one file per segment, and read back."""
+    """Customers written as JSON collections of about 500, and read back."""
     path = scratch_path(i.spark, "collections")
     record = F.struct(F.col("c_custkey").alias("item_id"), F.col("c_name").alias("name"), F.concat(F.lit("it's "), "c_mktsegment").alias("note"))
-    files = i.table("customer").groupBy("c_mktsegment").agg(F.collect_list(record).alias("items"))
-    one = files.select("c_mktsegment", F.to_json(F.struct(F.struct("items").alias("list"))).alias("value"))
-    one.write.partitionBy("c_mktsegment").text(path)
+    customers = i.table("customer")
+    parts = F.greatest(F.ceil(customers.agg(F.count(F.lit(1))).scalar() / 500), F.lit(1))
+    files = customers.withColumn("part", F.pmod(F.xxhash64("c_custkey"), parts)).groupBy("part").agg(F.collect_list(record).alias("items"))
+    one = files.select("part", F.to_json(F.struct(F.struct("items").alias("list"))).alias("value"))
+    one.write.partitionBy("part").text(path)
     return tables.read_nested_records(i.spark, f"{path}/*/*.txt", "list.items", _record_schema())
 
 
@@ -283,14 +351,28 @@ def _record_schema():
     return T.StructType([T.StructField("item_id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("note", T.StringType())])
 
 
-@query("embedding_store", "v_items", sql=f"SELECT md5({KEY}) AS item_key, count(*) AS items FROM v_items GROUP BY 1")
+def _letters():
+    """A model for checks: length, words and vowels of a title."""
+    import numpy as np
+
+    def encode(titles):
+        bare = [t.strip().lower() for t in titles]
+        return np.array([[len(t), t.count(" "), sum(t.count(v) for v in "aeiou")] for t in bare]).reshape(len(bare), 3)
+
+    return encode
+
+
+@query("embedding_store", "v_items", sql=f"""
+, keyed AS (SELECT item_id, md5({KEY}) AS item_key, {KEY} AS k FROM v_items)
+SELECT item_id, item_key, length(k)::FLOAT AS characters, (length(k) - length(replace(k, ' ', '')))::FLOAT AS blanks,
+  length(regexp_replace(k, '[^aeiou]', '', 'g'))::FLOAT AS vowels FROM keyed""")
 def embedding_store(i):
     """Vectors of all items stored in two runs; the second computes only what is new."""
     path = scratch_path(i.spark, "vectors")
     v = i.view("v_items").select("item_id", "title", "folder")
-    vectors.incremental_embed(v.filter("folder = 'inbox'"), path)
-    both = vectors.incremental_embed(v, path)
-    return both.filter("embedding IS NOT NULL").groupBy("item_key").agg(F.count(F.lit(1)).alias("items"))
+    vectors.incremental_embed(v.filter("folder = 'inbox'"), path, model=_letters)
+    both = vectors.incremental_embed(v, path, model=_letters)
+    return both.select("item_id", "item_key", *[F.col("embedding")[n].alias(c) for n, c in enumerate(("characters", "blanks", "vowels"))])
 
 
 # ---- streams: the same results, piece by piece ---------------------------------------------------
@@ -306,15 +388,22 @@ def ingest_archive_stream(i):
     return back.groupBy(F.col("subject_title").alias("title"), "sender", "date").agg(F.count(F.lit(1)).alias("items"))
 
 
-@query("dedupe_and_merge_stream", "v_items", sql=f"SELECT DISTINCT {KEY} AS key FROM v_items WHERE {KEY} <> ''")
+@query("dedupe_and_merge_stream", "v_items", sql=f"""
+, old AS (SELECT {KEY} AS k, arg_max(struct_pack(doi := doi, journal := journal), ord) AS o FROM v_items
+  WHERE {KEY} <> '' AND (doi <> '' OR journal <> '') GROUP BY 1),
+firsts AS (SELECT {KEY} AS key, arg_min(item_id, folder_rank * 1000000000 + ord) AS item_id FROM v_items WHERE {KEY} <> '' GROUP BY 1)
+SELECT key, md5(key) AS item_key, item_id, coalesce(o.doi, '') AS doi, coalesce(o.journal, '') AS journal FROM firsts LEFT JOIN old ON k = key""")
 def dedupe_and_merge_stream(i):
+    """Two folders arriving one after the other, and a third time the first."""
     source, store, checkpoint = (scratch_path(i.spark, n) for n in ("arriving", "store", "offsets"))
     v = i.view("v_items").select("item_id", "title", "ord", "folder_rank")
-    for rank in (0, 1):
+    old = i.view("v_items").select("title", "doi", "journal", "ord")
+    for rank in (0, 1, 0):
         v.filter(F.col("folder_rank") == rank).write.mode("append").parquet(source)
         stream = i.spark.readStream.schema(v.schema).parquet(source)
-        jobs.dedupe_and_merge_stream(stream, store, checkpoint, "ord").awaitTermination()
-    return i.spark.read.schema("title string").parquet(store).select(normal_title(F.col("title")).alias("key"))
+        jobs.dedupe_and_merge_stream(stream, store, checkpoint, "ord", old).awaitTermination()
+    back = i.spark.read.schema("item_key string, title string, item_id bigint, doi string, journal string").parquet(store)
+    return back.select(normal_title(F.col("title")).alias("key"), "item_key", "item_id", "doi", "journal")
 
 
 @query("weekly_counts_stream", sql=f"""
@@ -331,3 +420,22 @@ def weekly_counts_stream(i):
     run.awaitTermination()
     weeks = i.spark.read.schema("week_start timestamp, count bigint").parquet(sink)
     return weeks.select(clock("week_start").alias("week_start"), "count")
+
+
+@query("weekly_totals_stream", sql=f"""
+WITH arriving AS (SELECT ts, date_trunc('week', ts) AS week, CASE WHEN epoch(ts) % 10 < 3 THEN 1 ELSE 0 END + CASE WHEN epoch(ts) % 10 < 1 THEN 1 ELSE 0 END AS batch FROM events),
+newest AS (SELECT batch, max(ts) AS ts FROM arriving GROUP BY 1),
+known AS (SELECT b.batch, max(n.ts) AS ts FROM newest b JOIN newest n ON n.batch < b.batch GROUP BY 1),
+judged AS (SELECT week, week + INTERVAL 7 DAYS <= known.ts - INTERVAL 7 DAYS AS late FROM arriving LEFT JOIN known USING (batch))
+SELECT strftime(week, {CLOCK}) AS week_start, count(*) FILTER (WHERE late IS NOT TRUE) AS count, count(*) FILTER (WHERE late) AS late FROM judged GROUP BY 1""")
+def weekly_totals_stream(i):
+    """Events arriving in three batches; those of weeks closed by then are late."""
+    e = i.table("events").select("event_id", "ts")
+    source, weeks, closed, checkpoint = (scratch_path(i.spark, n) for n in ("events", "weeks", "closed", "offsets"))
+    second = F.unix_seconds(F.col("ts").cast("timestamp")) % 10
+    batch = (second < 3).cast("int") + (second < 1).cast("int")
+    for n in range(3):
+        e.filter(batch == n).write.mode("append").parquet(source)
+        arriving = i.spark.readStream.schema(e.schema).parquet(source)
+        jobs.weekly_totals_stream(arriving, weeks, closed, checkpoint).awaitTermination()
+    return jobs.weekly_totals(i.spark, weeks, closed).select(clock("week_start").alias("week_start"), "count", "late")

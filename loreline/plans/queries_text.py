@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loreline.functions import html
+from loreline.functions import html, titles
 from loreline.functions.stopwords import ENGLISH
 from loreline.operators import text as ops
 from loreline.operators import vectors
+from loreline.plans.queries_items import NO_LINKS, collapse_sql, title_sql
 from loreline.plans.registry import in_list, query, six
 
 # ---- pages ------------------------------------------------------------------------
@@ -48,14 +49,26 @@ def text_summary(i):
     return i.table("pages").select("page_id", html.text_summary(F.col("html")).alias("summary"))
 
 
+# Every third page with hrefs in single quotes, every third with bare ones.
+QUOTED = """CASE page_id % 3 WHEN 1 THEN regexp_replace(html, 'href="([^"]*)"', 'HREF = ''\\1''', 'g')
+  WHEN 2 THEN regexp_replace(html, 'href="([^" ]*)"', 'title="a > b" href=\\1', 'g') ELSE html END"""
+
+
 @query("read_html_pages", sql=f"""
+WITH quoted AS (SELECT page_id, {QUOTED} AS html FROM pages)
 SELECT page_id, {unescape_sql("regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')")} AS title,
-  array_to_string(list_transform(regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1), lambda u: {unescape_sql('u')}), ' ') AS links,
-  md5(trim({unescape_sql("regexp_replace(html, '<[^>]+>', chr(10), 'g')")}, {WS})) AS text_md5 FROM pages""")
+  array_to_string(list_transform(list_transform(regexp_extract_all(html, '(?i)<a\\s(?:[^>"'']|"[^"]*"|''[^'']*'')*?\\bhref\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1),
+    lambda v: trim(v, '"''')), lambda u: {unescape_sql('u')}), ' ') AS links,
+  md5(trim({unescape_sql("regexp_replace(html, '<[^>]+>', chr(10), 'g')")}, {WS})) AS text_md5 FROM quoted""")
 def read_html_pages(i):
     from loreline.sources.tables import read_html_pages as read
 
-    p = read(i.table("pages"), "html", "page_id")
+    pages = i.table("pages")
+    third = F.col("page_id") % 3
+    single = F.regexp_replace("html", 'href="([^"]*)"', "HREF = '$1'")
+    bare = F.regexp_replace("html", 'href="([^" ]*)"', 'title="a > b" href=$1')
+    pages = pages.withColumn("html", F.when(third == 1, single).when(third == 2, bare).otherwise(F.col("html")))
+    p = read(pages, "html", "page_id")
     return p.select("page_id", "title", F.array_join("links", " ").alias("links"), F.md5("text").alias("text_md5"))
 
 
@@ -72,12 +85,35 @@ def rewrite_links(i):
     return i.table("pages").select("page_id", html.rewrite_links(md, "/lab-manual/").alias("html"))
 
 
-@query("strip_signature")
+PLAIN_TEXT = "trim(regexp_replace({}, '(\\s|\\x{{A0}})+', ' ', 'g'))"
+
+
+@query("strip_signature", sql=f"""
+, bare AS (SELECT page_id, regexp_replace({STRIPPED.format('html')}, '(?s)<nav>.*?</nav>', '', 'g') AS kept FROM pages)
+SELECT page_id, false AS nav_left, md5({PLAIN_TEXT.format(unescape_sql("regexp_replace(kept, '<[^>]+>', chr(10), 'g')"))}) AS text_md5,
+  len(regexp_extract_all(kept, '(?i)<(p|div|a|article)[ >]')) AS opened FROM bare""")
 def strip_signature(i):
-    # Every navigation list plays the signature: nested markup needs the DOM helper.
+    # Every navigation list, lists of links inside, plays the signature.
     marked = F.regexp_replace("html", "<nav>", '<nav class="my-Signature">')
     kept = html.strip_signature(html.strip_style_script(marked))
-    return i.table("pages").select("page_id", F.length(kept).alias("n"), F.contains(kept, F.lit("<nav")).alias("nav_left"))
+    text = F.trim(F.regexp_replace(html.html_to_text(F.col("kept")), r"[\s\xA0]+", " "))
+    return i.table("pages").select("page_id", kept.alias("kept")).select(
+        "page_id", F.contains("kept", F.lit("<nav")).alias("nav_left"), F.md5(text).alias("text_md5"),
+        F.size(F.regexp_extract_all("kept", F.lit("(?i)<(p|div|a|article)[ >]"), F.lit(1))).alias("opened"),
+    )
+
+
+@query("title_from_blocks", sql=f"""
+, clean AS (SELECT page_id, {STRIPPED.format('html')} AS html FROM pages),
+parts AS (SELECT page_id, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS ad, regexp_extract(html, '(?s)</h1>(.*)</article>', 1) AS article FROM clean),
+blocks AS (SELECT page_id, [ad, array_to_string(list_transform(string_split(regexp_replace(article, '<[^>]+>', chr(1), 'g'), chr(1)), lambda s: trim(s, {WS})), '')]
+  || regexp_extract_all(article, '<p>([^<]*)</p>', 1) AS b FROM parts),
+texts AS (SELECT page_id, list_filter(list_transform(b, lambda s: {NO_LINKS.format(unescape_sql('s'))}), lambda s: trim(s, {WS}) <> '') AS b FROM blocks)
+SELECT page_id, list_filter(list_transform(b, lambda s: {collapse_sql('s')}), lambda s: {title_sql('s')})[1] AS title FROM texts""")
+def title_from_blocks(i):
+    """The element form of the title search: elements in page order, each with all the text inside it, closed or not."""
+    blocks = html.dom_view(html.strip_style_script(F.col("html")))["blocks"]
+    return i.table("pages").select("page_id", titles.title_from_blocks(blocks).alias("title"))
 
 
 # ---- terms ------------------------------------------------------------------------
@@ -121,6 +157,10 @@ def _terms(i):
     return ops.doc_terms(i.table("documents"), F.col("text"), "doc_id")
 
 
+def _counted(i):
+    return ops.counted_terms(i.table("documents"), F.col("text"), "doc_id")
+
+
 @query("normalise_title", sql=f"SELECT doc_id, {CLEAN} AS clean FROM documents")
 def normalise_title(i):
     return i.table("documents").select("doc_id", ops.normalise_title(F.col("text")).alias("clean"))
@@ -151,14 +191,14 @@ def term_statistics(i):
 
 @query("top_vocabulary", "v_topics", sql=RAW_TERMS + weights_sql("docs", 500) + "SELECT term, cf, df FROM vocabulary")
 def top_vocabulary(i):
-    return ops.top_vocabulary(ops.term_statistics(_terms(i)), 500)
+    return ops.frequent_terms(_counted(i).select(F.inline("_t")), 500)
 
 
 @query("top_vocabulary_bounded", "v_topics", sql=RAW_TERMS + weights_sql("docs", 1000, "df >= 2 AND df <= n * 0.85") + """
 SELECT term, cf, df FROM vocabulary""")
 def top_vocabulary_bounded(i):
-    n = i.table("documents").agg(F.count(F.lit(1))).scalar()
-    return ops.top_vocabulary(ops.term_statistics(_terms(i)), 1000, n, 2, 0.85)
+    counted = _counted(i)
+    return ops.frequent_terms(counted.select(F.inline("_t")), 1000, counted.agg(F.count(F.lit(1))).scalar(), 2, 0.85)
 
 
 @query("tfidf", "v_topics", sql=CLEAN_TERMS + weights_sql("docs", 500) + """
@@ -169,9 +209,9 @@ def tfidf(i):
 
 
 def _centroids(i):
-    docs = _docs(i)
-    w = ops.tfidf(docs, ops.normalise_title(F.col("text")), "item_id", "topic", k=500)
-    return ops.cluster_centroids(w, docs.groupBy("topic").agg(F.count(F.lit(1)).alias("n")))
+    counted = ops.counted_terms(_docs(i), ops.normalise_title(F.col("text")), "item_id", "topic")
+    w = ops.weighed_terms(counted, "item_id", "topic", k=500)
+    return ops.cluster_centroids(w, counted.groupBy("topic").agg(F.count(F.lit(1)).alias("n")))
 
 
 @query("cluster_centroids", "v_topics", sql=CLEAN_TERMS + weights_sql("docs", 500) + """
@@ -275,8 +315,11 @@ def topic_items(i):
     return marts.topic_items(items, topics, names, coords).select("item_id", "title", "topic", "topic_label", "x", "y")
 
 
-@query("embed")
+@query("embed", "v_items", sql=f"""
+, words AS (SELECT item_id, len(list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({STOP}))) AS n FROM v_items)
+SELECT item_id, 384 AS width, (n + greatest(n - 1, 0))::DOUBLE AS grams FROM words""")
 def embed(i):
+    """Each word and each pair of words adds one to some place of the vector."""
     e = vectors.embed(i.view("v_items").select("item_id", "title"))
     return e.select("item_id", F.size("embedding").alias("width"), F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("grams"))
 
@@ -284,11 +327,45 @@ def embed(i):
 @query("fit_topics")
 def fit_topics(i):
     e = i.table("embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-    topics, _ = vectors.fit_topics(e, k=10, restarts=3)
+    topics, _ = vectors.fit_topics(e)
     return topics
 
 
+@query("fit_topics_checked", sql="""
+SELECT count(*) AS items, 20 AS topics, 0 AS misplaced, 0 AS disordered, 0 AS costlier FROM embeddings""")
+def fit_topics_checked(i):
+    """Ten runs: rows not at their nearest centre, topics not numbered by size, and single runs that cost less."""
+    e = i.table("embeddings").select(F.col("vec_id").alias("item_id"), vectors.l2_normalise(F.col("embedding")).alias("embedding"))
+    topics, centroids = vectors.fit_topics(e)
+    near = vectors.assign_topics(e.join(topics.withColumnRenamed("topic", "own"), "item_id"), centroids)
+    cost = near.agg(F.sum("distance2")).first()[0]
+    unit = e.select(vectors.l2_normalise(F.col("embedding")).alias("unit"))
+    single = [vectors.fit_runs(unit, 20, [42 + r]).costs[0] for r in (0, 4, 9)]
+    sizes = near.groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("topic") != F.col("own")).alias("wrong"))
+    lists = sizes.agg(F.sum("n").alias("items"), F.count(F.lit(1)).alias("topics"), F.sum("wrong").alias("misplaced"), F.array_sort(F.collect_list(F.struct("own", "n"))).alias("l"))
+    falls = F.transform(F.sequence(F.lit(1), F.size("l") - 1), lambda x: (F.get("l", x)["n"] > F.get("l", x - 1)["n"]).cast("int"))
+    return lists.select("items", "topics", "misplaced", F.aggregate(falls, F.lit(0), lambda a, x: a + x).alias("disordered"), F.lit(sum(c < cost - 1e-6 for c in single)).alias("costlier"))
+
+
 @query("project_2d")
 def project_2d(i):
     e = i.table("embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
     return vectors.project_2d(e)
+
+
+@query("project_2d_checked", sql="""
+, wide AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS d FROM embeddings),
+variances AS (SELECT d, var_samp(v) AS s FROM wide GROUP BY d)
+SELECT (SELECT count(*) FROM embeddings) AS items, (SELECT round(sum(s), 6) FROM variances) AS variance, true AS in_order, true AS apart, true AS beats_any_two""")
+def project_2d_checked(i):
+    """Variance of the vectors, and whether the two axes hold more of it than any two places, the first the most, uncorrelated."""
+    e = i.table("embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    x, y = F.var_samp("embedding_x"), F.var_samp("embedding_y")
+    axes = vectors.project_2d(e).agg(F.count(F.lit(1)).alias("items"), x.alias("x"), y.alias("y"), F.covar_samp("embedding_x", "embedding_y").alias("c"))
+    places = e.select(F.posexplode("embedding").alias("d", "v")).groupBy("d").agg(F.var_samp(F.col("v").cast("double")).alias("s"))
+    whole = places.agg(F.struct(F.sum("s").alias("s"), F.slice(F.sort_array(F.collect_list("s"), False), 1, 2).alias("top"))).scalar()
+    axes = axes.withColumn("w", whole)
+    return axes.select(
+        "items", six("w.s").alias("variance"), (F.col("x") >= F.col("y")).alias("in_order"),
+        (F.abs("c") < 1e-6).alias("apart"), (F.col("x") + F.col("y") >= F.col("w.top")[0] + F.col("w.top")[1]).alias("beats_any_two"),
+    )

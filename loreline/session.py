@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -50,6 +50,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str, row_group: int = 16 << 20) -> DataFrame:
+    """A table written to the scratch folder and read back: made once, of known size, safe from lost executors.
+
+    Small row groups let tasks share a file that one task wrote.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("parquet.block.size", row_group).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @cache
 def _local_root() -> str:
     return tempfile.mkdtemp(prefix="loreline-")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,10 +15,74 @@ from loreline.schemas import ITEM_CSV
 
 
 def read_items_csv(spark: SparkSession, path: str, schema: T.StructType = ITEM_CSV) -> DataFrame:
-    """A3: item file with a header and quoted fields that may hold line breaks."""
-    return spark.read.schema(schema).csv(
-        path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=False
+    """A3: item files with a header and quoted fields that may hold line breaks, read in splits.
+
+    A line break inside quotes is one after an odd number of quotes since the start of the file. A first pass
+    counts the quotes of each split, a sum over the splits of a file tells each one whether it begins inside quotes,
+    and the second pass puts lines together to records where they lie. Only the record that crosses the end of a split is
+    shuffled, to meet its rest. Quotes must stand only around fields, and doubled inside them. The header must
+    name the fields of the schema in their order; empty lines are skipped.
+    """
+    # Carriage returns are kept, as they may stand in a field; one before a record's end is cut.
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line")
     )
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    counted = lines.groupBy("file", "start").agg(F.sum(quotes).alias("quotes"))
+    before = F.sum("quotes").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = counted.select("file", "start", (F.coalesce(before, F.lit(0)) % 2).cast("int").alias("inside"))
+    # One row for each split of the files, some hundred thousand for the largest tables.
+    known = spark.createDataFrame(splits.collect(), splits.schema)
+    pieces = lines.join(F.broadcast(known), ["file", "start"]).mapInPandas(_records(schema.fieldNames()), "file string, start long, kind int, record string")
+    parts = pieces.filter("kind IS NOT NULL")
+    # A rest belongs to the last record that was left open before it; a split has one of each at most.
+    opened = F.sum("kind").over(Window.partitionBy("file").orderBy("start", "kind"))
+    stitched = parts.withColumn("opened", opened).groupBy("file", "opened").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "record"))).alias("p"))
+    records = pieces.filter("kind IS NULL").select("record").unionByName(stitched.select(F.array_join(F.col("p.record"), "\n").alias("record")))
+    records = records.select(F.regexp_replace("record", "\r$", "").alias("record")).filter("record <> ''")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    return records.select(F.from_csv("record", ddl, {"quote": '"', "escape": '"'}).alias("r")).select("r.*")
+
+
+def _records(names: list[str]):
+    """Records of the splits (file, start, line, inside) in a task: whole ones without kind, the rest (0) of one
+    that an earlier split left open, and what a split leaves open itself (1)."""
+
+    def check(file: str, header: str) -> None:
+        if next(csv.reader([header.rstrip("\r")])) != names:
+            raise ValueError(f"the header of {file} is {header!r}, not {names}")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, head, first, odd = None, [], False, False, False
+        out = []
+
+        def end_of_split() -> None:
+            if held:
+                out.append((*at, 0 if head else 1, "\n".join(held)))
+
+        for batch in batches:
+            for file, start, line, inside in zip(batch["file"], batch["start"], batch["line"], batch["inside"], strict=True):
+                if (file, start) != at:
+                    end_of_split()
+                    at, held, head, first, odd = (file, start), [], bool(inside), start == 0, bool(inside)
+                held.append(line)
+                odd ^= bool(line.count('"') % 2)
+                if odd:
+                    continue
+                record = "\n".join(held)
+                if first:
+                    check(file, record)
+                else:
+                    out.append((file, start, 0 if head else None, record))
+                held, head, first = [], False, False
+            if out:
+                yield pd.DataFrame(out, columns=["file", "start", "kind", "record"]).astype({"kind": "Int32"})
+                out = []
+        end_of_split()
+        if out:
+            yield pd.DataFrame(out, columns=["file", "start", "kind", "record"]).astype({"kind": "Int32"})
+
+    return cut
 
 
 def read_nested_records(

@@ -3,10 +3,13 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loreline.operators import marts, nested, series, vectors
+from loreline.operators import lookup, marts, nested, series, vectors
+from loreline.operators import text as ops
 from loreline.schemas import ART, ITEM_COLUMNS, NEWS, PUBLICATION
 from loreline.sources import sinks, tables
+from loreline.sources.keyed_store import KeyedStore
 from loreline.streaming import jobs
 
 
@@ -22,6 +25,56 @@ def test_items_csv_keeps_long_quoted_fields(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "twin")).columns == ITEM_COLUMNS
 
 
+@pytest.mark.parametrize("split", [64, 300, 5000])
+def test_items_csv_in_splits(spark, tmp_path, split):
+    import csv as plain
+    import random
+
+    draw = random.Random(split)
+    bits = ["a", ",", '"', "\n", "\r\n", " ", "é", '""', "\n\n", "x" * 40, "word"]
+    header = ["title", "text", "n"]
+    for name in ("one", "two"):
+        rows = [[f"{name}{i}", "".join(draw.choices(bits, k=draw.choice([0, 1, 5, 60]))), str(i)] for i in range(150)]
+        rows[40][1] = "y\n" * 400  # a field longer than a split
+        with open(tmp_path / f"{name}.csv", "w", newline="") as f:
+            plain.writer(f, lineterminator="\r\n" if name == "two" else "\n").writerows([header, *rows])
+    schema = T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType())])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        df = tables.read_items_csv(spark, str(tmp_path / "*.csv"), schema)
+        got = sorted((r["title"], r["text"] or "", r["n"]) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = []
+    for name in ("one", "two"):
+        with open(tmp_path / f"{name}.csv", newline="") as f:
+            want += [(t, x, int(n)) for t, x, n in list(plain.reader(f))[1:]]
+    assert got == sorted(want)
+
+
+def test_items_csv_with_another_header(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("title,other\na,b\n")
+    schema = T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())])
+    with pytest.raises(Exception, match="header"):
+        tables.read_items_csv(spark, str(tmp_path / "x.csv"), schema).collect()
+
+
+def test_a_large_cell_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "CELL_ROWS", 200)
+    points = spark.range(4000).select(F.lit("k").alias("key"), (F.col("id") * 7 % 4001).alias("at"), F.lit(1).alias("day"))
+    rows = points.select("key", F.struct("at").alias("_pos"), F.col("day").alias("_bucket"))
+    sizes = [r["count"] for r in lookup.split_cells(rows, ["key"]).groupBy("_bucket").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 800 and sum(sizes) == 4000
+    bounds = spark.createDataFrame([("k", n) for n in range(5, 4001, 93)], "key string, at long")
+    cut = lookup.asof_locate(points.drop("day"), bounds, ["key"], ["at"], F.lit(1))
+    got = sorted((r["at"], r["start"]["at"], r["end"] and r["end"]["at"]) for r in cut.collect())
+    marks = list(range(5, 4001, 93))
+    want = [(a, max(m for m in marks if m <= a), min((m for m in marks if m > a), default=None)) for a in range(4001) if a >= 5]
+    there = {r["at"] for r in points.collect()}
+    assert got == [w for w in want if w[0] in there]
+
+
 def test_years_are_laid_out_newest_first(spark, tmp_path):
     path = str(tmp_path / "years")
     # One year holds most rows; its files must be in order and hold all of them.
@@ -68,10 +121,21 @@ def test_posts(spark, tmp_path):
 
 
 def test_feed_file(spark, tmp_path):
-    df = spark.createDataFrame([(1, "a <b> & c", "g")], "item_id int, title string, guid string")
-    sinks.write_feed(df, str(tmp_path / "feed"))
-    back = spark.read.format("xml").options(rowTag="item").schema("title string").load(str(tmp_path / "feed"))
-    assert back.first()["title"] == "a <b> & c"
+    import glob
+    from xml.etree import ElementTree
+
+    df = spark.createDataFrame([(1, "a <b> & c", "g", None), (2, "two", "h", "someone"), (3, "three", None, "")], "item_id int, title string, guid string, author string")
+    sinks.write_feed(df.repartition(3), str(tmp_path / "feed"), title="T", link="http://l", description="D", address="http://l/feed.xml", built="now", order=[F.desc("item_id")], n=2)
+    (file,) = glob.glob(str(tmp_path / "feed/part-*"))
+    rss = ElementTree.parse(file).getroot()
+    assert rss.tag == "rss" and rss.get("version") == "2.0"
+    (channel,) = rss
+    assert [channel.find(t).text for t in ("title", "link", "description", "language", "lastBuildDate")] == ["T", "http://l", "D", "en-us", "now"]
+    assert channel.find("{http://www.w3.org/2005/Atom}link").get("href") == "http://l/feed.xml"
+    three, two = channel.findall("item")
+    assert three.find("title").text == "three" and three.find("guid") is None
+    assert two.find("guid").text == "h" and two.find("guid").get("isPermaLink") == "false" and two.find("author").text == "someone"
+    assert [e.tag for e in two] == ["title", "guid", "author"]
 
 
 def test_store_embeds_each_key_once(spark, tmp_path):
@@ -154,6 +218,88 @@ def test_merge_stream_equals_batch(spark, tmp_path):
     assert got == [(1, "10.1/x"), (4, "")]
 
 
+def keyed(spark, path, buckets=64):
+    return KeyedStore(spark, path, T.StructType([T.StructField("item_key", T.StringType()), T.StructField("n", T.IntegerType())]), "item_key", buckets)
+
+
+def rows_of(spark, *rows):
+    return spark.createDataFrame(rows, "item_key string, n int")
+
+
+def test_store_reads_only_the_buckets_of_a_batch(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store = keyed(spark, path)
+    store.add(spark.range(2000).select(F.col("id").cast("string").alias("item_key"), F.col("id").cast("int").alias("n")))
+    assert len(store.batches()) == 64
+    new = rows_of(spark, ("7", 70), ("8", 80), ("x", 1))
+    buckets = store.touched(new)
+    assert 1 < len(buckets) <= 3
+    read = {f.split("bucket=")[1].split("/")[0] for f in store.read(buckets).inputFiles()}
+    assert read == {str(b) for b in buckets}
+    plan = store.unseen(new)._jdf.queryExecution().executedPlan().toString()
+    assert "n#" not in plan.split("FileScan")[1].split("ReadSchema")[0].split("Batched")[0]
+    assert [r["item_key"] for r in store.unseen(new).collect()] == ["x"]
+    store.add(new)
+    assert sorted(store.batches()[b] for b in store.batches() if 1 in store.batches()[b]) == [[0, 1]]
+    back = {r["item_key"]: r["n"] for r in store.read().collect()}
+    assert len(back) == 2001 and back["7"] == 7 and back["x"] == 1
+    # The number of buckets is that of the store, whatever is asked for later.
+    assert keyed(spark, path, 5).buckets == 64
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    store = keyed(spark, str(tmp_path / "store"), 4)
+    for _ in range(2):
+        store.add(rows_of(spark, ("a", 1), ("b", 2)), 0)
+        store.add(rows_of(spark, ("b", 3), ("c", 4)), 1)
+    assert sorted((r["item_key"], r["n"]) for r in store.read().collect()) == [("a", 1), ("b", 2), ("c", 4)]
+    store.compact(1)
+    store.add(rows_of(spark, ("b", 3), ("c", 4)), 1)
+    assert sorted((r["item_key"], r["n"]) for r in store.read().collect()) == [("a", 1), ("b", 2), ("c", 4)]
+
+
+def test_compaction_that_is_broken_off(spark, tmp_path, monkeypatch):
+    path = tmp_path / "store"
+    store = keyed(spark, str(path), 2)
+    for n in range(5):
+        store.add(rows_of(spark, *[(f"{n}-{k}", n) for k in range(20)]))
+    whole = sorted(tuple(r) for r in store.read().select("item_key", "n").collect())
+    # Nothing was moved yet: the next one to open the store ends it.
+    monkeypatch.setattr(KeyedStore, "_recover", lambda self: None)
+    assert store.compact(3) == [0, 1]
+    monkeypatch.undo()
+    assert (path / "_compacting/_marked").exists()
+    # Half of it was moved: one bucket's old files are gone.
+    import shutil
+
+    for old in (path / "bucket=0").iterdir():
+        shutil.rmtree(old)
+    again = keyed(spark, str(path))
+    assert again.batches() == {0: [-1], 1: [-1]} and not (path / "_compacting").exists()
+    assert sorted(tuple(r) for r in again.read().select("item_key", "n").collect()) == whole
+    # What was not marked is dropped.
+    (path / "_compacting/bucket=0").mkdir(parents=True)
+    assert sorted(tuple(r) for r in keyed(spark, str(path)).read().select("item_key", "n").collect()) == whole
+    for n in range(3):
+        again.add(rows_of(spark, *[(f"more-{n}-{k}", n) for k in range(20)]))
+    again.compact(2)
+    assert again.batches() == {0: [-1], 1: [-1]} and again.read().count() == len(whole) + 60
+
+
+def test_weekly_totals_with_late_items(spark, tmp_path):
+    source, weeks, closed, offsets = (str(tmp_path / n) for n in ("source", "weeks", "closed", "offsets"))
+    batches = [["2024-01-02", "2024-01-03", "2024-01-30", None], ["2024-01-01", "2024-01-28", "2024-02-20"], ["2024-01-29", "2024-02-21"]]
+    for days in batches:
+        spark.createDataFrame([(d,) for d in days], "d string").select(F.to_timestamp("d").alias("ts")).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("ts timestamp").parquet(source)
+        jobs.weekly_totals_stream(stream, weeks, closed, offsets).awaitTermination()
+    got = {str(r["week_start"])[:10]: (r["count"], r["late"]) for r in jobs.weekly_totals(spark, weeks, closed).collect()}
+    # 7 days behind the 30th no week later than the 15th has ended, so the 28th is in time.
+    assert got == {"2024-01-01": (2, 1), "2024-01-22": (1, 0), "2024-01-29": (1, 1), "2024-02-19": (2, 0)}
+    given = sorted((str(r["week_start"])[:10], r["count"], r["late"], r["batch"]) for r in spark.read.parquet(closed).collect())
+    assert given == [("2024-01-01", 1, True, 1), ("2024-01-01", 2, False, 0), ("2024-01-22", 1, False, 1), ("2024-01-29", 1, False, 1), ("2024-01-29", 1, True, 2)]
+
+
 def test_weekly_stream_equals_batch(spark, tmp_path):
     source = str(tmp_path / "events")
     e = spark.range(500).select((F.lit(1704067200) + F.col("id") * 5000).cast("timestamp").alias("ts"))
@@ -178,6 +324,53 @@ def test_all_series_cover_the_grid(spark):
     assert by[-1] == sum(c for t, c in by.items() if t != -1)
 
 
+def test_many_centroids_as_a_table(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x, c = rng.normal(0, 1, (500, 6)), rng.normal(0, 1, (700, 6)) * rng.uniform(0.2, 3, (700, 1))
+    points = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id int, embedding array<float>").repartition(4)
+    model = spark.createDataFrame([(i * 3, [float(a) for a in v]) for i, v in enumerate(c)], "topic int, centroid array<double>").repartition(5)
+    held = {r["id"]: (r["topic"], r["distance2"]) for r in vectors.assign_topics(points, model).collect()}
+    for name, n in (("BLOCK_FLOATS", 100), ("ROW_FLOATS", 300), ("MODEL_FLOATS", 120)):
+        monkeypatch.setattr(vectors, name, n)
+    monkeypatch.setattr(vectors, "_nearest", None)
+    apart = vectors.assign_topics(points, model)
+    assert apart.columns == ["id", "embedding", "topic", "distance2"]
+    got = {r["id"]: (r["topic"], r["distance2"]) for r in apart.collect()}
+    assert {i: t for i, (t, _) in got.items()} == {i: t for i, (t, _) in held.items()}
+    assert all(abs(got[i][1] - held[i][1]) < 1e-9 for i in got)
+
+
+def test_runs_share_passes_and_match_single_ones(spark):
+    rng = np.random.default_rng(8)
+    unit = spark.createDataFrame([([float(a) for a in v],) for v in rng.normal(0, 1, (400, 5))], "unit array<double>").repartition(3).cache()
+    both = vectors.fit_runs(unit, 6, [1, 2, 3], iterations=50)
+    for n, seed in enumerate((1, 2, 3)):
+        alone = vectors.fit_runs(unit, 6, [seed], iterations=50)
+        assert abs(alone.costs[0] - both.costs[n]) < 1e-6 and np.allclose(alone.centers[0], both.centers[n])
+    x = np.array([r["unit"] for r in unit.collect()])
+    d = ((x[:, None] - both.centers[0]) ** 2).sum(axis=2)
+    assert abs(d.min(axis=1).sum() - both.costs[0]) < 1e-6
+    means = np.stack([x[d.argmin(axis=1) == c].mean(axis=0) for c in range(6)])
+    assert np.abs(means - both.centers[0]).max() < 1e-3
+    assert vectors.fit_runs(unit.limit(0), 6, [1, 2]).costs == [0.0, 0.0]
+
+
+def test_frequent_terms_whatever_the_sample(spark, monkeypatch):
+    import random
+
+    draw = random.Random(6)
+    rows = [(f"t{int(draw.paretovariate(0.6)) % 900}", draw.choice([1, 1, 3])) for _ in range(6000)] + [("rare", 40000)]
+    terms = spark.createDataFrame(rows, "term string, tf long").repartition(4)
+    stats = ops.term_statistics(terms)
+    for sampled, buckets in ((1, 1 << 18), (50, 64), (3000, 7), (10**9, 64)):
+        monkeypatch.setattr(ops, "SAMPLED", sampled)
+        monkeypatch.setattr(ops, "TERM_BUCKETS", buckets)
+        for k, low, high in ((5, 1, 1.0), (40, 2, 0.02), (5000, 1, 1.0)):
+            n = F.lit(6001)
+            want = [tuple(r) for r in ops.top_vocabulary(stats, k, n, low, high).collect()]
+            assert [tuple(r) for r in ops.frequent_terms(terms, k, n, low, high).collect()] == want
+
+
 def test_centroids_in_blocks(spark, monkeypatch):
     import random
 
