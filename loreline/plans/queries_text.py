@@ -191,14 +191,14 @@ def term_statistics(i):
 
 @query("top_vocabulary", "v_topics", sql=RAW_TERMS + weights_sql("docs", 500) + "SELECT term, cf, df FROM vocabulary")
 def top_vocabulary(i):
-    return ops.frequent_terms(_counted(i).select(F.inline("_t")), 500)
+    return ops.frequent_terms(ops.unfolded(_counted(i)), 500)
 
 
 @query("top_vocabulary_bounded", "v_topics", sql=RAW_TERMS + weights_sql("docs", 1000, "df >= 2 AND df <= n * 0.85") + """
 SELECT term, cf, df FROM vocabulary""")
 def top_vocabulary_bounded(i):
     counted = _counted(i)
-    return ops.frequent_terms(counted.select(F.inline("_t")), 1000, counted.agg(F.count(F.lit(1))).scalar(), 2, 0.85)
+    return ops.frequent_terms(ops.unfolded(counted), 1000, counted.agg(F.count(F.lit(1))).scalar(), 2, 0.85)
 
 
 @query("tfidf", "v_topics", sql=CLEAN_TERMS + weights_sql("docs", 500) + """
