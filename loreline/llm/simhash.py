@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache, reduce
 from itertools import product
-from math import acos, pi
 
 import numpy as np
 import pandas as pd
@@ -14,26 +11,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreline.llm.common import WORD, packed, stored, text_or_empty
+from loreline.llm.common import packed, stored, text_or_empty
 from loreline.llm.components import components, forest
 
-#: Quarters of a 64-bit fingerprint whose population counts name a tile, and the largest radius this is used for.
-QUARTERS, QUARTER_RADIUS = 4, 4
-#: Fingerprints in one tile; a larger one is split by hash.
-TILE_ROWS = 8192
-#: Shingles whose bits are added up at once, and pairs compared at once.
-BLOCK, PAIRS = 16384, 65536
-#: Smaller nodes that a node is compared with in the first round of verification, and how that number grows by round.
-FIRST_ASKED, ASKED_GROWTH = 1, 16
+#: The largest radius for which tiles are named by the counts of both halves of 64 bits.
+HALVES_RADIUS = 4
+#: Fingerprints in one tile, a larger one is split by hash; and in a run of a tile, which is in order of so many quarters' counts.
+TILE_ROWS, RUN_ROWS, QUARTERS = 8192, 128, 4
+#: Shingles whose bits are added up at once.
+BLOCK = 16384
 #: Odd constants that turn one hash into further words of a long fingerprint.
 STEP = 0x9E3779B97F4A7C15
 
 
-def radius_for(bits: int, cosine: float) -> int:
-    """Differing bits up to which fingerprints stand for a cosine of at least this."""
-    return int(bits * acos(cosine) / pi)
-
-
 def widened(values: np.ndarray, words: int) -> np.ndarray:
     """Each hash followed by `words` - 1 further ones mixed from it."""
     out = np.empty((len(values), words), dtype=np.uint64)
@@ -72,23 +62,23 @@ def fingerprint(text: str, shingle: int, bits: int = 64) -> bytes:
     return np.packbits(2 * ones > n).tobytes()
 
 
-def tile_of(prints: np.ndarray, quarters: bool) -> np.ndarray:
-    """What a fingerprint's tile is named by: the population counts of its quarters, or that of the whole."""
-    if quarters:
-        counts = np.bitwise_count(prints.astype(">u8").view(">u2").reshape(-1, QUARTERS)).astype(np.int32)
-        return counts @ (17 ** np.arange(QUARTERS, dtype=np.int32))
+def tile_of(prints: np.ndarray, halves: bool) -> np.ndarray:
+    """What a fingerprint's tile is named by: the population counts of its halves, or that of the whole."""
+    if halves:
+        counts = np.bitwise_count(prints.astype(">u8").view(">u4").reshape(-1, 2)).astype(np.int32)
+        return counts @ (33 ** np.arange(2, dtype=np.int32))
     return np.bitwise_count(prints).sum(axis=1, dtype=np.int32)
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 64, radius: int = 3) -> DataFrame:
     """(doc_id, fp, tile) of each row; null text counts as empty."""
-    quarters = bits == 64 and radius <= QUARTER_RADIUS
+    halves = bits == 64 and radius <= HALVES_RADIUS
 
     @F.pandas_udf("struct<fp binary, tile int>")
     def print_of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             found = [fingerprint(t, shingle, bits) for t in batch]
-            yield pd.DataFrame({"fp": found, "tile": tile_of(unpacked(b"".join(found), bits), quarters)})
+            yield pd.DataFrame({"fp": found, "tile": tile_of(unpacked(b"".join(found), bits), halves)})
 
     row = packed(docs)
     read = row.select(F.col(f"row.`{id_col}`").alias("doc_id"), print_of(text_or_empty(F.col(f"row.`{text_col}`"))).alias("print"))
@@ -99,60 +89,86 @@ def unpacked(data: bytes, bits: int) -> np.ndarray:
     return np.frombuffer(data, dtype=">u8").astype(np.uint64).reshape(-1, bits // 64)
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of all pairs of rows within the radius, some rows of `a` at a time."""
-    words = a.shape[1]
-    left, right = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
-    first = min(2, words)
-    rows = max(1, PAIRS // max(1, len(b)))
-    for i in range(0, len(a), rows):
-        apart = np.bitwise_count(left[0][i : i + rows, None] ^ right[0])
-        for k in range(1, first):
-            apart += np.bitwise_count(left[k][i : i + rows, None] ^ right[k])
+class Sorted:
+    """A tile's fingerprints in runs of like population counts of their words' quarters, with the range of each count by run."""
+
+    def __init__(self, data: bytes, bits: int):
+        values = unpacked(data, bits)
+        counts = np.bitwise_count(values.astype(">u8").view(">u2")).astype(np.int16).reshape(len(values), -1)
+        order = np.lexsort(counts.T[:QUARTERS])
+        self.values, counts = values[order], counts[order]
+        self.starts = np.arange(0, len(values), RUN_ROWS)
+        self.low, self.high = np.minimum.reduceat(counts, self.starts), np.maximum.reduceat(counts, self.starts)
+
+    def runs(self, chosen: np.ndarray) -> np.ndarray:
+        places = (self.starts[chosen][:, None] + np.arange(RUN_ROWS)).ravel()
+        return places[places < len(self.values)]
+
+
+def near_pairs(a: Sorted, b: Sorted, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs within the radius, a run of `a` at a time against the runs of `b` that can hold one."""
+    words = a.values.shape[1]
+    for i, start in enumerate(a.starts):
+        gap = np.maximum(np.maximum(a.low[i] - b.high, b.low - a.high[i]), 0).sum(axis=1)
+        places = b.runs(np.flatnonzero(gap <= radius))
+        one, other = a.values[start : start + RUN_ROWS], b.values[places]
+        apart = np.bitwise_count(one[:, :1] ^ other[:, 0])
+        for k in range(1, min(2, words)):
+            apart = apart + np.bitwise_count(one[:, k : k + 1] ^ other[:, k])
         x, y = np.nonzero(apart <= radius)
-        if first < words and len(x):
+        if words > 2 and len(x):
             # The words compared so far can't differ in more bits than all.
-            rest = np.bitwise_count(a[i + x, first:] ^ b[y, first:]).sum(axis=1, dtype=np.int64) + apart[x, y]
+            rest = np.bitwise_count(one[x, 2:] ^ other[y, 2:]).sum(axis=1, dtype=np.int64) + apart[x, y]
             x, y = x[rest <= radius], y[rest <= radius]
-        yield i + x, y
-
-
-def links_between(a: bytes, b: bytes, bits: int, radius: int) -> tuple[list[bytes], list[bytes]]:
-    """A spanning forest, as (value, smaller value), of the links within the radius between two tiles."""
-    width = bits // 8
-    values = np.frombuffer(a + b, dtype=f"V{width}")
-    # Bytes with the high bits first sort as numbers do; the structured view lets numpy sort them.
-    nodes, place = np.unique(values.view([(f"w{k}", ">u8") for k in range(bits // 64)]), return_inverse=True)
-    root = np.arange(len(nodes))
-    cut = len(a) // width
-    at_a, at_b = place[:cut], place[cut:]
-    for x, y in near_pairs(unpacked(a, bits), unpacked(b, bits), radius):
-        u, v = root[at_a[x]], root[at_b[y]]
+        if len(x):
+            yield start + x, places[y]
+
+
+def links_between(a: bytes, b: bytes, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as pairs of values, of the links within the radius between two tiles, or inside one."""
+    x = Sorted(a, bits)
+    same = a == b
+    y = x if same else Sorted(b, bits)
+    root = None
+    for u, v in near_pairs(x, y, radius):
+        if same:
+            u, v = u[u < v], v[u < v]
+        else:
+            v = v + len(x.values)
+        if not len(u):
+            continue
+        if root is None:
+            root = np.arange(len(x.values) + (0 if same else len(y.values)))
+        u, v = root[u], root[v]
         if (u != v).any():
-            root = forest(u, v, len(nodes))[root]
-    off = np.flatnonzero(root != np.arange(len(nodes)))
-    return [x.tobytes() for x in nodes[off]], [x.tobytes() for x in nodes[root[off]]]
+            root = forest(u, v, len(root))[root]
+    if root is None:
+        return x.values[:0], x.values[:0]
+    values = x.values if same else np.concatenate([x.values, y.values])
+    off = np.flatnonzero(root != np.arange(len(root)))
+    return values[off], values[root[off]]
 
 
 def _compare(bits: int, radius: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for one, other in zip(batch["one"], batch["other"], strict=True):
-                a, b = links_between(one, other, bits, radius)
-                yield pd.DataFrame({"a": a, "b": b})
+            found = [links_between(one, other, bits, radius) for one, other in zip(batch["one"], batch["other"], strict=True)]
+            columns = [np.concatenate(side).astype(">u8") for side in zip(*found, strict=True)] if found else []
+            if columns and len(columns[0]):
+                yield pd.DataFrame({name: [row.tobytes() for row in side] for name, side in zip("ab", columns, strict=True)})
 
     return run
 
 
-def tiles_met(radius: int, quarters: bool) -> tuple[F.Column, F.Column] | F.Column:
+def tiles_met(radius: int, halves: bool) -> F.Column:
     """The tiles whose counts a fingerprint within the radius of one in `tile` can have, each pair of tiles once."""
-    if not quarters:
+    if not halves:
         return F.sequence(F.col("tile"), F.col("tile") + radius)
-    steps = [s for s in product(range(-radius, radius + 1), repeat=QUARTERS) if sum(map(abs, s)) <= radius and s >= (0,) * QUARTERS]
-    counts = [F.floor(F.col("tile") / 17**q).cast("int") % 17 for q in range(QUARTERS)]
-    moved = F.array(*[F.struct(*[F.lit(x).alias(f"s{q}") for q, x in enumerate(s)]) for s in steps])
-    inside = F.filter(moved, lambda s: F.least(*[counts[q] + s[f"s{q}"] for q in range(QUARTERS)]).between(0, 16) & F.greatest(*[counts[q] + s[f"s{q}"] for q in range(QUARTERS)]).between(0, 16))
-    return F.transform(inside, lambda s: F.col("tile") + sum((s[f"s{q}"] * 17**q for q in range(QUARTERS)), F.lit(0)))
+    steps = [s for s in product(range(-radius, radius + 1), repeat=2) if sum(map(abs, s)) <= radius and s >= (0, 0)]
+    low, high = F.col("tile") % 33, F.floor(F.col("tile") / 33).cast("int")
+    moved = F.array(*[F.struct(F.lit(x).alias("low"), F.lit(y).alias("high")) for x, y in steps])
+    inside = F.filter(moved, lambda s: (low + s["low"]).between(0, 32) & (high + s["high"]).between(0, 32))
+    return F.transform(inside, lambda s: F.col("tile") + s["low"] + s["high"] * 33)
 
 
 def links(prints: DataFrame, bits: int = 64, radius: int = 3) -> DataFrame:
@@ -160,39 +176,30 @@ def links(prints: DataFrame, bits: int = 64, radius: int = 3) -> DataFrame:
 
     Every pair of fingerprints in tiles that can hold such a pair is compared, by exclusive-or and bit
     count. A tile holds fingerprints of one population count; flipping r bits moves that count by r at
-    most, so other pairs of tiles are skipped. For a small radius the counts of the four quarters are
-    used, which skips all but one pair in twenty of random bits. Large tiles are split by hash, and each
+    most, so other pairs of tiles are skipped. For a small radius tiles are named by the counts of both halves,
+    and inside a pair of tiles runs of fingerprints are skipped by the counts of their quarters, which leaves
+    one pair in twenty of random bits. Large tiles are split by hash, and each
     pair of tiles meets once. Links inside a pair of tiles are reduced to a spanning forest, so near
     copies in thousands don't become pairs.
 
     The work grows with the square of the number of distinct fingerprints times the share not skipped.
     """
-    quarters = bits == 64 and radius <= QUARTER_RADIUS
-    # At most 17 ** 4 = 83,521 tile names, or one for each population count, whatever the data: a bounded broadcast.
+    halves = bits == 64 and radius <= HALVES_RADIUS
+    # At most 33 ** 2 = 1,089 tile names, or one for each population count, whatever the data: a bounded broadcast.
     parts = stored(prints.groupBy("tile").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("parts")), "tile-parts")
     split = prints.join(F.broadcast(parts), "tile").select("tile", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("part"), "fp")
     # About TILE_ROWS fingerprints are laid end to end.
-    packed_prints = F.unhex(F.concat_ws("", F.collect_list(F.hex("fp")))).alias("prints")
-    tiles = stored(split.groupBy("tile", "part").agg(packed_prints), "tiles")
-    return tile_pairs(tiles, parts, radius, quarters).select("one", "other").mapInPandas(_compare(bits, radius), "a binary, b binary")
-
-
-def tile_pairs(tiles: DataFrame, parts: DataFrame, radius: int, quarters: bool) -> DataFrame:
-    """The contents (one, other) of all pairs of tiles (tile, part, prints) that can hold a link; tiles with a
-    column `busy` meet only where one of the two is."""
+    laid = F.unhex(F.concat_ws("", F.collect_list(F.hex("fp")))).alias("prints")
+    tiles = stored(split.groupBy("tile", "part").agg(laid), "tiles")
     asks = (
-        tiles.select(F.col("tile").alias("from_tile"), F.col("part").alias("from_part"), F.explode(tiles_met(radius, quarters)).alias("tile"))
+        tiles.select(F.col("tile").alias("from_tile"), F.col("part").alias("from_part"), F.explode(tiles_met(radius, halves)).alias("tile"))
         .join(F.broadcast(parts), "tile")
         .select("from_tile", "from_part", "tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         .where("tile <> from_tile OR part >= from_part")
     )
-    if "busy" in tiles.columns:
-        busy = tiles.select("tile", "part", "busy")
-        asks = asks.join(F.broadcast(busy.toDF("from_tile", "from_part", "from_busy")), ["from_tile", "from_part"])
-        asks = asks.join(F.broadcast(busy), ["tile", "part"]).where("busy OR from_busy").drop("busy", "from_busy")
-        tiles = tiles.drop("busy")
     one = tiles.toDF("from_tile", "from_part", "one")
-    return asks.join(one, ["from_tile", "from_part"]).join(tiles.withColumnRenamed("prints", "other"), ["tile", "part"])
+    pairs = asks.join(one, ["from_tile", "from_part"]).join(tiles.withColumnRenamed("prints", "other"), ["tile", "part"])
+    return pairs.select("one", "other").mapInPandas(_compare(bits, radius), "a binary, b binary")
 
 
 def simhash_groups(
@@ -215,144 +222,17 @@ def simhash_groups(
     return prints.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def shingle_counts(text: str, shingle: int) -> tuple[Counter, float]:
-    """A text's word shingles, as `fingerprint` takes them, with their counts, and the length of that vector."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    n = max(1, len(words) - shingle + 1) if words else 0
-    counts = Counter(b" ".join(words[i : i + shingle]) for i in range(n))
-    return counts, sum(c * c for c in counts.values()) ** 0.5
-
-
-def shingle_cosine(a: tuple[Counter, float], b: tuple[Counter, float]) -> float:
-    """Cosine of two shingle counts; 0 where one is empty."""
-    small, large = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
-    dot = sum(c * large[0][s] for s, c in small[0].items() if s in large[0])
-    return dot / (a[1] * b[1]) if dot else 0.0
-
-
-def first_of(keys: np.ndarray, limit: int, taken: np.ndarray) -> np.ndarray:
-    """Which of some keys are among the first `limit` of their kind; `taken` counts those seen, and is updated."""
-    order = np.argsort(keys, kind="stable")
-    line = keys[order]
-    begins = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(begins, len(line)))
-    rank = np.arange(len(line)) - np.repeat(begins, sizes) + taken[line]
-    out = np.empty(len(keys), dtype=bool)
-    out[order] = rank < limit
-    taken[line[begins]] += sizes
-    return out
-
-
-def _nearest(bits: int, radius: int, limit: int):
-    node = np.dtype([("at", ">i8"), ("label", ">i8"), ("open", "u1"), ("fp", ">u8", (bits // 64,))])
-
-    def asked(x: np.ndarray, y: np.ndarray, both: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For open nodes of `x`, and of `y` if `both`, the first smaller nodes of the other; and nodes with more than those."""
-        of_x, of_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
-        for i, j in near_pairs(x["fp"].astype(np.uint64), y["fp"].astype(np.uint64), radius):
-            apart = x["label"][i] != y["label"][j]
-            i, j = i[apart], j[apart]
-            down = y["at"][j] < x["at"][i]
-            k, m = i[down], j[down]
-            chosen = first_of(k, limit, of_x)
-            yield x["at"][k[chosen]], y["at"][m[chosen]]
-            if both:
-                up = (y["at"][j] > x["at"][i]) & (y["open"][j] > 0)
-                k, m = j[up], i[up]
-                chosen = first_of(k, limit, of_y)
-                yield y["at"][k[chosen]], x["at"][m[chosen]]
-        for nodes, seen in ((x, of_x), (y, of_y)):
-            more = nodes["at"][seen > limit]
-            yield more, np.full(len(more), -1)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for one, other in zip(batch["one"], batch["other"], strict=True):
-                a, b = np.frombuffer(one, node), np.frombuffer(other, node)
-                live, rest = a[a["open"] > 0], a[a["open"] == 0]
-                found = []
-                if len(live):
-                    found += asked(live, b, True)
-                if len(rest) and (b["open"] > 0).any():
-                    found += asked(b[b["open"] > 0], rest, False)
-                if found:
-                    yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]).astype(np.int64), "b": np.concatenate([y for _, y in found]).astype(np.int64)})
-
-    return run
-
-
-def _near_by_shingles(shingle: int, cosine: float):
-    @F.pandas_udf("boolean")
-    def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        # Neighbours often share a text; each is cut into shingles once.
-        counts = lru_cache(64)(lambda text: shingle_counts(text, shingle))
-        for one, other in batches:
-            yield pd.Series([shingle_cosine(counts(a), counts(b)) >= cosine for a, b in zip(one, other, strict=True)], dtype=bool)
-
-    return near
-
-
-def verified_links(nodes: DataFrame, texts: DataFrame, *, shingle: int, bits: int, radius: int, cosine: float) -> DataFrame:
-    """(node, root) of the nodes (at, sha, fp, tile) joined by pairs within the radius whose shingles have the cosine.
+def without_near_copies(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 64, radius: int = 3
+) -> DataFrame:
+    """One row of each group of `simhash_groups` stays: the one with the smallest id.
 
-    Each round compares tiles, as `links` does, and asks for every open node its first smaller neighbours
-    under another label; their texts (sha, text) are compared by their shingles, and those that pass join
-    labels. A node with more neighbours than were asked stays open, and the next round asks more of it that
-    its label hasn't reached yet, until none is left: no pair is dropped unseen, and near copies in thousands
-    don't become pairs.
+    Rows are numbered first, so that of rows that repeat an id one stays where they are near, and each where they
+    are not; null ids are larger than any other. Texts without words are near each other.
     """
-    parts = stored(nodes.groupBy("tile").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("parts")), "near-parts")
-    state = nodes.select("at", "fp", "tile", F.col("at").alias("label"), F.lit(True).alias("open"))
-    near, limit, passed = _near_by_shingles(shingle, cosine), FIRST_ASKED, []
-    while True:
-        entry = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("at", "label")], F.when(F.col("open"), "01").otherwise("00"), F.hex("fp"))
-        split = state.join(F.broadcast(parts), "tile").select("tile", F.pmod(F.xxhash64("at"), F.col("parts")).cast("int").alias("part"), "open", entry.alias("entry"))
-        laid = F.unhex(F.concat_ws("", F.array_sort(F.collect_list("entry")))).alias("prints")
-        tiles = stored(split.groupBy("tile", "part").agg(laid, F.max("open").alias("busy")), "near-tiles")
-        found = tile_pairs(tiles, parts, radius, False).select("one", "other").mapInPandas(_nearest(bits, radius, limit), "a long, b long")
-        asked = found.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("bs"))
-        others = F.filter("bs", lambda b: b >= 0)
-        asked = stored(asked.select("a", F.slice(others, 1, limit).alias("bs"), ((F.size(others) > limit) | F.array_contains("bs", F.lit(-1).cast("long"))).alias("more")), "near-asked")
-        pairs = stored(asked.select("a", F.explode("bs").alias("b")), "near-pairs")
-        wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "at")
-        wanted = stored(nodes.join(wanted, "at", "left_semi").select("at", "sha"), "near-wanted")
-        # Copies of a text are one node.
-        read = stored(texts.join(wanted, "sha").groupBy("at").agg(F.first("text").alias("text")), "near-texts")
-        half = pairs.join(read.toDF("a", "one"), "a")
-        whole = half.join(read.toDF("b", "other"), "b")
-        passed.append(stored(whole.where(near("one", "other")).select("a", "b"), "near-passed"))
-        roots = components(reduce(DataFrame.union, passed))
-        open_ = asked.where("more").select(F.col("a").alias("o_at"), F.lit(True).alias("is_open"))
-        if open_.isEmpty():
-            return roots
-        state = nodes.join(roots, F.col("at") == F.col("node"), "left").join(open_, F.col("at") == F.col("o_at"), "left")
-        state = stored(state.select("at", "fp", "tile", F.coalesce("root", "at").alias("label"), F.coalesce("is_open", F.lit(False)).alias("open")), "near-state")
-        limit *= ASKED_GROWTH
-
-
-def without_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bits: int = 256, cosine: float = 0.8) -> DataFrame:
-    """One text of each component stays: the one with the smallest id, in its rows with that id.
-
-    Similarity is the cosine of shingle counts. The share of equal bits estimates it and names the candidates:
-    256 bits keep the error near 0.03, so pairs that share four fifths of their shingles (cosine 0.89) are
-    found. Candidates are linked only if the cosine of their own shingle counts is `cosine` or more.
-
-    Texts without words are near to none: their rows stay. Null ids are larger than any other; a component
-    without any id keeps the rows of one text. Decisions hold for an id with its text, so an id that
-    stands with several texts loses only those that are copies.
-    """
-    row = packed(docs)
-    base = row.select(F.col(f"row.`{id_col}`").alias("id"), text_or_empty(F.col(f"row.`{text_col}`")).alias("text")).where(F.col("text").rlike(WORD))
-    keyed = base.withColumn("sha", F.unhex(F.sha2("text", 256)))
-    prints = fingerprints(keyed.select(F.struct("id", "sha").alias("key"), "text"), id_col="key", shingle=shingle, bits=bits, radius=radius_for(bits, cosine))
-    prints = stored(prints.select("doc_id.id", "doc_id.sha", "fp", "tile"), "near-prints")
-    grouped = prints.groupBy("sha").agg(F.first("fp").alias("fp"), F.first("tile").alias("tile"), F.min("id").alias("first"), F.count("*").alias("copies"))
-    nodes = stored(grouped.select(F.monotonically_increasing_id().alias("at"), "*"), "near-nodes")
-    roots = verified_links(nodes, keyed.select("sha", "text"), shingle=shingle, bits=bits, radius=radius_for(bits, cosine), cosine=cosine)
-    rooted = nodes.join(roots, F.col("at") == F.col("node"), "left").select("at", "sha", "first", "copies", F.coalesce("root", "at").alias("root"))
-    rooted = stored(rooted, "near-rooted")
-    keep = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "at")).alias("keep"))
-    decided = rooted.join(stored(keep, "near-keep"), "root").withColumn("stays", F.col("at") == F.col("keep.at"))
-    decided = stored(decided.where("copies > 1 OR NOT stays").select(F.col("sha").alias("__sha"), "stays", "first"), "near-dropped").toDF("__sha", "__stays", "__first")
-    other = ~(F.col("__stays") & F.col(f"`{id_col}`").eqNullSafe(F.col("__first")))
-    return docs.join(decided, (F.unhex(F.sha2(text_or_empty(f"`{text_col}`"), 256)) == F.col("__sha")) & other, "left_anti")
+    rows = stored(packed(docs).select(F.monotonically_increasing_id().alias("at"), "row"), "near-rows")
+    own = F.col(f"row.`{id_col}`")
+    keyed = rows.select(F.struct(own.isNull().alias("none"), own.alias("id"), "at").alias("key"), F.col(f"row.`{text_col}`").alias("text"))
+    groups = simhash_groups(keyed, id_col="key", shingle=shingle, bits=bits, radius=radius)
+    gone = stored(groups.where("doc_id <> component_id").select("doc_id.at"), "near-gone")
+    return rows.join(gone, "at", "left_anti").select("row.*")
