@@ -21,7 +21,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8 or more the one with the smallest id."""
+    """Of documents whose fingerprints of three-word shingles are linked at three bits or fewer the one with the smallest id."""
     return simhash.without_near_copies(docs)
 
 
