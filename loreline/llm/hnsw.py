@@ -25,10 +25,10 @@ BATCH, SEEN_CELLS = 512, 16_000_000
 OPENED = 4
 #: Queries compared with the whole shard to audit a task's recall, and the recall it must reach.
 AUDITED, RECALL = 256, 0.98
-#: Shards there are at least, and vectors a shard holds at most; a shard must fit in one task.
-LEAST_SHARDS, SHARD_ROWS = 4, 200_000
-#: Queries that one task puts to a shard.
-SLICE_ROWS = 20_000
+#: Shards there are at least, and vectors and bytes of vectors that a shard holds; a shard must fit in one task.
+LEAST_SHARDS, SHARD_ROWS, SHARD_BYTES = 4, 200_000, 64_000_000
+#: Queries, and bytes of them, that are put to a shard at once, and pairs verified at once.
+SLICE_ROWS, SLICE_BYTES, VERIFIED = 8192, 8_000_000, 1 << 16
 #: Allowance for single precision before cosines are verified in double precision.
 SLACK = 1e-4
 
@@ -181,18 +181,16 @@ class Graph:
         order = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(ids, order, axis=1), np.take_along_axis(sims, order, axis=1)
 
-    def whole(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (query, node) with at least this similarity, by comparison with every node."""
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    def whole(self, q: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs (query, node) with at least this similarity, by comparison with every node, some queries at a time."""
         step = max(1, SEEN_CELLS // (4 * len(self.x)))
         for i in range(0, len(q), step):
             r, c = np.nonzero(q[i : i + step] @ self.x.T >= least)
-            found.append((r + i, c))
-        return np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found])
+            yield r + i, c
 
-    def within(self, q: np.ndarray, least: float, first: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, node) the search finds; a beam that is full of hits is widened, at last to the whole shard."""
-        found, todo, width = [], np.arange(len(q)), first
+    def within(self, q: np.ndarray, least: float, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, node) the search finds, some queries at a time; a beam full of hits is widened, at last to the whole shard."""
+        todo, width = np.arange(len(q)), first
         while len(todo) and width <= min(WIDEST_BEAM, len(self.x)):
             full = []
             step = max(8, SEEN_CELLS // len(self.x))
@@ -204,34 +202,42 @@ class Graph:
                 saturated = hit.sum(axis=1) > width // 2
                 full.append(some[saturated])
                 r, c = np.nonzero(hit & ~saturated[:, None])
-                found.append((some[r], ids[r, c]))
+                yield some[r], ids[r, c]
             todo, width = np.concatenate(full), width * WIDEN
-        r, c = self.whole(q[todo], least)
-        found.append((todo[r], c))
-        return np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found])
+        for r, c in self.whole(q[todo], least):
+            yield todo[r], c
 
-    def audited(self, q: np.ndarray, least: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs found with the first beam whose recall, on some queries, an exact comparison confirms.
+    def audited(self, q: np.ndarray, least: float, own: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs found with the first beam whose recall, on some queries, an exact comparison confirms; some queries at a time.
 
         Recall is the mean over queries of the share of their neighbours found, for few and for many neighbours
         apart; both must suffice. `own` is each query's own node, which is no neighbour, or -1.
         """
         sample = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(np.int64))
-        r, c = self.whole(q[sample], least)
-        if own is not None:
-            r, c = r[c != own[sample][r]], c[c != own[sample][r]]
-        truth, size = r * len(self.x) + c, np.bincount(r, minlength=len(sample))
-        # A first beam that finds more than half of its width is widened in any case.
-        sides = [x for x in ((size > 0) & (size <= FIRST_BEAM // 2), size > FIRST_BEAM // 2) if x.any()]
         width = FIRST_BEAM
         while width <= min(WIDEST_BEAM, len(self.x)):
-            x, y = self.within(q[sample], least, width)
-            recall = np.bincount(r, weights=np.isin(truth, x * len(self.x) + y), minlength=len(sample)) / np.maximum(size, 1)
-            if all(recall[side].mean() >= RECALL for side in sides):
+            if self.recalls(q[sample], least, width, None if own is None else own[sample]):
                 return self.within(q, least, width)
             width *= WIDEN
         return self.whole(q, least)
 
+    def recalls(self, q: np.ndarray, least: float, width: int, own: np.ndarray | None) -> bool:
+        """Whether a beam finds enough of what there is, held against it for a few queries at a time."""
+        size, found = np.zeros(len(q)), np.zeros(len(q))
+        step = max(1, SEEN_CELLS // (4 * len(self.x)))
+        for i in range(0, len(q), step):
+            part = q[i : i + step]
+            truth = part @ self.x.T >= least
+            if own is not None:
+                known = np.flatnonzero(own[i : i + step] >= 0)
+                truth[known, own[i + known]] = False
+            size[i : i + step] = truth.sum(axis=1)
+            for r, c in self.within(part, least, width):
+                found[i : i + step] += np.bincount(r[truth[r, c]], minlength=len(part))
+        # A first beam that finds more than half of its width is widened in any case.
+        sides = [x for x in ((size > 0) & (size <= FIRST_BEAM // 2), size > FIRST_BEAM // 2) if x.any()]
+        return all((found[side] / size[side]).mean() >= RECALL for side in sides)
+
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, x=self.x, level=self.level, entry=np.array(self.entry), **{f"near{k}": t for k, t in enumerate(self.near)})
@@ -260,35 +266,57 @@ def _build(rows: pd.DataFrame) -> pd.DataFrame:
     })
 
 
+def _slice(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame([{"q_width": rows["width"].iloc[0], "q_nodes": rows["node"].to_numpy("<i8").tobytes(), "q_vectors": b"".join(rows["vector"])}])
+
+
 def _search(cosine: float):
-    def run(queries: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(shards):
-            return pd.DataFrame({"node": [], "links": [], "other": []})
-        shard = shards.iloc[0]
-        graph, nodes, copies = Graph.from_bytes(shard["graph"]), np.frombuffer(shard["nodes"], "<i8"), np.frombuffer(shard["copies"], "<i8")
-        v, asked = _rows(queries), queries["node"].to_numpy()
-        w = np.frombuffer(shard["vectors"], "<f8").reshape(len(nodes), -1)
-        order = np.argsort(nodes)
-        place = order[np.minimum(np.searchsorted(nodes, asked, sorter=order), len(nodes) - 1)]
-        r, c = graph.audited(_units(v), cosine - SLACK, np.where(nodes[place] == asked, place, -1))
-        exact = np.empty(len(r), dtype=bool)
-        for i in range(0, len(r), 1 << 16):
-            a, b = v[r[i : i + (1 << 16)]], w[c[i : i + (1 << 16)]]
-            dot = np.einsum("nd,nd->n", a, b)
-            exact[i : i + (1 << 16)] = dot / (np.sqrt(np.einsum("nd,nd->n", a, a)) * np.sqrt(np.einsum("nd,nd->n", b, b))) >= cosine
-        r, c = r[exact & (asked[r] != nodes[c])], c[exact & (asked[r] != nodes[c])]
-        links = np.bincount(r, weights=copies[c].astype(float), minlength=len(v)).astype(np.int64)
-        # Links as a spanning forest of this task's queries and nodes.
-        names, place = np.unique(np.concatenate([asked[r], nodes[c]]), return_inverse=True)
-        root = forest(place[: len(r)], place[len(r) :], len(names))
-        off = root != np.arange(len(names))
-        counted = pd.DataFrame({"node": asked[links > 0], "links": links[links > 0], "other": None})
-        joined = pd.DataFrame({"node": names[off], "links": 0, "other": names[root[off]]})
-        return pd.concat([counted, joined]).astype({"other": "Int64"})
+    def run(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, graph = None, None
+        for batch in pairs:
+            for pair in batch.itertuples():
+                if pair.width != pair.q_width:
+                    continue
+                if (pair.width, pair.shard) != last:
+                    last, graph = (pair.width, pair.shard), Graph.from_bytes(pair.graph)
+                yield _linked(graph, pair, cosine)
 
     return run
 
 
+def _linked(graph: Graph, pair, cosine: float) -> pd.DataFrame:
+    """Links of a slice of queries with a shard: their number by query, and a spanning forest of them.
+
+    Pairs are verified and added up as they are found, so that a group as large as slice and shard takes no
+    more memory than a few queries against the shard.
+    """
+    nodes, copies, asked = (np.frombuffer(x, "<i8") for x in (pair.nodes, pair.copies, pair.q_nodes))
+    v, w = (np.frombuffer(x, "<f8").reshape(-1, pair.width) for x in (pair.q_vectors, pair.vectors))
+    order = np.argsort(nodes)
+    place = order[np.minimum(np.searchsorted(nodes, asked, sorter=order), len(nodes) - 1)]
+    own = np.where(nodes[place] == asked, place, -1)
+    # Nodes of the shard by place; queries that are not among them after those.
+    names = np.concatenate([nodes, asked])
+    spot = np.where(own >= 0, own, len(nodes) + np.arange(len(asked)))
+    root, links = np.arange(len(names)), np.zeros(len(asked), dtype=np.int64)
+    long_v, long_w = (np.sqrt(np.einsum("nd,nd->n", x, x)) for x in (v, w))
+    for r, c in graph.audited(_units(v), cosine - SLACK, own):
+        for i in range(0, len(r), VERIFIED):
+            a, b = r[i : i + VERIFIED], c[i : i + VERIFIED]
+            exact = np.einsum("nd,nd->n", v[a], w[b]) / (long_v[a] * long_w[b]) >= cosine
+            exact &= own[a] != b
+            a, b = a[exact], b[exact]
+            links += np.bincount(a, weights=copies[b].astype(float), minlength=len(v)).astype(np.int64)
+            x, y = root[spot[a]], root[b]
+            if (x != y).any():
+                root = forest(x, y, len(names))[root]
+    off = np.flatnonzero(root != np.arange(len(names)))
+    hit = links > 0
+    counted = pd.DataFrame({"node": asked[hit], "links": links[hit], "other": None})
+    joined = pd.DataFrame({"node": names[off], "links": 0, "other": names[root[off]]})
+    return pd.concat([counted, joined]).astype({"node": "int64", "links": "int64", "other": "Int64"})
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector can link: components all there and finite, and not all zero."""
     ok = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -303,7 +331,8 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     are widened, as are all beams of a task whose mean recall on audited queries, of few or of many neighbours, falls
     below `RECALL`; a group
     larger than the widest beam is compared with the whole shard. Nothing below the cosine is linked.
-    Links leave a task as sums and as a spanning forest, never as all pairs.
+    Links are verified and added up as they are found and leave a task as sums and as a spanning forest, so no
+    task holds all pairs of a group. Shards are bounded in bytes, whatever the width of the vectors.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
     vectors of different length. Copies of a vector link with each other. A null id is never the smallest;
@@ -320,19 +349,21 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
         for batch in vectors:
             yield pd.Series([np.asarray(x, dtype="<f8").tobytes() for x in batch])
 
-    n = nodes.count()
-    shards = max(LEAST_SHARDS, -(-n // SHARD_ROWS))
-    slices = max(1, -(-n // SLICE_ROWS))
+    n, numbers = nodes.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    shards = max(LEAST_SHARDS, -(-n // SHARD_ROWS), -(-8 * numbers // SHARD_BYTES))
+    slices = max(1, -(-n // SLICE_ROWS), -(-8 * numbers // SLICE_BYTES))
     turn = F.xxhash64("node", F.lit("turn"))
     dealt = nodes.select("node", "copies", F.size("v").alias("width"), flat("v").alias("vector"), turn.alias("turn"), F.pmod(turn, F.lit(shards)).cast("int").alias("shard"))
     dealt = stored(dealt, "vector-shards")
+    # Graphs are dear and slices small, so both are dealt by number, not by bytes.
     graphs = stored(
-        dealt.groupBy("width", "shard").applyInPandas(_build, "width int, shard int, graph binary, vectors binary, nodes binary, copies binary"), "vector-graphs"
+        dealt.repartition(shards, "width", "shard").groupBy("width", "shard").applyInPandas(_build, "width int, shard int, graph binary, vectors binary, nodes binary, copies binary"),
+        "vector-graphs",
     )
-    asked = dealt.select("node", "width", "vector", F.pmod(F.xxhash64("node", F.lit("slice")), F.lit(slices)).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    held = graphs.select("*", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    by = ["width", "shard", "slice"]
-    found = stored(asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(_search(cosine), "node long, links long, other long"), "vector-links")
+    cut = dealt.withColumn("slice", F.pmod(F.xxhash64("node", F.lit("slice")), F.lit(slices)).cast("int"))
+    asked = stored(cut.repartition(slices, "width", "slice").groupBy("width", "slice").applyInPandas(_slice, "q_width int, q_nodes binary, q_vectors binary"), "vector-slices")
+    # Queries against all shards, in blocks that tasks read from the shared folder; nothing is shuffled for it.
+    found = stored(graphs.crossJoin(asked).mapInPandas(_search(cosine), "node long, links long, other long"), "vector-links")
 
     links = stored(found.groupBy("node").agg(F.sum("links").alias("links")), "vector-sums")
     roots = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))).toDF("r_node", "root")
