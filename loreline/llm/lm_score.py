@@ -1,179 +1,86 @@
-"""Stupid-backoff language-model scores from n-gram counts of the whole corpus."""
+"""Stupid-backoff language-model scores from n-gram counts of the whole corpus, as joins."""
 
 from __future__ import annotations
 
-import uuid
-import zlib
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreline.llm.common import packed, stored, text_or_empty
-from loreline.llm.exact_dedup import golomb_decode, golomb_encode, owner_of
+from loreline.llm.common import WORD, packed, stored, text_or_empty
 
-#: Words of one block of documents; a longer document is a block of its own.
-BLOCK_WORDS = 1_500_000
-#: Words whose n-grams one owner of a hash range adds up, about; there are as many owners as that takes.
-OWNER_WORDS = 2_000_000
-#: An n-gram of two words or more is in the tables when the corpus shows it so often.
-LEAST_COUNT = 2
 #: What each step to a shorter context costs.
 BACKOFF = 0.4
 
 
-def squeezed(numbers: np.ndarray) -> bytes:
-    """Whole numbers, byte by byte of their places, so that high bytes pack to nothing."""
-    return zlib.compress(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 3)
-
-
-def unsqueezed(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<i8").ravel()
-
-
-def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of two hashes, in order."""
-    z = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(0x632BE59BD9B4E019))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (block, total, docs, lengths, words, hashes): documents as numbers into the block's own list of word hashes."""
-    seen: dict[bytes, int] = {}
-    docs: list = []
-    lengths: list[int] = []
-    parts: list[np.ndarray] = []
-
-    def pack() -> pd.DataFrame:
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, seen), dtype=np.uint64, count=len(seen))
-        row = {
-            "block": uuid.uuid4().hex, "total": sum(lengths), "docs": list(docs), "lengths": np.array(lengths, dtype="<i8").tobytes(),
-            "words": squeezed(np.concatenate([*parts, np.zeros(0, np.int32)])), "hashes": hashes.astype("<u8").tobytes(),
-        }
-        for x in (seen, docs, lengths, parts):
-            x.clear()
-        return pd.DataFrame([row])
-
-    total = 0
-    for batch in batches:
-        for doc, text in zip(batch["doc_key"], batch["text"], strict=True):
-            words = text.encode("utf-8", "surrogatepass").split()
-            if docs and total + len(words) > BLOCK_WORDS:
-                yield pack()
-                total = 0
-            for w in set(words).difference(seen):
-                seen[w] = len(seen)
-            docs.append(doc)
-            lengths.append(len(words))
-            parts.append(np.fromiter(map(seen.__getitem__, words), dtype=np.int32, count=len(words)))
-            total += len(words)
-    if docs:
-        yield pack()
-
+def _grams(texts: DataFrame, order: int, *keep: str) -> DataFrame:
+    """One row for each word of a text, or one without word: the hashes g1, g2, ... of the n-grams that end there.
 
-def grams(row, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Of a block: lengths of its documents, and by n the places of the words at which an n-gram ends, with its
-    hash; an n-gram that would begin before its document has no place."""
-    lengths = np.frombuffer(row["lengths"], dtype="<i8")
-    words = unsqueezed(row["words"])
-    single = np.frombuffer(row["hashes"], "<u8").astype(np.uint64)[words] if len(words) else np.zeros(0, np.uint64)
-    place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    full, out = single, [(np.arange(len(words)), single)]
-    for n in range(2, order + 1):
-        longer = np.zeros_like(full)
-        longer[1:] = mixed(full[:-1], single[1:])
-        full = longer
-        at = np.flatnonzero(place >= n - 1)
-        out.append((at, full[at]))
-    return lengths, out
-
-
-def owner_cuts(values: np.ndarray, owners: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Owners of sorted hashes, by range, and the hashes of each."""
-    owner = owner_of(values, owners)
-    cuts = np.flatnonzero(np.diff(owner)) + 1
-    parts = np.split(values, cuts) if len(values) else []
-    return owner[np.concatenate([[0], cuts])] if len(values) else owner, parts
-
-
-def _ask(order: int, owners: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                for n, (_, hashes) in enumerate(grams(row, order)[1], 1):
-                    values, counts = np.unique(hashes, return_counts=True)
-                    owner, parts = owner_cuts(values, owners)
-                    tally = np.split(counts, np.cumsum([len(p) for p in parts])[:-1]) if parts else []
-                    yield pd.DataFrame({
-                        "block": row["block"], "n": n, "owner": owner, "asked": [golomb_encode(p) for p in parts], "counts": [squeezed(c) for c in tally],
-                    })
-
-    return run
-
-
-def _answer(rows: pd.DataFrame) -> pd.DataFrame:
-    """An owner of a hash range of one order adds up the counts of all blocks and gives each block the totals it asked for."""
-    lists = [golomb_decode(b) for b in rows["asked"]]
-    counts = np.concatenate([unsqueezed(c) for c in rows["counts"]])
-    _, place = np.unique(np.concatenate(lists), return_inverse=True)
-    total = np.bincount(place, weights=counts).astype(np.int64)[place]
-    answers = np.split(total, np.cumsum([len(x) for x in lists])[:-1])
-    return pd.DataFrame({"block": rows["block"], "n": rows["n"], "owner": rows["owner"], "totals": [squeezed(a) for a in answers]})
+    An n-gram that would begin before the text is null. The context of g(n) is the g(n - 1) of the word before: c(n).
+    """
+    hashes = F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
 
+    def at(h: Column, i: Column, n: int, back: int = 0) -> Column:
+        """The n-gram of the words up to place i - back."""
+        words = [F.get(h, i - back - k) for k in range(n - 1, -1, -1)]
+        return F.when(i - back >= n - 1, words[0] if n == 1 else F.xxhash64(F.lit(n), *words))
 
-def _score(order: int, corpus_words: int):
-    def run(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        row = block.iloc[0]
-        lengths, found = grams(row, order)
-        answers = answers.sort_values(["n", "owner"])
-        score, context = None, None
-        for n, (at, asked) in enumerate(found, 1):
-            _, place = np.unique(asked, return_inverse=True)
-            totals = [unsqueezed(t) for t in answers["totals"][answers["n"] == n]]
-            count = np.zeros(len(found[0][0]), np.int64)
-            count[at] = np.concatenate([np.zeros(0, np.int64), *totals])[place]
-            if n == 1:
-                score = np.log(count / corpus_words)
-            else:
-                # The context of an n-gram is the one that ends a word before it.
-                longer = np.log(np.maximum(count[at], 1) / context[at - 1])
-                score[at] = np.where(count[at] >= LEAST_COUNT, longer, np.log(BACKOFF) + score[at])
-            context = count
-        summed = np.add.reduceat(np.append(score, 0.0), np.minimum(np.cumsum(lengths) - lengths, len(score))) if len(lengths) else []
-        return pd.DataFrame({"doc_key": row["docs"], "n_words": lengths, "score": np.where(lengths > 0, summed, 0.0)})
+    def unfold(h: Column) -> Column:
+        places = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0))))
+        return F.transform(
+            places,
+            lambda i: F.struct(
+                *[at(h, i, n).alias(f"g{n}") for n in range(1, order + 1)], *[at(h, i, n - 1, 1).alias(f"c{n}") for n in range(2, order + 1)]
+            ),
+        )
 
-    return run
+    return texts.select(*keep, hashes.alias("h")).select(*keep, F.inline_outer(unfold(F.col("h"))))
 
 
-def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, owners: int | None = None) -> DataFrame:
+def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 3, least_count: int = 2) -> DataFrame:
     """(doc_id, n_words, score) of each row: the sum of log S over its words.
 
-    S(w | context) is count(context w) / count(context) where the corpus shows the n-gram `LEAST_COUNT` times
+    S(w | context) is count(context w) / count(context) where the corpus shows the n-gram `least_count` times
     or more, else `BACKOFF` times S with the first word of the context dropped; for a single word it is its
     share of all words. Words are runs without ASCII white space, as they stand. Contexts do not cross
     documents; counts cover all documents, each repeated row included.
 
-    Documents are packed into blocks of word numbers. Each block sends its distinct n-gram hashes with counts,
-    sorted and Golomb-coded, to the owners of hash ranges, order by order; owners add up and send totals back; the block joins
-    them to its n-grams and sums by document. A frequent n-gram is one number in a block, so none is hot. Owners
-    grow in number with the words of the corpus.
+    The n-grams of every word are exploded and counted by hash, combined before each shuffle, into one table for each
+    order, which holds the logarithm that an n-gram adds. Words meet the tables from the longest n-gram down: only
+    those that found none go on to the next. The sums of each document are added up last.
+    Frequent n-grams are skewed keys of those joins, which Spark splits, as both sides are large.
 
     Null and empty texts have 0 words and score 0. Null and repeated ids keep their rows. Empty tables give
     no rows. N-grams of one order are told apart by 64 bits of hash.
     """
-    spark = docs.sparkSession
     row = packed(docs)
-    texts = row.select(F.col(f"row.`{id_col}`").cast("string").alias("doc_key"), text_or_empty(F.col(f"row.`{text_col}`")).alias("text"))
-    blocks = stored(texts.mapInPandas(_blocks, "block string, total long, docs array<string>, lengths binary, words binary, hashes binary"), "lm-blocks")
-    corpus_words = blocks.agg(F.sum("total")).first()[0] or 1
-    owners = owners or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-corpus_words // OWNER_WORDS))
-    asked = blocks.drop("docs").mapInPandas(_ask(order, owners), "block string, n int, owner int, asked binary, counts binary")
-    answers = asked.groupBy("owner", "n").applyInPandas(_answer, "block string, n int, owner int, totals binary")
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(order, corpus_words), "doc_key string, n_words long, score double")
-    return scored.select(F.col("doc_key").cast(docs.schema[id_col].dataType).alias("doc_id"), "n_words", "score")
+    texts = row.select(F.monotonically_increasing_id().alias("at"), F.col(f"row.`{id_col}`").alias("doc_id"), text_or_empty(F.col(f"row.`{text_col}`")).alias("text"))
+    shown = _grams(texts, order)
+    counts = {1: stored(shown.where("g1 IS NOT NULL").groupBy("g1").agg(F.count("*").alias("n")), "lm-counts-1")}
+    total = counts[1].agg(F.sum("n")).first()[0] or 1
+    tables = {1: counts[1].select("g1", F.log(F.col("n") / total).alias("s"))}
+    for n in range(2, order + 1):
+        found = shown.where(f"g{n} IS NOT NULL").groupBy(f"g{n}", f"c{n}").agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
+        counts[n] = stored(found, f"lm-counts-{n}")
+        # A context stands no less often than its n-grams, so its count is in the table before.
+        context = counts[n - 1].select(F.col(f"g{n - 1}").alias(f"c{n}"), F.col("n").alias("m"))
+        tables[n] = stored(counts[n].join(context, f"c{n}").select(f"g{n}", F.log(F.col("n") / F.col("m")).alias("s")), f"lm-table-{n}")
+    open_ = _grams(texts, order, "at", "doc_id")
+    sums, kept = [], ["at", "doc_id"]
+    for n in range(order, 0, -1):
+        # A word without such an n-gram has a key of its own, so that they don't meet as nulls.
+        apart = F.coalesce(f"g{n}", F.xxhash64("at", F.monotonically_increasing_id()))
+        met = open_.withColumn("key", apart).join(tables[n].select(F.col(f"g{n}").alias("key"), "s"), "key", "left")
+        shorter = [f"g{k}" for k in range(1, max(2, n))]
+        columns = [*kept, *shorter, "steps"]
+        # Each longer n-gram that there was and that the corpus lacks is a step.
+        steps = F.lit(0) if n == order else F.col("steps")
+        met = stored(met.withColumn("steps", steps + (F.col("s").isNull() & F.col(f"g{n}").isNotNull()).cast("int")).select(*columns, "s"), f"lm-met-{n}")
+        hit = met.where("s IS NOT NULL") if n > 1 else met
+        penalty = F.col("steps") * F.log(F.lit(BACKOFF))
+        value = F.when(F.col("g1").isNotNull(), F.col("s") + penalty)
+        sums.append(hit.groupBy(*kept).agg(F.count("g1").alias("words"), F.coalesce(F.sum(value), F.lit(0.0)).alias("sum")))
+        open_ = met.where("s IS NULL").drop("s")
+    parts = sums[0]
+    for part in sums[1:]:
+        parts = parts.unionByName(part)
+    whole = parts.groupBy(*kept).agg(F.sum("words").alias("n_words"), F.sum("sum").alias("score"))
+    return whole.select("doc_id", "n_words", "score")
