@@ -155,36 +155,42 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def licence_sql() -> str:
     """The scan in SQL; templates are given as rows."""
-    rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.TEMPLATES)
+    rows = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(licenses.TEMPLATES))
     return rf"""
-WITH templates AS (SELECT licence, list_distinct(regexp_extract_all(lower(t), '[a-z0-9]+(?:\.[0-9]+)*')) AS ts FROM (VALUES {rows}) AS v(licence, t)),
+WITH templates AS (SELECT tno, licence, regexp_extract_all(lower(t), '[a-z0-9]+(?:\.[0-9]+)*') AS ts FROM (VALUES {rows}) AS v(tno, licence, t)),
 files AS (
-  SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS text,
-    source || '/' || (doc_id // 1000) || '/' || (doc_id // 50) || CASE WHEN doc_id % 10 = 0 THEN '/LICENSE' ELSE '/' || doc_id || '.txt' END AS path
-  FROM documents),
-terms AS (SELECT DISTINCT unnest(ts) AS t FROM templates),
-docterms AS (SELECT row_no, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+(?:\.[0-9]+)*'))) AS t FROM files),
+  SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+(?:\.[0-9]+)*') AS words,
+    source || '/' || (doc_id // 1000) || '/' || (doc_id // 50) || CASE WHEN doc_id % 10 = 0 THEN '/LICENSE' ELSE '/' || doc_id || '.txt' END AS path,
+    doc_id % 10 = 0 AS is_file FROM documents),
+tplaces AS (SELECT tno, licence, generate_subscripts(ts, 1) - 1 AS place, unnest(ts) AS term, len(ts) AS size FROM templates),
+vocabulary AS (SELECT DISTINCT term FROM tplaces),
 total AS (SELECT count(*) AS n FROM files),
-idf AS (SELECT t, ln((n + 1) / (count(row_no) + 1)) + 1 AS w FROM terms LEFT JOIN docterms USING (t), total GROUP BY t, n),
+shown AS (SELECT row_no, unnest(list_distinct(words)) AS term FROM files),
+idf AS (SELECT term, ln((n + 1) / (count(row_no) + 1)) + 1 AS w FROM vocabulary LEFT JOIN shown USING (term), total GROUP BY term, n),
+tweights AS (SELECT tno, any_value(licence) AS licence, any_value(size) AS size, term, count(*) * any_value(w) AS weight FROM tplaces JOIN idf USING (term) GROUP BY tno, term),
+tnorms AS (SELECT tno, sqrt(sum(weight * weight)) AS norm FROM tweights GROUP BY tno),
+anchored AS (
+  SELECT tno, term FROM (SELECT tno, term, sum(weight * weight) OVER (PARTITION BY tno ORDER BY weight DESC, term ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
+    sum(weight * weight) OVER (PARTITION BY tno) AS whole FROM tweights) WHERE rest >= {licenses.LEAST} * {licenses.LEAST} * whole),
+worded AS (SELECT row_no, unnest(words) AS term, generate_subscripts(words, 1) - 1 AS at_word FROM files),
+begun AS (SELECT row_no, tno, at_word - place AS start, w * w AS mass FROM worded JOIN tplaces USING (term) JOIN anchored USING (tno, term) JOIN idf USING (term)),
+lined AS (SELECT row_no, tno, start, round(sum(mass), 6) AS mass FROM begun GROUP BY ALL),
+best AS (SELECT row_no, tno, start FROM lined QUALIFY row_number() OVER (PARTITION BY row_no, tno ORDER BY mass DESC, start) = 1),
+sizes AS (SELECT DISTINCT tno, size FROM tweights),
 passages AS (
-  SELECT row_no, pno, list_distinct(regexp_extract_all(p, '[a-z0-9]+(?:\.[0-9]+)*')) AS ts FROM (
-    SELECT row_no, generate_subscripts(ps, 1) AS pno, lower(unnest(ps)) AS p FROM (
-      SELECT row_no, regexp_split_to_array(text, '[.!?;]+[ 	
-]+|[
-]+') AS ps FROM files))
-  WHERE regexp_matches(p, '{licenses.CUES}')),
-long AS (SELECT row_no, pno, unnest(ts) AS t FROM passages),
-norms AS (
-  SELECT row_no, pno, sqrt(sum(coalesce(w * w, (ln(n + 1) + 1) * (ln(n + 1) + 1)))) AS norm FROM long LEFT JOIN idf USING (t), total GROUP BY row_no, pno),
-tlong AS (SELECT row_number() OVER () AS tno, licence, ts FROM templates),
-tterms AS (SELECT tno, licence, unnest(ts) AS t FROM tlong),
-tnorms AS (SELECT tno, sqrt(sum(w * w)) AS norm FROM tterms JOIN idf USING (t) GROUP BY tno),
-dots AS (SELECT row_no, pno, tno, licence, sum(w * w) AS dot FROM long JOIN tterms USING (t) JOIN idf USING (t) GROUP BY row_no, pno, tno, licence),
-cosines AS (SELECT d.row_no, licence, round(dot / (n.norm * m.norm), 6) AS score FROM dots d JOIN norms n ON d.row_no = n.row_no AND d.pno = n.pno JOIN tnorms m USING (tno)),
-own AS (SELECT row_no, licence, score FROM cosines WHERE score >= 0.8 QUALIFY row_number() OVER (PARTITION BY row_no ORDER BY score DESC, licence) = 1),
+  SELECT row_no, tno, term, count(*) AS tf FROM best JOIN sizes USING (tno) JOIN worded USING (row_no) WHERE at_word >= start AND at_word < start + size GROUP BY ALL),
+norms AS (SELECT row_no, tno, sqrt(sum(pow(tf * coalesce(w, ln(n + 1) + 1), 2))) AS norm FROM passages LEFT JOIN idf USING (term), total GROUP BY ALL),
+dots AS (SELECT row_no, tno, any_value(licence) AS licence, sum(tf * w * weight) AS dot FROM passages JOIN tweights USING (tno, term) JOIN idf USING (term) GROUP BY row_no, tno),
+marked AS (SELECT DISTINCT row_no FROM begun JOIN files USING (row_no) WHERE is_file),
+whole AS (SELECT row_no, term, count(*) AS tf FROM worded JOIN marked USING (row_no) GROUP BY ALL),
+wnorms AS (SELECT row_no, sqrt(sum(pow(tf * coalesce(w, ln(n + 1) + 1), 2))) AS norm FROM whole LEFT JOIN idf USING (term), total GROUP BY ALL),
+wdots AS (SELECT row_no, tno, any_value(licence) AS licence, sum(tf * w * weight) AS dot FROM whole JOIN tweights USING (term) JOIN idf USING (term) GROUP BY row_no, tno),
+cosines AS (
+  SELECT row_no, licence, round(dot / (norms.norm * tnorms.norm), 6) AS score FROM dots JOIN norms USING (row_no, tno) JOIN tnorms USING (tno)
+  UNION ALL SELECT row_no, licence, round(dot / (wnorms.norm * tnorms.norm), 6) FROM wdots JOIN wnorms USING (row_no) JOIN tnorms USING (tno)),
+own AS (SELECT row_no, licence, score FROM cosines WHERE score >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY row_no ORDER BY score DESC, licence) = 1),
 placed AS (
-  SELECT f.row_no, doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS folder, regexp_matches(path, '/LICENSE$') AS is_file, licence, score
-  FROM files f LEFT JOIN own o ON f.row_no = o.row_no),
+  SELECT f.row_no, doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS folder, is_file, licence, score FROM files f LEFT JOIN own o ON f.row_no = o.row_no),
 granted AS (SELECT folder AS above, licence, score FROM placed WHERE is_file AND licence IS NOT NULL QUALIFY row_number() OVER (PARTITION BY folder ORDER BY score DESC, licence) = 1),
 inherited AS (
   SELECT f.folder, g.licence, g.score FROM (SELECT DISTINCT folder FROM placed) f JOIN granted g ON f.folder = g.above OR starts_with(f.folder, g.above || '/')
