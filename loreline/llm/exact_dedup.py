@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from loreline.llm.common import packed, stored, text_or_empty
 
-SPAN_BITS = 64
+#: Hashes that one sender or owner holds, about; there are as many as that takes.
+PART_HASHES = 500_000
 
 
 def golomb_encode(values: np.ndarray) -> bytes:
@@ -113,10 +114,10 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     no rows.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = packed(docs).select(F.col(f"row.`{id_col}`").alias("doc_id"), text_or_empty(F.col(f"row.`{text_col}`")).alias("text"))
     hashed = base.withColumns({"fp": F.xxhash64("text"), "sha": F.unhex(F.sha2("text", 256))})
     prints = stored(hashed.select("doc_id", "fp", "sha", F.spark_partition_id().alias("part")), "exact-prints")
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-prints.count() // PART_HASHES))
     found = stored(suspects(prints, parts), "exact-suspects")
     texts = hashed.join(found, "fp", "left_semi").groupBy("fp", "sha", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     classes = stored(texts.drop("text"), "exact-classes")
