@@ -128,44 +128,34 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(1000, 1200), 1000)}
 
 
-def test_near_copies_go_and_others_stay(spark):
+def test_one_row_of_each_group_stays(spark):
     draw = random.Random(9)
     words = [f"w{i}" for i in range(400)]
-    base = [draw.choice(words) for _ in range(300)]
-    near = list(base)
-    near[150] = "changed"
-    other = [draw.choice(words) for _ in range(300)]
-    docs = spark.createDataFrame([(5, " ".join(base)), (3, " ".join(near)), (4, " ".join(other))], "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.without_near_copies(docs).collect()) == [3, 4]
-
-
-def test_near_copies_are_verified_by_their_shingles(spark, monkeypatch):
-    # Tiles of few rows and one neighbour asked at first, so that rounds and tiles matter.
-    monkeypatch.setattr(simhash, "TILE_ROWS", 8)
-    monkeypatch.setattr(simhash, "ASKED_GROWTH", 2)
-    draw = random.Random(11)
-    words = [f"w{i}" for i in range(500)]
-
-    def text(n):
-        return [draw.choice(words) for _ in range(n)]
-
-    # One passage that repeats sets the majority of bits of texts that share nothing else.
-    passage = "the same passage stands here again and again".split()
-    texts = [" ".join(text(40) + passage * 8) for _ in range(25)]
-    base = text(200)
-    for _ in range(25):
-        base[draw.randrange(200)] = "new"
-        texts.append(" ".join(base))
-    texts += [" ".join(text(6)) for _ in range(150)] + ["", " "]
-    docs = list(enumerate(texts))
-    prints = [plain_print(t, 5, 256) for t in texts]
-    counts = [simhash.shingle_counts(t, 5) for t in texts]
-    near = [(a, b) for b in range(len(texts)) for a in range(b) if (prints[a] ^ prints[b]).bit_count() <= 52]
-    true = [(a, b) for a, b in near if simhash.shingle_cosine(counts[a], counts[b]) >= 0.8]
-    assert len(true) < len(near)
-    root = linked(range(len(texts)), true)
+    docs = [(i, " ".join(draw.choice(words) for _ in range(draw.choice([1, 4, 30, 300])))) for i in range(120)]
+    docs += [(1000 + i, " ".join(t.split()[:-1])) for i, t in docs] + [(7, docs[7][1])] * 3 + [(8, "another text for eight")]
+    docs += [(None, docs[9][1]), (None, "no id and no copy here"), (500, None), (400, " "), (450, "")]
+    rows = [(at, i, t) for at, (i, t) in enumerate(docs)]
+    prints = [plain_print(t or "", 3) for _, _, t in rows]
+    pairs = [(a, b) for b in range(len(rows)) for a in range(b) if (prints[a] ^ prints[b]).bit_count() <= 3]
+    root = linked(range(len(rows)), pairs)
+    groups = collections.defaultdict(list)
+    for at, i, t in rows:
+        groups[root[at]].append((i is None, i or 0, t))
+    assert len(groups) < len(rows)
+    want = collections.Counter((None if none else i) for none, i, _ in (min(g, key=lambda r: r[:2]) for g in groups.values()))
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    assert sorted(r.doc_id for r in simhash.without_near_copies(frame).collect()) == sorted(set(root.values()))
+    assert collections.Counter(r.doc_id for r in simhash.without_near_copies(frame).collect()) == want
+
+
+@pytest.mark.parametrize("rows", [1, 127, 128, 1000])
+def test_runs_of_a_tile_lose_no_pair(rows):
+    draw = random.Random(rows)
+    base = [draw.getrandbits(64) for _ in range(rows)]
+    other = [v ^ sum(1 << b for b in draw.sample(range(64), draw.randint(1, 5))) for v in base]
+    a, b = (b"".join(v.to_bytes(8, "big") for v in side) for side in (base, other))
+    x, y = simhash.Sorted(a, 64), simhash.Sorted(b, 64)
+    found = {(int(x.values[i, 0]), int(y.values[j, 0])) for u, v in simhash.near_pairs(x, y, 3) for i, j in zip(u, v, strict=True)}
+    assert found == {(p, q) for p in base for q in other if (p ^ q).bit_count() <= 3}
 
 
 # Exact duplicates
@@ -252,31 +242,27 @@ def test_contexts_find_more(spark):
 # Language-model scores
 
 
-def test_words_whose_hashes_share_48_bits_stay_apart(spark, monkeypatch):
-    # Two words whose hashes differ in their low bits only, and one whose n-grams' hashes would be "none".
-    digest = xxhash.xxh64_intdigest
-    planned = {b"left": 5 << 20 | 2, b"right": 5 << 20 | 4, b"none": 0}
-    monkeypatch.setattr(lm_score.xxhash, "xxh64_intdigest", lambda w: planned.get(w, digest(w)))
-    batch = pd.DataFrame({"doc_key": ["1", "2"], "text": ["left right none left", "none right none"]})
-    (block,) = lm_score._blocks(iter([batch]))
-    asked = pd.concat(lm_score._ask(3, 4)(iter([block])))
-    answers = pd.concat([lm_score._answer(g) for _, g in asked.groupby(["owner", "n"])])
-    counts = {n: sorted(np.concatenate([lm_score.unsqueezed(t) for t in answers["totals"][answers["n"] == n]]).tolist()) for n in (1, 2, 3)}
-    assert counts == {1: [2, 2, 3], 2: [1, 1, 1, 2], 3: [1, 1, 1]}
-    got = lm_score._score(3, 7)(block, answers).set_index("doc_key")["score"]
-    s = lm_score.np.log
-    first = s(2 / 7) + s(0.4) + s(2 / 7) + (s(0.4) + s(2 / 2)) + (2 * s(0.4) + s(2 / 7))
-    assert abs(got["1"] - first) < 1e-9
-
-
-def test_owners_grow_with_the_words(spark, monkeypatch):
-    monkeypatch.setattr(lm_score, "OWNER_WORDS", 10)
-    asked = []
-    plain = lm_score._ask
-    monkeypatch.setattr(lm_score, "_ask", lambda order, owners: asked.append(owners) or plain(order, owners))
-    docs = spark.createDataFrame([(i, "a b c d e") for i in range(40)], "doc_id long, text string")
-    assert lm_score.lm_scores(docs).count() == 40
-    assert asked == [20]
+def plain_scores(texts, order, least):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    counts = collections.Counter(tuple(w[i : i + n]) for w in words for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    total = sum(map(len, words))
+
+    def s(gram):
+        if len(gram) == 1:
+            return np.log(counts[gram] / total)
+        return np.log(counts[gram] / counts[gram[:-1]]) if counts[gram] >= least else np.log(0.4) + s(gram[1:])
+
+    return [(len(w), sum(s(tuple(w[max(0, i - order + 1) : i + 1])) for i in range(len(w)))) for w in words]
+
+
+@pytest.mark.parametrize(("order", "least"), [(3, 2), (1, 2), (2, 1), (4, 3)])
+def test_scores(spark, order, least):
+    draw = random.Random(order)
+    texts = [" ".join(draw.choices("a b c d e f g".split(), k=draw.choice([0, 1, 2, 3, 30]))) for _ in range(80)] + [None, " ", "a\tb\n c", "a b " * 300]
+    ids = [None if i % 9 == 0 else i // 2 for i in range(len(texts))]
+    got = lm_score.lm_scores(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3), order=order, least_count=least)
+    want = sorted((i is None, i or 0, n, round(s, 6)) for i, (n, s) in zip(ids, plain_scores(texts, order, least), strict=True))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, round(r.score, 6)) for r in got.collect()) == want
 
 
 # WARC
@@ -333,19 +319,51 @@ def test_lost_pairs_are_seen_beside_a_large_group(monkeypatch):
     graph, plain = hnsw.Graph.build(u), hnsw.Graph.within
 
     def lossy(self, q, least, first):
-        r, c = plain(self, q, least, first)
-        if first == hnsw.FIRST_BEAM:
-            # Twins lose each other and keep themselves.
-            keep = (c < 400) | (np.abs((q[r] * self.x[c]).sum(axis=1) - 1) < 1e-6)
-            r, c = r[keep], c[keep]
-        return r, c
+        for r, c in plain(self, q, least, first):
+            if first == hnsw.FIRST_BEAM:
+                # Twins lose each other and keep themselves.
+                keep = (c < 400) | (np.abs((q[r] * self.x[c]).sum(axis=1) - 1) < 1e-6)
+                r, c = r[keep], c[keep]
+            yield r, c
 
     monkeypatch.setattr(hnsw.Graph, "within", lossy)
-    r, c = graph.audited(u, 0.95, np.arange(len(u)))
-    found = set(zip(r.tolist(), c.tolist(), strict=True))
+    found = {pair for r, c in graph.audited(u, 0.95, np.arange(len(u))) for pair in zip(r.tolist(), c.tolist(), strict=True)}
     assert np.mean([(i, i ^ 1) in found for i in range(400, 1200)]) >= 0.98
 
 
+def test_a_dense_group_takes_little_memory(monkeypatch):
+    import tracemalloc
+
+    draw = np.random.default_rng(6)
+    v = draw.normal(size=(1, 64)) + draw.normal(size=(4000, 64)) * 0.02
+    graph = hnsw.Graph.build((v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32))
+    monkeypatch.setattr(hnsw, "SEEN_CELLS", 1 << 20)
+
+    class Pair:
+        width, nodes, copies = 64, np.arange(4000, dtype="<i8").tobytes(), np.ones(4000, "<i8").tobytes()
+        vectors = q_vectors = v.astype("<f8").tobytes()
+        q_nodes = nodes
+
+    tracemalloc.start()
+    out = hnsw._linked(graph, Pair, 0.95)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All 16 million pairs at once would take 256 MB as places alone.
+    assert peak < 150e6
+    assert out[out["links"] > 0]["links"].tolist() == [3999] * 4000 and out["other"].notna().sum() == 3999
+
+
+def test_wide_vectors(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD_BYTES", 400_000)
+    monkeypatch.setattr(hnsw, "SLICE_BYTES", 200_000)
+    draw = np.random.default_rng(7)
+    v = draw.normal(size=(120, 1536))
+    v[60:] = v[:60] + draw.normal(size=(60, 1536)) * 0.05
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(500, [1.0, 2.0]), (501, [1.0, 2.001])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (1, i % 60) for i in range(120)} | {500: (1, 500), 501: (1, 500)}
+
+
 # Toxicity
 
 
