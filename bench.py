@@ -13,6 +13,8 @@ import sys
 import time
 from pathlib import Path
 
+from pyarrow.parquet import ParquetFile
+
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from loreline.plans import catalog  # noqa: E402
@@ -81,6 +83,8 @@ def main() -> None:
         "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1],
         "cpus": int(cpus),
         "spark": spark.version,
+        # A scan has no more tasks with rows than its table has row groups.
+        "row_groups": {p.stem: ParquetFile(p).metadata.num_row_groups for p in sorted(Path(sf_dir).glob("*.parquet")) if p.is_file()},
     }))
 
 
