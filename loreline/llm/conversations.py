@@ -26,8 +26,8 @@ GIVEN = {"u": "user", "a": "assistant"}
 REROLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
 #: Neighbouring initials that are in order.
 LEGAL = ("su", "ua", "au")
-#: Turns that a task parses at once; longer conversations are parsed in such pieces and put together.
-PIECE = 1024
+#: Turns that a task parses at once, longer conversations are parsed in such pieces and put together; and pieces of a task.
+PIECE, TASK_PIECES = 1024, 8
 #: Stacks that a grammar may give.
 MOST_STACKS = 64
 #: ASCII white space.
@@ -122,6 +122,8 @@ class Stacks:
             cost, audit, given = tops[n]
             for x in GIVEN:
                 for m in self.moves[n].get(x, ()):
+                    if m in tops and cost + INSERT > tops[m][0]:
+                        continue
                     new = (cost + INSERT, audit + "I", given + x)
                     if m not in tops or new < tops[m]:
                         tops[m] = new
@@ -133,14 +135,16 @@ class Stacks:
         out: dict = {}
         stay = TRUNCATED if fault == "truncated" else 0
         more, rest = DELETE * (copies - 1), "D" * (copies - 1)
+        edits = [(None, DELETE, "D", "")]
+        if fault in ("", "truncated"):
+            edits += [(initial, stay, "K", "")] + [(x, stay + REROLE, "R", x) for x in GIVEN]
         for n, (cost, audit, given) in self.inserted(tops).items():
-            new = [(n, (cost + DELETE + more, audit + "D" + rest, given))]
-            if fault in ("", "truncated"):
-                new += [(m, (cost + stay + more, audit + "K" + rest, given)) for m in self.moves[n].get(initial, ())]
-                new += [(m, (cost + stay + REROLE + more, audit + "R" + rest, given + x)) for x in GIVEN for m in self.moves[n].get(x, ())]
-            for m, path in new:
-                if m not in out or path < out[m]:
-                    out[m] = path
+            for x, price, letter, role in edits:
+                price += cost + more
+                for m in [n] if x is None else self.moves[n].get(x, ()):
+                    # Most ways lose by cost; only the others are written down.
+                    if m not in out or price < out[m][0] or (price == out[m][0] and (audit + letter + rest, given + role) < out[m][1:]):
+                        out[m] = (price, audit + letter + rest, given + role)
         return out
 
     def paths(self, turns: list[tuple[str, str, int]], entries: list[int]) -> list[tuple]:
@@ -334,7 +338,9 @@ def repaired(
     rows = stored(rows, "turns-sorted")
     piece = F.expr(f"at div {PIECE}").alias("piece")
     slim = rows.select(piece, "at", "key", F.coalesce("turn", F.lit(0)).alias("turn"), F.col("turn").isNotNull().alias("turned"), F.left("role", F.lit(1)).alias("initial"), "copies", "fault")
-    runs = stored(slim.groupBy("piece").applyInPandas(_runs(stacks), RUN), "turns-runs")
+    # Parsing is dear and its rows are small, so tasks are dealt by pieces, not by bytes.
+    tasks = max(1, rows.count() // (PIECE * TASK_PIECES))
+    runs = stored(slim.repartition(tasks, "piece").groupBy("piece").applyInPandas(_runs(stacks), RUN), "turns-runs")
     in_order = runs.repartition("key").sortWithinPartitions("key", "piece")
     choices = stored(in_order.mapInPandas(_fold(stacks), CHOICE), "turns-choices")
     path = F.filter("paths", lambda p: (p["entry"] == F.col("entry")) & (p["exit"] == F.col("exit")))[0]
