@@ -228,7 +228,53 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(everything).alias("spans"))
 
 
-@query()
+REPAIR_SQL = r"""
+WITH RECURSIVE keyed AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(k, ''), lambda c: ord(c)::BIGINT),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) % 20 AS kind FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM hashed WHERE kind <> 0),
+lined AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS bare FROM damaged),
+marked AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM lined),
+counted AS (
+  SELECT conv_id, count(*) AS turns, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id),
+moves(state, x, next) AS (VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u'), ('', '-', ''), ('s', '-', 's'), ('u', '-', 'u'), ('a', '-', 'a')),
+puts(state, mid, price, letters, lines) AS (
+  VALUES ('', '', 0, '', ''), ('s', 's', 0, '', ''), ('u', 'u', 0, '', ''), ('a', 'a', 0, '', ''), ('', 'u', 5, 'I', chr(10) || 'user:'), ('s', 'u', 5, 'I', chr(10) || 'user:'),
+    ('a', 'u', 5, 'I', chr(10) || 'user:'), ('u', 'a', 5, 'I', chr(10) || 'assistant:'),
+    ('', 'a', 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), ('s', 'a', 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+acts AS (
+  SELECT conv_id, i, 'D' AS letter, '-' AS x, 2 AS price, '' AS line FROM marked
+  UNION ALL SELECT conv_id, i, 'K', left(role, 1), CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END, chr(10) || role || ':' || text FROM marked WHERE fault IN ('', 'truncated')
+  UNION ALL SELECT conv_id, i, 'R', r[1], CASE WHEN fault = 'truncated' THEN 6 ELSE 1 END, chr(10) || r || ':' || text FROM marked, (VALUES ('user'), ('assistant')) AS v(r)
+    WHERE fault IN ('', 'truncated')),
+steps AS (
+  SELECT conv_id, 0::BIGINT AS i, '' AS state, struct_pack(cost := 0, audit := '', lines := '') AS best FROM counted
+  UNION ALL
+  SELECT s.conv_id, a.i, m.next AS state,
+    min(struct_pack(cost := s.best.cost + p.price + a.price, audit := s.best.audit || p.letters || a.letter, lines := s.best.lines || p.lines || a.line)) AS best
+  FROM steps s JOIN puts p ON p.state = s.state JOIN acts a ON a.conv_id IS NOT DISTINCT FROM s.conv_id AND a.i = s.i + 1 JOIN moves m ON m.state = p.mid AND m.x = a.x
+  GROUP BY s.conv_id, a.i, m.next),
+ended AS (
+  SELECT s.conv_id, min(struct_pack(cost := s.best.cost + p.price, audit := s.best.audit || p.letters, lines := s.best.lines || p.lines)) AS best
+  FROM steps s JOIN counted c ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.turns = s.i JOIN puts p ON p.state = s.state AND p.mid IN ('', 'a') GROUP BY s.conv_id)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(e.best.cost, 0) AS cost, coalesce(e.best.audit, '') AS audit, sha256(substr(coalesce(e.best.lines, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
+@query(REPAIR_SQL)
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     fixed = conversations.repaired(conversations.damaged(rows))
