@@ -236,21 +236,26 @@ ADDRESSED = MESSAGES.replace("FROM v_messages", "FROM addressed").replace(", par
 , addressed AS (SELECT m.item_id, folder_rank, ord, replace(replace(raw, chr(10) || 'From ', chr(10) || '>From '),
     'plain body ', coalesce(url, '') || chr(10) || 'plain body ') AS raw FROM v_messages m LEFT JOIN v_urls ON page_id = m.item_id),
 parts AS""", 1)
-COLLECTED = ADDRESSED + TITLES.replace("FROM v_bodies", "FROM (SELECT * EXCLUDE (title), title AS subject FROM decoded)") + f"""
-, told AS (SELECT *, CASE WHEN body = '' THEN '' WHEN remark THEN subject ELSE left_over END AS comment FROM commented),
-firsts AS (SELECT * FROM told WHERE {KEY} <> '' QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY folder_rank, ord) = 1),
+TOLD = ADDRESSED + TITLES.replace("FROM v_bodies", "FROM (SELECT * EXCLUDE (title), title AS subject FROM decoded)") + """
+, told AS (SELECT *, CASE WHEN body = '' THEN '' WHEN remark THEN subject ELSE left_over END AS comment FROM commented)
+"""
+COLLECTED = TOLD + f"""
+, firsts AS (SELECT * FROM told WHERE {KEY} <> '' QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY folder_rank, ord) = 1),
 asked AS (SELECT f.* EXCLUDE (item_id), f.ord AS page_id, '' AS journal, v.resolved_url FROM firsts f LEFT JOIN v_urls v ON v.page_id = f.ord)
 """ + PLACES.replace("FROM v_urls", "FROM asked")
 
 
+def _addressed(i):
+    pages = i.view("v_urls").select(F.col("page_id").alias("item_id"), "url")
+    raw = F.replace("raw", F.lit("plain body "), F.concat(F.coalesce("url", F.lit("")), F.lit("\nplain body ")))
+    return i.view("v_messages").join(pages, "item_id", "left").select("item_id", "folder_rank", "ord", raw.alias("raw"))
+
+
 def _collect(i, path, watch=None):
     """The whole job: an archive of the messages, pages as dimensions of DOIs and of the addresses they lead to."""
-    pages = i.view("v_urls").select("page_id", "url", "resolved_url")
-    with_address = i.view("v_messages").join(pages.select(F.col("page_id").alias("item_id"), "url"), "item_id", "left")
-    raw = F.replace("raw", F.lit("plain body "), F.concat(F.coalesce("url", F.lit("")), F.lit("\nplain body ")))
-    leads = pages.select(identifiers.doi_from_url(F.col("url")).alias("doi"), "resolved_url").filter("doi IS NOT NULL")
-    messages = _archive(i, with_address.select("item_id", "folder_rank", "ord", raw.alias("raw")))
-    return collect_items(messages, doi_dim(i), path, resolved=leads, watch=watch)
+    doi = identifiers.doi_from_url(F.col("url")).alias("doi")
+    leads = i.view("v_urls").select(doi, "resolved_url").filter("doi IS NOT NULL")
+    return collect_items(_archive(i, _addressed(i)), doi_dim(i), path, resolved=leads, watch=watch)
 
 
 @query("collect_items", "v_messages", "v_urls", sql=COLLECTED + """
@@ -378,14 +383,17 @@ def embedding_store(i):
 # ---- streams: the same results, piece by piece ---------------------------------------------------
 
 
-@query("ingest_archive_stream", "v_messages", sql=MESSAGES + "SELECT title, sender, date, count(*) AS items FROM decoded GROUP BY ALL")
+@query("ingest_archive_stream", "v_messages", "v_urls", sql=TOLD + """
+SELECT subject AS subject_title, title, url, sender, date, md5(comment) AS comment_md5, count(*) AS items FROM told GROUP BY ALL""")
 def ingest_archive_stream(i):
-    path = _write_archives(i)
+    """Two folders of an archive, by the default forms of every step; the second run finds no new file."""
+    path = _write_archives(i, _addressed(i))
     sink, checkpoint = scratch_path(i.spark, "ingested"), scratch_path(i.spark, "offsets")
-    for _ in range(2):  # the second run finds no new file
-        jobs.ingest_archive_stream(i.spark, f"{path}/*", sink, checkpoint, dom=False).awaitTermination()
-    back = i.spark.read.schema("subject_title string, sender string, date string").parquet(sink)
-    return back.groupBy(F.col("subject_title").alias("title"), "sender", "date").agg(F.count(F.lit(1)).alias("items"))
+    for _ in range(2):
+        jobs.ingest_archive_stream(i.spark, f"{path}/*", sink, checkpoint).awaitTermination()
+    back = i.spark.read.schema("subject_title string, title string, url string, sender string, date string, comment string").parquet(sink)
+    keys = ["subject_title", "title", "url", "sender", "date"]
+    return back.groupBy(*keys, F.md5("comment").alias("comment_md5")).agg(F.count(F.lit(1)).alias("items"))
 
 
 @query("dedupe_and_merge_stream", "v_items", sql=f"""
