@@ -36,6 +36,12 @@ def l2_normalise(v: Column) -> Column:
     )
 
 
+def whole_vector(v: Column) -> Column:
+    """The vector, or null when one of its places is null or not finite."""
+    known = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.when(known, v)
+
+
 def embed(
     items: DataFrame,
     title: str = "title",
@@ -83,8 +89,9 @@ def fit_runs(unit: DataFrame, k: int, seeds: list[int], iterations: int = 20, to
     A pass adds up, for each run and centre, the rows nearest to it; what leaves a task is one sum for each, combined before
     the driver sees runs * k of them. Runs that stand still are left out of further passes. Starting centres are drawn by
     distance (k-means++) from the `SEED_ROWS` rows with the smallest hashes, so that a start is the same for
-    the same rows and seed, alone or among others. A centre without rows stays where it is.
+    the same rows and seed, alone or among others. A centre without rows stays where it is. Null arrays take no part.
     """
+    unit = unit.filter("unit IS NOT NULL")
     drawn = unit.orderBy(F.xxhash64("unit"), "unit").limit(SEED_ROWS).toPandas()["unit"]
     if not len(drawn):
         return Runs(np.zeros((len(seeds), 0, 0)), [0.0] * len(seeds))
@@ -145,6 +152,9 @@ def _pass(unit: DataFrame, centers: np.ndarray, runs: list[int]) -> DataFrame:
                 starts = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
                 total[at[order][starts]] += np.add.reduceat(x[order], starts, axis=0)
         seen = np.flatnonzero(n)
+        # A task may have no rows, as when a file has fewer row groups than splits; an empty column of lists has no type.
+        if not len(seen):
+            return
         yield pd.DataFrame({
             "run": np.array(runs, dtype=int)[seen // k], "center": seen % k, "n": n[seen], "cost": cost[seen], "total": list(total[seen]),
         })
@@ -166,18 +176,21 @@ def fit_topics(
     """(item and topic, centroids) of the cheapest of several k-means runs.
 
     Vectors are scaled to unit length first and written once. Topics are numbered by falling size, so
-    that equal clusterings get equal numbers. All runs share their passes over the vectors.
+    that equal clusterings get equal numbers. All runs share their passes over the vectors. Items whose vector is null or holds
+    null or non-finite places take no part and have no topic.
     """
-    unit = kept(vectors.select(item_id, l2_normalise(F.col(embedding)).alias("unit")), "unit-vectors")
+    unit = kept(vectors.select(item_id, l2_normalise(whole_vector(F.col(embedding))).alias("unit")), "unit-vectors")
     runs = fit_runs(unit.select("unit"), k, [seed + r for r in range(restarts)])
     best = runs.centers[int(np.argmin(runs.costs))]
     spark = vectors.sparkSession
     model = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(best)], "topic int, centroid array<double>")
-    placed = kept(assign_topics(unit, model, "unit").select(item_id, F.col("topic").alias("_c")), "placed")
+    placed = kept(assign_topics(unit.filter("unit IS NOT NULL"), model, "unit").select(item_id, F.col("topic").alias("_c")), "placed")
     sizes = {r["_c"]: r["count"] for r in placed.groupBy("_c").count().collect()}
     ranked = sorted(sizes, key=lambda c: (-sizes[c], c))
     numbers = spark.createDataFrame([(c, n, [float(x) for x in best[c]]) for n, c in enumerate(ranked)], "_c int, topic int, centroid array<double>")
     topics = placed.join(F.broadcast(numbers.select("_c", "topic")), "_c").select(item_id, "topic")
+    apart = unit.filter("unit IS NULL").select(item_id, F.lit(None).cast("int").alias("topic"))
+    topics = topics.unionByName(apart)
     return topics, numbers.select("topic", "centroid")
 
 

@@ -179,6 +179,16 @@ def test_topics(spark):
     assert topics.join(nearest, "item_id").filter("topic != near").count() == 0
 
 
+def test_topics_of_empty_tasks_and_of_items_without_a_vector(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, None), (5, [None, 1.0]), (6, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "item_id int, embedding array<float>").repartition(8, "item_id")
+    topics, centroids = vectors.fit_topics(df, k=2, restarts=2)
+    found = {r["item_id"]: r["topic"] for r in topics.collect()}
+    assert found == {1: 0, 2: 0, 3: 1, 4: None, 5: None, 6: None} and centroids.count() == 2
+    few = df.select(vectors.l2_normalise(F.col("embedding")).alias("unit")).filter("item_id < 4").repartition(8)
+    assert len(vectors.fit_runs(few, 2, [1], 3).costs) == 1
+
+
 def test_projection_orders_axes_by_variance(spark):
     rng = np.random.default_rng(5)
     rows = [(n, [float(v) for v in rng.normal(0, [1, 9, 3])]) for n in range(200)]
