@@ -335,14 +335,16 @@ def fit_topics(i):
 SELECT count(*) AS items, 20 AS topics, 0 AS misplaced, 0 AS disordered, 0 AS costlier FROM embeddings""")
 def fit_topics_checked(i):
     """Ten runs: rows not at their nearest centre, topics not numbered by size, and single runs that cost less."""
-    e = i.table("embeddings").select(F.col("vec_id").alias("item_id"), vectors.l2_normalise(F.col("embedding")).alias("embedding"))
+    e = i.table("embeddings").select(F.col("vec_id").alias("item_id"), vectors.l2_normalise(vectors.whole_vector(F.col("embedding"))).alias("embedding"))
     topics, centroids = vectors.fit_topics(e)
-    near = vectors.assign_topics(e.join(topics.withColumnRenamed("topic", "own"), "item_id"), centroids)
+    own = e.join(topics.withColumnRenamed("topic", "own"), "item_id")
+    near = vectors.assign_topics(own.filter("embedding IS NOT NULL"), centroids)
+    near = near.unionByName(own.filter("embedding IS NULL"), allowMissingColumns=True)
     cost = near.agg(F.sum("distance2")).first()[0]
     unit = e.select(vectors.l2_normalise(F.col("embedding")).alias("unit"))
     single = [vectors.fit_runs(unit, 20, [42 + r]).costs[0] for r in (0, 4, 9)]
     sizes = near.groupBy("own").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("topic") != F.col("own")).alias("wrong"))
-    lists = sizes.agg(F.sum("n").alias("items"), F.count(F.lit(1)).alias("topics"), F.sum("wrong").alias("misplaced"), F.array_sort(F.collect_list(F.struct("own", "n"))).alias("l"))
+    lists = sizes.agg(F.sum("n").alias("items"), F.count("own").alias("topics"), F.sum("wrong").alias("misplaced"), F.array_sort(F.collect_list(F.when(F.col("own").isNotNull(), F.struct("own", "n")))).alias("l"))
     falls = F.transform(F.sequence(F.lit(1), F.size("l") - 1), lambda x: (F.get("l", x)["n"] > F.get("l", x - 1)["n"]).cast("int"))
     return lists.select("items", "topics", "misplaced", F.aggregate(falls, F.lit(0), lambda a, x: a + x).alias("disordered"), F.lit(sum(c < cost - 1e-6 for c in single)).alias("costlier"))
 
