@@ -32,21 +32,15 @@ def tokens(c: Column, stop_words=ENGLISH) -> Column:
     return F.filter(words, lambda w: ~w.isin(*stop))
 
 
-def ngrams_1_2(c: Column, stop_words=ENGLISH) -> Column:
-    """I8: words and pairs of adjoining words; pairs form after stop words are gone."""
+def _pairs(t: Column) -> Column:
+    """Each word with the next one; null where one of them is null."""
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
 
-    def grams(t: Column) -> Column:
-        n = F.size(t)
-        pairs = F.when(
-            n > 1,
-            F.transform(
-                F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))),
-                lambda i: F.concat_ws(" ", F.get(t, i), F.get(t, i + 1)),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        return F.concat(t, pairs)
 
-    return let(tokens(c, stop_words), grams)
+def ngrams_1_2(c: Column, stop_words=ENGLISH) -> Column:
+    """I8: words and pairs of adjoining words; pairs form after stop words are gone."""
+    return let(tokens(c, stop_words), lambda t: F.concat(t, _pairs(t)))
 
 
 def term_counts(grams: Column) -> Column:
@@ -87,16 +81,67 @@ def doc_terms(items: DataFrame, text: Column, item_id: str, *keep: str, stop_wor
     return counted.select(item_id, *keep, F.inline_outer("_t")).filter(F.col("term").isNotNull())
 
 
-def counted_terms(items: DataFrame, text: Column, item_id: str, *keep: str, stop_words=ENGLISH) -> DataFrame:
+def counted_terms(
+    items: DataFrame, text: Column, item_id: str, *keep: str, stop_words=ENGLISH, k: int | None = None, min_df: int = 1, max_df: float = 1.0
+) -> DataFrame:
     """A written table with one row per item: a number `_row`, its terms as the lines of one text, and their counts.
 
-    Statistics and weights read it, so texts are cut into terms once. One text is written faster than many.
+    Statistics and weights read it, so texts are cut into terms once. One text is written faster than many. With `k`, terms that
+    can't be among the `k` most frequent ones within the bounds on df may be left out; all others have their whole counts.
     """
-    counted = items.select(F.monotonically_increasing_id().alias("_row"), item_id, *keep, term_counts(ngrams_1_2(text, stop_words)).alias("_t"))
+    row = F.monotonically_increasing_id().alias("_row")
+    if k is None:
+        return _written(items.select(row, item_id, *keep, term_counts(ngrams_1_2(text, stop_words)).alias("_t")), item_id, *keep)
+    words = kept(items.select(row, item_id, *keep, F.array_join(tokens(text, stop_words), " ").alias("_words")), "words")
+    cut = F.split("_words", " ")
+    names = _contenders(words, k, min_df, max_df)
+    if names is None:
+        grams = F.when(F.col("_words") != "", let(cut, lambda t: F.concat(t, _pairs(t))))
+    else:
+        grams = let(_known(cut, names[0]), lambda t: F.filter(F.concat(t, _pairs(t)), lambda g: g.isin(names[0] + names[1])))
+    return _written(words.select("_row", item_id, *keep, term_counts(grams).alias("_t")), item_id, *keep)
+
+
+def _written(counted: DataFrame, item_id: str, *keep: str) -> DataFrame:
     lines = F.array_join(F.col("_t.term"), "\n").alias("_terms")
     return kept(counted.select("_row", item_id, *keep, lines, F.col("_t.tf").cast("array<int>").alias("_tf")), "terms")
 
 
+def _known(words: Column, names: list[str]) -> Column:
+    return F.transform(words, lambda w: F.when(w.isin(names), w))
+
+
+def _contenders(words: DataFrame, k: int, min_df: int, max_df: float) -> tuple[list[str], list[str]] | None:
+    """(words, pairs) of which the `k` most frequent terms are; None if there are more than `CANDIDATES` * k of either.
+
+    The k-th count among single words within the bounds is one that every term of the vocabulary reaches, and a pair is no more
+    frequent than each of its words: only pairs of words that reach it are counted.
+    """
+    cut = F.split("_words", " ")
+    some = words.filter("_words <> ''")
+    if min_df > 1 or max_df < 1.0:
+        sums = term_statistics(some.select(F.inline(term_counts(cut))))
+    else:
+        # No bound asks for df.
+        sums = some.select(F.explode(cut).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("cf"), F.lit(1).alias("df"))
+    sums = kept(sums, "word-sums")
+    n_items = words.agg(F.count(F.lit(1))).scalar()
+    found, bound = top_vocabulary(sums, k, n_items, min_df, max_df).agg(F.count(F.lit(1)), F.min("cf")).first()
+    if found < k:
+        return None
+
+    def reaching(counts: DataFrame) -> list[str] | None:
+        rows = counts.filter(F.col("cf") >= bound).select("term").limit(CANDIDATES * k + 1).collect()
+        return [r["term"] for r in rows] if len(rows) <= CANDIDATES * k else None
+
+    single = reaching(sums)
+    if single is None:
+        return None
+    met = some.select(F.explode(let(_known(cut, single), _pairs)).alias("term")).filter("term IS NOT NULL")
+    pairs = reaching(met.groupBy("term").agg(F.count(F.lit(1)).alias("cf")))
+    return None if pairs is None else (single, pairs)
+
+
 def unfolded(counted: DataFrame, *keep: str) -> DataFrame:
     """One row per item and term of a table of counted terms."""
     pairs = F.zip_with(F.split("_terms", "\n"), F.col("_tf"), lambda term, tf: F.struct(term.alias("term"), tf.cast("bigint").alias("tf")))
@@ -163,7 +208,7 @@ def frequent_terms(
 def weighed_terms(
     counted: DataFrame, item_id: str, *keep: str, k: int | None = 500, min_df: int = 1, max_df: float = 1.0
 ) -> DataFrame:
-    """I9 on a table of counted terms."""
+    """I9 on a table of counted terms, made without `k` or with the same limits."""
     n_items = counted.agg(F.count(F.lit(1))).scalar()
     terms = unfolded(counted)
     idf = F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + 1.0
@@ -190,7 +235,7 @@ def tfidf(
     weight = tf * (ln((1 + n) / (1 + df)) + 1), n counting items without terms too.
     Terms meet the vocabulary by a join, which Spark broadcasts while it is short.
     """
-    counted = counted_terms(items, text, item_id, *keep, stop_words=stop_words)
+    counted = counted_terms(items, text, item_id, *keep, stop_words=stop_words, k=k, min_df=min_df, max_df=max_df)
     return weighed_terms(counted, item_id, *keep, k=k, min_df=min_df, max_df=max_df)
 
 
@@ -246,7 +291,7 @@ def label_topics(
         stop_words = (*stop_words, *names)
     else:
         raise ValueError(f"unknown variant {variant!r}")
-    counted = counted_terms(items, text, item_id, topic, stop_words=stop_words)
+    counted = counted_terms(items, text, item_id, topic, stop_words=stop_words, k=k, **bounds)
     weights = weighed_terms(counted, item_id, topic, k=k, **bounds)
     sizes = counted.groupBy(topic).agg(F.count(F.lit(1)).alias("n"))
     if variant == "papers":

@@ -209,7 +209,7 @@ def tfidf(i):
 
 
 def _centroids(i):
-    counted = ops.counted_terms(_docs(i), ops.normalise_title(F.col("text")), "item_id", "topic")
+    counted = ops.counted_terms(_docs(i), ops.normalise_title(F.col("text")), "item_id", "topic", k=500)
     w = ops.weighed_terms(counted, "item_id", "topic", k=500)
     return ops.cluster_centroids(w, counted.groupBy("topic").agg(F.count(F.lit(1)).alias("n")))
 

@@ -393,3 +393,17 @@ def test_centroids_in_blocks(spark, monkeypatch):
     assert {r["id"]: r["topic"] for r in vectors.assign_topics(points, model).collect()} == whole
     assert [whole[i] for i in range(11)] == list(range(11))
     assert vectors.assign_topics(points, model.limit(0)).first()["topic"] is None
+
+
+@pytest.mark.parametrize("limits", [{}, {"min_df": 2, "max_df": 0.5}])
+def test_terms_out_of_reach_of_the_vocabulary_are_not_counted(spark, limits):
+    words = [f"word{n}" for n in range(60)]
+    rows = [(n, " ".join(words[(n * m) % (1 + n % 60)] for m in range(1, 40))) for n in range(200)] + [(-1, ""), (-2, None), (-2, "word0 word0 word1")]
+    df = spark.createDataFrame(rows, "item_id int, t string")
+    whole = ops.counted_terms(df, F.col("t"), "item_id")
+    found = ops.tfidf(df, F.col("t"), "item_id", k=6, **limits)
+    expected = ops.weighed_terms(whole, "item_id", k=6, **limits)
+    six = lambda t: sorted((r["item_id"], r["term"], r["tf"], round(r["weight"], 9)) for r in t.collect())
+    assert six(found) == six(expected) and len({r["term"] for r in found.collect()}) == 6
+    few = ops.counted_terms(df, F.col("t"), "item_id", k=6, **limits)
+    assert few.count() == 203 and ops.unfolded(few).select("term").distinct().count() < ops.unfolded(whole).select("term").distinct().count() / 4
