@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,6 +21,9 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 # Share of rows that names candidates for frequent terms, candidates for each term asked for, and buckets that count the others.
 SAMPLED, CANDIDATES, TERM_BUCKETS = 64, 8, 1 << 18
 
+# Words that a task counts at once, unless a single text has more.
+BATCH_WORDS = 1 << 22
+
 
 def normalise_title(c: Column) -> Column:
     """Lower case, anything but a-z, 0-9 and white space to a blank, runs collapsed."""
@@ -148,13 +156,61 @@ def unfolded(counted: DataFrame, *keep: str) -> DataFrame:
     return counted.filter("_terms <> ''").select(*keep, F.inline(pairs))
 
 
+def batch_terms(items: DataFrame, text: Column, stop_words=ENGLISH) -> DataFrame:
+    """Terms of texts (term, tf, df), summed within a batch of a task: its occurrences, and the texts it is in.
+
+    Words become numbers and pairs products of them, so counting is sorting numbers; a batch hands on one row per distinct term.
+    """
+    return items.select(tokens(text, stop_words).alias("words")).mapInArrow(_sums_of_batches, "term string, tf bigint, df bigint")
+
+
+def _sums_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = batch.column(0)
+        before = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(words):
+            end = max(int(np.searchsorted(before, (before[at - 1] if at else 0) + BATCH_WORDS, side="right")), at + 1)
+            yield from _sums(words.slice(at, end - at))
+            at = end
+
+
+def _sums(words: pa.ListArray) -> Iterator[pa.RecordBatch]:
+    coded = words.flatten().dictionary_encode()
+    code, known, texts = coded.indices.to_numpy().astype("int64"), len(coded.dictionary), len(words)
+    if not known:
+        return
+    text = np.repeat(np.arange(texts), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+    pair = np.flatnonzero(text[1:] == text[:-1])
+    # A word's number, or beyond these that of a pair, and within it the text.
+    places = np.concatenate([code, known + code[pair] * known + code[pair + 1]]) * texts + np.concatenate([text, text[pair]])
+    places.sort()
+    term = places // texts
+    first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+    new = np.r_[True, places[1:] != places[:-1]]
+    tf, df = np.diff(np.r_[first, len(term)]), np.add.reduceat(new.astype("int64"), first)
+    term = term[first]
+    single = int(np.searchsorted(term, known))
+    left, right = np.divmod(term[single:] - known, known)
+    take = coded.dictionary.take
+    for names, rows in (
+        (take(pa.array(term[:single])), slice(0, single)),
+        (pc.binary_join_element_wise(take(pa.array(left)), take(pa.array(right)), " "), slice(single, None)),
+    ):
+        yield pa.RecordBatch.from_arrays([names, pa.array(tf[rows]), pa.array(df[rows])], ["term", "tf", "df"])
+
+
 def term_statistics(terms: DataFrame) -> DataFrame:
     """Per term its corpus frequency and the number of items it is in.
 
-    One shuffle by term, combined before it, so a term in every item costs one row
-    per task.
+    `terms` has a row per item and term, or sums of them with `df`. One shuffle by term, combined before it, so a term in every
+    item costs one row per task. Sums of batches are few for each term: they are shuffled as they are, as most terms are
+    rare and combining them again would sort all for little.
     """
-    return terms.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
+    if "df" in terms.columns:
+        return terms.repartition("term").groupBy("term").agg(F.sum("tf").alias("cf"), F.sum("df").alias("df"))
+    df = F.count(F.lit(1))
+    return terms.groupBy("term").agg(F.sum("tf").alias("cf"), df.alias("df"))
 
 
 def top_vocabulary(

@@ -186,7 +186,7 @@ def term_counts(i):
 
 @query("term_statistics", "v_topics", sql=RAW_TERMS + "SELECT term, cf, df FROM stats")
 def term_statistics(i):
-    return ops.term_statistics(_terms(i))
+    return ops.term_statistics(ops.batch_terms(i.table("documents"), F.col("text")))
 
 
 @query("top_vocabulary", "v_topics", sql=RAW_TERMS + weights_sql("docs", 500) + "SELECT term, cf, df FROM vocabulary")

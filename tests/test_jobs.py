@@ -407,3 +407,33 @@ def test_terms_out_of_reach_of_the_vocabulary_are_not_counted(spark, limits):
     assert six(found) == six(expected) and len({r["term"] for r in found.collect()}) == 6
     few = ops.counted_terms(df, F.col("t"), "item_id", k=6, **limits)
     assert few.count() == 203 and ops.unfolded(few).select("term").distinct().count() < ops.unfolded(whole).select("term").distinct().count() / 4
+
+
+@pytest.mark.parametrize("words", [1, 5, 1 << 22])
+def test_batches_of_texts_give_the_same_statistics(spark, monkeypatch, words):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ops, "BATCH_WORDS", words)
+    texts = [["ab", "cd", "ab", "cd"], [], None, ["ab"], ["cd", "ab", "cd"], ["ef", "ef", "ef"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.list_(pa.string()))], ["words"])
+    found = {}
+    for part in ops._sums_of_batches([batch]):
+        for r in part.to_pylist():
+            cf, df = found.get(r["term"], (0, 0))
+            found[r["term"]] = (cf + r["tf"], df + r["df"])
+    assert found == {"ab": (4, 3), "cd": (4, 2), "ef": (3, 1), "ab cd": (3, 2), "cd ab": (2, 2), "ef ef": (2, 1)}
+    rows = [(n, None if t is None else " ".join(t)) for n, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i int, t string")
+    assert {r["term"]: (r["cf"], r["df"]) for r in ops.term_statistics(ops.batch_terms(df, F.col("t"))).collect()} == found
+
+
+def test_long_pages_are_handed_on_in_pieces(spark, monkeypatch):
+    import pandas as pd
+
+    from loreline.functions import html
+
+    monkeypatch.setattr(html, "HANDED_ON", 40)
+    pages = ["<p>one two</p>" * 4, None, "<p>three</p>", "", "<div>four</div>" * 3, "x"]
+    pieces = list(html.dom_view.func(iter([pd.Series(pages)])))
+    assert len(pieces) == 3 and sum(len(p) for p in pieces) == len(pages)
+    assert [b for p in pieces for b in p["body"]] == pages
