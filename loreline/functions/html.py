@@ -133,6 +133,9 @@ def rewrite_links(html: Column, root: str) -> Column:
 
 # ---- the DOM helper (K3) ------------------------------------------------------
 
+# Characters of pages after which a task hands on what it has read.
+HANDED_ON = 1 << 22
+
 _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
@@ -202,14 +205,18 @@ def dom_view(bodies: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """H5 and the element walk of H15: struct(body without signatures, block texts).
 
     Nesting defeats regular expressions, so each body goes once through the
-    standard parser; all decisions on the texts stay native.
+    standard parser; all decisions on the texts stay native. Results of a batch are handed on in pieces of bounded size.
     """
     for series in bodies:
-        rows = []
+        rows, size = [], 0
         for html in series:
+            if size >= HANDED_ON:
+                yield pd.DataFrame(rows, columns=["body", "blocks"])
+                rows, size = [], 0
             if html is None:
                 rows.append((None, []))
                 continue
+            size += len(html)
             parser = _Blocks()
             parser.feed(html)
             parser.close()
