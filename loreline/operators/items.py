@@ -113,14 +113,15 @@ def dedupe_first(items: DataFrame, order: Column, title: str = "title") -> DataF
     """Per key text of the title the first item by `order`; empty keys dropped.
 
     An aggregate, not a window: copies are reduced before the shuffle, so a title
-    that a third of all rows share sends one row per task.
+    that a third of all rows share sends one row per task. Rows with an empty key are one group, dropped after it:
+    a filter before it would move below the steps that make the title, and make it twice and more.
     """
     row = F.struct(*items.columns)
     return (
-        items.withColumn("_key", normal_title(F.col(title)))
-        .filter(F.col("_key") != "")
+        items.withColumn("_key", F.nullif(normal_title(F.col(title)), F.lit("")))
         .groupBy("_key")
-        .agg(F.min_by(row, order).alias("_row"))
+        .agg(F.min_by(row, order).alias("_row"), F.max("_key").alias("_title"))
+        .filter(F.col("_title").isNotNull())
         .select("_row.*")
     )
 
