@@ -265,6 +265,49 @@ def test_scores(spark, order, least):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, round(r.score, 6)) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize(("share", "least_share", "passes"), [(62, 62, 1), (4, 62, 3), (0, 0, 3)])
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_in_passes(spark, monkeypatch, order, share, least_share, passes):
+    """From every n-gram frequent to none, with rows of one n-gram in several passes and tasks."""
+    draw = random.Random(share)
+    texts = [" ".join(draw.choices("the of a b c d e f g h i j k l".split(), [40, 20, *[1] * 12], k=draw.choice([0, 1, 2, 40]))) for _ in range(60)]
+    texts += [None, "the", "the of", "the of " * 100, *["the of a b c d e f g h"] * 5]
+    monkeypatch.setattr(lm_score, "SHARE", share)
+    monkeypatch.setattr(lm_score, "LEAST_SHARE", least_share)
+    monkeypatch.setattr(lm_score, "PASS_WORDS", 1 + sum(len((t or "").split()) for t in texts) // passes)
+    monkeypatch.setattr(lm_score, "TASK_ROWS", 200)
+    got = lm_score.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), order=order).collect()
+    want = plain_scores(texts, order, 2)
+    assert sorted((r.doc_id, r.n_words, round(r.score, 6)) for r in got) == [(i, n, round(s, 6)) for i, (n, s) in enumerate(want)]
+
+
+def test_scores_hold_a_part_on_disk(spark, monkeypatch):
+    """Each pass deals out its share of the rows, and common pairs of words don't meet in one task."""
+    draw = random.Random(5)
+    texts = [" ".join(["the of", *draw.choices([f"w{k}" for k in range(3000)], k=20)] * 2) for _ in range(400)]
+    seen = []
+
+    def watch(df, name):
+        out = stored(df, name)
+        seen.append((name.rsplit("-", 1)[0], df.sparkSession.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")))
+        return out
+
+    stored = lm_score.stored
+    monkeypatch.setattr(lm_score, "stored", watch)
+    monkeypatch.setattr(lm_score, "PASS_WORDS", 4000)
+    dealt, rows = lm_score._dealt, []
+    monkeypatch.setattr(lm_score, "_dealt", lambda *a: rows.append(dealt(*a)) or rows[-1])
+    got = lm_score.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert [(r.n_words, round(r.score, 6)) for r in sorted(got)] == [(n, round(s, 6)) for n, s in plain_scores(texts, 3, 2)]
+    assert [name for name, _ in seen].count("lm-sums") == 4 and {on for name, on in seen if name == "lm-sums"} == {"true"}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    counts = [df.count() for df, _ in rows]
+    assert sum(counts) < 2.2 * 44 * 400 and max(counts) < 0.5 * sum(counts)
+    largest = max(df.groupBy(key.alias("k")).count().agg({"count": "max"}).first()[0] for df, key in rows)
+    assert largest < 400
+
+
+
 # WARC
 
 
