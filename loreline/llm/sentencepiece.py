@@ -13,12 +13,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Chunks of text whose ids a worker keeps; the dictionary is emptied when full, so memory is bounded.
-CHUNKS_KEPT = 500_000
-PAIRS_KEPT = 300_000
+#: Chunks of text whose ids a worker keeps at most; the dictionary is emptied when full. A worker keeps its table
+#: for later stages too, so these add to the memory of every other operator that runs there.
+CHUNKS_KEPT = 100_000
+PAIRS_KEPT = 100_000
 #: Longer chunks are encoded each time.
 CHUNK_KEPT_CHARS = 64
-#: Chunks looked up between two checks of the dictionary's size.
+#: Chunks looked up at once.
 CHUNK_STEP = 50_000
 
 
@@ -157,11 +158,13 @@ class PieceTable:
             chunks, known, lead = self.chunk.findall(text) if self.chunk else [text], self.known, ""
         out = []
         for i in range(0, len(chunks), CHUNK_STEP):
-            if len(known) >= CHUNKS_KEPT:
-                known.clear()
             step = chunks[i : i + CHUNK_STEP]
+            missing = set(step).difference(known)
+            if len(known) + len(missing) > CHUNKS_KEPT:
+                known.clear()
+                missing = set(step)
             # Only the last chunk of a text can end with a space; it comes last, where nothing follows it.
-            missing = sorted(set(step).difference(known), key=lambda c: c.endswith(SPACE))
+            missing = sorted(missing, key=lambda c: c.endswith(SPACE))
             if missing:
                 known.update(zip(missing, self.chunk_ids([lead + c for c in missing] if lead else missing), strict=True))
             out.append(b"".join(map(known.__getitem__, step)))

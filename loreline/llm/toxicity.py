@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import batched, chain
 from zlib import crc32
 
 import numpy as np
@@ -34,8 +35,8 @@ ODDS, STRONG_ODDS = 2.0, 4.5
 BEGINNINGS = range(4, 9)
 #: Lexicons the strong learned words are dealt to by family, one voter each.
 LEARNED_VOTERS = 3
-#: Distinct words counted in a task before the counts are passed on.
-COUNTED_WORDS = 200_000
+#: Distinct words counted in a task before the counts are passed on, and words passed on at once.
+COUNTED_WORDS, PASSED_WORDS = 100_000, 10_000
 
 FIXED = list(LEXICONS)
 VOTERS = [*FIXED, *[f"learned{i}" for i in range(LEARNED_VOTERS)], "weak", "several", "shouting", "exclaiming", "nothing"]
@@ -72,18 +73,18 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: tuple[Counter, Counter] = (Counter(), Counter())
 
     def flush():
-        words = list(counts[0] | counts[1])
-        out = pd.DataFrame({"word": words, "clean": [counts[0][w] for w in words], "toxic": [counts[1][w] for w in words]})
-        counts[0].clear()
-        counts[1].clear()
-        return out
+        clean, toxic = counts
+        for words in batched(chain(clean, (w for w in toxic if w not in clean)), PASSED_WORDS):
+            yield pd.DataFrame({"word": words, "clean": [clean[w] for w in words], "toxic": [toxic[w] for w in words]})
+        clean.clear()
+        toxic.clear()
 
     for batch in batches:
         for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
             counts[toxic].update(marks_of(text))
             if len(counts[0]) + len(counts[1]) > COUNTED_WORDS:
-                yield flush()
-    yield flush()
+                yield from flush()
+    yield from flush()
 
 
 def learn_words(docs: DataFrame, labels: DataFrame, fit_rows: int) -> list[tuple[bytes, float]]:
@@ -91,11 +92,10 @@ def learn_words(docs: DataFrame, labels: DataFrame, fit_rows: int) -> list[tuple
     by_hash = F.xxhash64("doc_id", F.lit("fit"))
     sample = labels.where("toxic = 1").orderBy(by_hash, "doc_id").limit(fit_rows).unionByName(labels.where("toxic = 0").orderBy(by_hash, "doc_id").limit(fit_rows))
     # At most 2 * fit_rows pairs of numbers.
-    sample = stored(sample, "tox-sample").groupBy("toxic").agg(F.collect_list("doc_id").alias("ids")).collect()
-    totals = {r["toxic"]: len(r["ids"]) for r in sample}
+    picked = stored(sample, "tox-sample")
+    totals = {r["toxic"]: r["count"] for r in picked.groupBy("toxic").count().collect()}
     if 0 not in totals or 1 not in totals:
         return []
-    picked = docs.sparkSession.createDataFrame([(i, r["toxic"]) for r in sample for i in r["ids"]], "doc_id long, toxic int")
     texts = docs.join(F.broadcast(picked), "doc_id").select("text", "toxic")
     counted = texts.mapInPandas(_count_words, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (totals[1] + 1)) - F.log((F.col("clean") + 0.5) / (totals[0] + 1))

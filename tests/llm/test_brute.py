@@ -9,8 +9,9 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from loreline.llm import exact_dedup, hnsw, lm_score, mixing, pii, sentencepiece, simhash, toxicity, warc
+from loreline.llm import common, exact_dedup, hnsw, lm_score, mixing, pii, sentencepiece, simhash, toxicity, warc
 from loreline.llm.components import components
 from loreline.llm.queries import QUERIES, piece_model
 
@@ -429,3 +430,49 @@ def test_toxic_words_are_learned_from_the_training_fold(spark):
     unseen = labels.where(~toxicity.is_held_out("doc_id"))
     again = {r.doc_id: r.score for r in toxicity.toxicity(docs, unseen).collect()}
     assert again == {i: r.score for i, r in out.items()}
+
+
+# Memory of a worker
+
+
+def test_counted_words_are_passed_on_in_pieces():
+    texts = [" ".join(f"{'xyz'[i % 3]}{i + k}" for i in range(9000)) for k in (0, 4000, 50_000)]
+    batches = [pd.DataFrame({"text": texts, "toxic": [0, 1, 1]})]
+    found = list(toxicity._count_words(iter(batches)))
+    assert max(map(len, found)) <= 10_000
+    got = pd.concat(found).groupby("word")[["clean", "toxic"]].sum()
+    want = [collections.Counter(toxicity.marks_of(texts[0])), collections.Counter(m for t in texts[1:] for m in toxicity.marks_of(t))]
+    assert {w: (c, t) for w, c, t in got.itertuples()} == {w: (want[0][w], want[1][w]) for w in want[0] | want[1]}
+
+
+def test_toxic_words_are_learned_by_ids_of_any_type(spark):
+    rows = [(f"d{i}", f"plain words here {'zorgua' if i % 5 == 0 else 'calm'}", int(i % 5 == 0)) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id string, toxic int")
+    learned = dict(toxicity.learn_words(docs, toxicity.training_labels(labels), 1000))
+    assert b"zorgua " in learned and b"calm " not in learned
+
+
+def test_kept_chunks_are_bounded():
+    import sentencepiece as library
+
+    table = sentencepiece.PieceTable(piece_model())
+    model = library.SentencePieceProcessor(model_file=piece_model())
+    for gap in (" ", "  "):
+        texts = [gap.join(f"w{i}" for i in range(k, k + 20_000)) for k in range(0, 120_000, 20_000)]
+        for t in texts:
+            assert table.encode(t).tolist() == model.encode(t)
+    assert max(len(table.words), len(table.known)) <= 100_000
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    common.table(spark, SF_DIR, "documents")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"bytes": [int(batch["text"].str.len().sum())]})
+
+    wide = spark.range(0, 200, 1, 1).select(F.concat(F.repeat(F.lit("x"), 1 << 17), F.col("id").cast("string")).alias("text"))
+    found = [r.bytes for r in wide.mapInPandas(sizes, "bytes long").collect()]
+    assert sum(found) > 200 << 17
+    assert max(found) <= 5 << 20
