@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Chunks of text whose ids a worker keeps at most; the dictionary is emptied when full. A worker keeps its table
 #: for later stages too, so these add to the memory of every other operator that runs there.
-CHUNKS_KEPT = 100_000
-PAIRS_KEPT = 100_000
+CHUNKS_KEPT = 200_000
+PAIRS_KEPT = 300_000
 #: Longer chunks are encoded each time.
 CHUNK_KEPT_CHARS = 64
 #: Chunks looked up at once.
