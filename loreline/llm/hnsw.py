@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from loreline.llm.common import packed, stored
 from loreline.llm.components import components, forest
@@ -21,6 +22,8 @@ BUILD_BEAM, FIRST_BEAM, WIDEN = 40, 48, 4
 WIDEST_BEAM = 1024
 #: Nodes put into a graph at once, and cells (queries times nodes) that mark what a search has seen.
 BATCH, SEEN_CELLS = 512, 16_000_000
+#: Numbers of vectors copied out of a graph at once.
+GATHERED = 4_000_000
 #: Nodes opened for a query in one step.
 OPENED = 4
 #: Queries compared with the whole shard to audit a task's recall, and the recall it must reach.
@@ -29,23 +32,34 @@ AUDITED, RECALL = 256, 0.98
 LEAST_SHARDS, SHARD_ROWS, SHARD_BYTES = 4, 200_000, 64_000_000
 #: Queries, and bytes of them, that are put to a shard at once, and pairs verified at once.
 SLICE_ROWS, SLICE_BYTES, VERIFIED = 8192, 8_000_000, 1 << 16
+#: Bytes of a shard that are in one row, and rows of them that a task passes on at once.
+PIECE_BYTES, PIECES = 1 << 18, 16
 #: Allowance for single precision before cosines are verified in double precision.
 SLACK = 1e-4
 
 
+def spans(n: int, step: int) -> Iterator[slice]:
+    return (slice(i, i + step) for i in range(0, n, step))
+
+
 class Graph:
-    """Unit vectors (rows of `x`), and for each level the places of each node's neighbours, -1 where none."""
+    """Unit vectors (rows of `x`), and for each level the places of each node's neighbours, -1 where none.
+
+    The tables of the levels above the ground have rows only for the nodes that are above it, `row` tells which.
+    """
 
     def __init__(self, x: np.ndarray, level: np.ndarray, near: list[np.ndarray], entry: int):
         self.x, self.level, self.near, self.entry = x, level, near, entry
+        self.row = np.cumsum(level > 0, dtype=np.int32) - 1
 
     @classmethod
     def build(cls, x: np.ndarray) -> Graph:
         """Insert the rows in their order, many at a time; the order must not follow the data."""
         n = len(x)
         draw = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)).astype(float) / 2.0**53
-        level = np.minimum((-np.log(np.maximum(draw, 1e-12)) / np.log(LINKS)).astype(np.int64), 6)
-        near = [np.full((n, LINKS * (2 if k == 0 else 1)), -1, dtype=np.int32) for k in range(int(level.max()) + 1)]
+        level = np.minimum((-np.log(np.maximum(draw, 1e-12)) / np.log(LINKS)).astype(np.int8), 6)
+        above = int((level > 0).sum())
+        near = [np.full((above, LINKS) if k else (n, 2 * LINKS), -1, dtype=np.int32) for k in range(int(level.max()) + 1)]
         graph, done = cls(x, level, near, 0), 1
         while done < n:
             stop = min(n, done + min(BATCH, done))
@@ -53,6 +67,22 @@ class Graph:
             done = stop
         return graph
 
+    def rows(self, k: int, nodes: np.ndarray) -> np.ndarray:
+        """Where nodes stand in the table of a level."""
+        return self.row[nodes] if k else nodes
+
+    def products(self, q: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Of each query with its nodes, some queries at a time; -2 where there is no node."""
+        out = np.empty(ids.shape, dtype=np.float32)
+        for some in spans(len(q), max(1, GATHERED // max(1, ids.shape[1] * self.x.shape[1]))):
+            out[some] = np.einsum("nd,ncd->nc", q[some], self.x[np.maximum(ids[some], 0)])
+        out[ids < 0] = -2
+        return out
+
+    def at_once(self) -> int:
+        """Queries of a beam search at once: what they have seen and the vectors they meet in one step are bounded."""
+        return max(8, min(SEEN_CELLS // len(self.x), GATHERED // (OPENED * 2 * LINKS * self.x.shape[1])))
+
     def insert(self, new: np.ndarray) -> None:
         x = self.x[new]
         start = self.descend(x, int(self.level[self.entry]), self.level[new])
@@ -60,7 +90,8 @@ class Graph:
         np.fill_diagonal(among, -2)
         for k in range(min(int(self.level[new].max()), int(self.level[self.entry])), -1, -1):
             rows = np.flatnonzero(self.level[new] >= k)
-            ids, sims = self.beam(x[rows], start[rows, None], BUILD_BEAM, k)
+            parts = [self.beam(x[rows[some]], start[rows[some], None], BUILD_BEAM, k) for some in spans(len(rows), self.at_once())]
+            ids, sims = (np.concatenate(part) for part in zip(*parts, strict=True))
             start[rows] = ids[:, 0]
             # Nodes of the same batch are candidates too.
             own = among[np.ix_(rows, rows)]
@@ -82,6 +113,10 @@ class Graph:
 
     def chosen(self, ids: np.ndarray, sims: np.ndarray, keep: int) -> np.ndarray:
         """Of each row's candidates those no nearer to a chosen one than to the node; free places go to the nearest left."""
+        step = max(1, GATHERED // (ids.shape[1] * self.x.shape[1]))
+        return np.concatenate([self.choose(ids[some], sims[some], keep) for some in spans(len(ids), step)])
+
+    def choose(self, ids: np.ndarray, sims: np.ndarray, keep: int) -> np.ndarray:
         order = np.argsort(-sims, axis=1, kind="stable")
         ids, sims = np.take_along_axis(ids, order, axis=1), np.take_along_axis(sims, order, axis=1)
         valid = (ids >= 0) & (sims > -1.5)
@@ -104,7 +139,7 @@ class Graph:
         table = self.near[k]
         keep = table.shape[1]
         picked = self.chosen(np.where(sims > -1.5, ids, -1), sims, LINKS)
-        table[nodes, :LINKS] = picked
+        table[self.rows(k, nodes), :LINKS] = picked
         src = np.repeat(nodes, LINKS)[picked.ravel() >= 0]
         dst = picked.ravel()[picked.ravel() >= 0]
         # Links back: each target chooses anew among its neighbours and the newcomers, a bounded number at a time.
@@ -117,10 +152,9 @@ class Graph:
             place = begin[count > at][:, None] + at + np.arange(width)
             fits = place < (begin + count)[count > at][:, None]
             newer = np.where(fits, src[np.minimum(place, len(src) - 1)], -1)
-            all_ids = np.concatenate([table[some], newer], axis=1)
-            all_sims = np.einsum("nd,ncd->nc", self.x[some], self.x[np.maximum(all_ids, 0)])
-            all_sims[all_ids < 0] = -2
-            table[some] = self.chosen(all_ids, all_sims, keep)
+            all_ids = np.concatenate([table[self.rows(k, some)], newer], axis=1)
+            all_sims = self.products(self.x[some], all_ids)
+            table[self.rows(k, some)] = self.chosen(all_ids, all_sims, keep)
 
     def descend(self, q: np.ndarray, top: int, until: np.ndarray) -> np.ndarray:
         """The node reached by going to ever nearer neighbours on the levels above `until`."""
@@ -129,9 +163,8 @@ class Graph:
         for k in range(top, 0, -1):
             moving = np.flatnonzero(until < k)
             while len(moving):
-                near = self.near[k][at[moving]]
-                sims = np.einsum("nd,ncd->nc", q[moving], self.x[np.maximum(near, 0)])
-                sims[near < 0] = -2
+                near = self.near[k][self.rows(k, at[moving])]
+                sims = self.products(q[moving], near)
                 best = sims.argmax(axis=1)
                 better = sims[np.arange(len(moving)), best] > sim[moving]
                 moving, best, near, sims = moving[better], best[better], near[better], sims[better]
@@ -160,7 +193,7 @@ class Graph:
             if not len(live):
                 break
             opened[live[:, None], pick] |= can
-            near = self.near[k][np.take_along_axis(ids[live], pick, axis=1)]
+            near = self.near[k][self.rows(k, np.take_along_axis(ids[live], pick, axis=1))]
             near = np.where(can[:, :, None], near, -1).reshape(len(live), -1)
             near.sort(axis=1)
             fresh = near >= 0
@@ -185,17 +218,19 @@ class Graph:
         """All pairs (query, node) with at least this similarity, by comparison with every node, some queries at a time."""
         step = max(1, SEEN_CELLS // (4 * len(self.x)))
         for i in range(0, len(q), step):
-            r, c = np.nonzero(q[i : i + step] @ self.x.T >= least)
-            yield r + i, c
+            hit = q[i : i + step] @ self.x.T >= least
+            # Places take many times the memory of the cells.
+            for some in spans(len(hit), max(1, step // 16)):
+                r, c = np.nonzero(hit[some])
+                yield r + (i + some.start), c
 
     def within(self, q: np.ndarray, least: float, first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query, node) the search finds, some queries at a time; a beam full of hits is widened, at last to the whole shard."""
         todo, width = np.arange(len(q)), first
         while len(todo) and width <= min(WIDEST_BEAM, len(self.x)):
             full = []
-            step = max(8, SEEN_CELLS // len(self.x))
-            for i in range(0, len(todo), step):
-                some = todo[i : i + step]
+            for part in spans(len(todo), self.at_once()):
+                some = todo[part]
                 start = self.descend(q[some], int(self.level[self.entry]), np.zeros(len(some), dtype=np.int64))
                 ids, sims = self.beam(q[some], start[:, None], width)
                 hit = sims >= least
@@ -238,52 +273,95 @@ class Graph:
         sides = [x for x in ((size > 0) & (size <= FIRST_BEAM // 2), size > FIRST_BEAM // 2) if x.any()]
         return all((found[side] / size[side]).mean() >= RECALL for side in sides)
 
-    def to_bytes(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, x=self.x, level=self.level, entry=np.array(self.entry), **{f"near{k}": t for k, t in enumerate(self.near)})
-        return out.getvalue()
-
-    @classmethod
-    def from_bytes(cls, data: bytes) -> Graph:
-        kept = np.load(io.BytesIO(data))
-        return cls(kept["x"], kept["level"], [kept[f"near{k}"] for k in range(int(kept["level"].max()) + 1)], int(kept["entry"]))
-
-
-def _rows(frame: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(frame["vector"]), dtype="<f8").reshape(len(frame), -1)
-
 
 def _units(v: np.ndarray) -> np.ndarray:
-    return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-
-
-def _build(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("turn")
-    graph = Graph.build(_units(_rows(rows)))
-    return pd.DataFrame({
-        "width": [rows["width"].iloc[0]], "shard": [rows["shard"].iloc[0]], "graph": [graph.to_bytes()], "vectors": [b"".join(rows["vector"])],
-        "nodes": [rows["node"].to_numpy(dtype="<i8").tobytes()], "copies": [rows["copies"].to_numpy(dtype="<i8").tobytes()],
-    })
+    out = np.empty(v.shape, dtype=np.float32)
+    for some in spans(len(v), max(1, GATHERED // max(1, v.shape[1]))):
+        part = v[some].astype(float)
+        out[some] = part / np.linalg.norm(part, axis=1, keepdims=True)
+    return out
+
+
+def _numbers(vectors: bytes | np.ndarray, rows: int, width: int) -> np.ndarray:
+    """The vectors as they are stored, in single or double precision."""
+    return np.frombuffer(vectors, f"<f{len(vectors) // (rows * width)}").reshape(rows, width)
+
+
+def _build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A shard's graph, nodes and vectors as rows of bounded size; a row without a part ends it."""
+    turn, node, copies, vectors = [], [], [], []
+    for rows in batches:
+        width, shard = int(rows["width"].iloc[0]), int(rows["shard"].iloc[0])
+        turn.append(rows["turn"].to_numpy("<i8"))
+        node.append(rows["node"].to_numpy("<i8"))
+        copies.append(rows["copies"].to_numpy("<i8"))
+        vectors.append(b"".join(rows["vector"]))
+    order = np.argsort(np.concatenate(turn), kind="stable")
+    kept = {"nodes": np.concatenate(node)[order], "copies": np.concatenate(copies)[order]}
+    whole = _numbers(b"".join(vectors), len(order), width)
+    vectors.clear()
+    kept["vectors"] = whole[order]
+    del whole
+    graph = Graph.build(_units(kept["vectors"]))
+    kept |= {"level": graph.level} | {f"near{k}": t for k, t in enumerate(graph.near)} | {"entry": np.array([graph.entry])}
+    del graph
+    rows = [*_pieces(kept), (None, 0, 0, None)]
+    for some in spans(len(rows), PIECES):
+        part, at, size, data = zip(*rows[some], strict=True)
+        yield pd.DataFrame({"width": width, "shard": shard, "part": part, "at": at, "size": size, "data": [x if x is None else bytes(x) for x in data]})
+
+
+def _pieces(kept: dict[str, np.ndarray]) -> Iterator[tuple[str, int, int, memoryview]]:
+    for part, table in kept.items():
+        data = memoryview(np.ascontiguousarray(table).reshape(-1).view(np.uint8))
+        for some in spans(len(data), PIECE_BYTES):
+            yield part, some.start, len(data), data[some]
 
 
 def _slice(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{"q_width": rows["width"].iloc[0], "q_nodes": rows["node"].to_numpy("<i8").tobytes(), "q_vectors": b"".join(rows["vector"])}])
 
 
+class Pair(NamedTuple):
+    """A shard and a slice of queries."""
+
+    width: int
+    nodes: np.ndarray
+    copies: np.ndarray
+    vectors: np.ndarray
+    q_nodes: bytes
+    q_vectors: bytes
+
+
 def _search(cosine: float):
-    def run(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, graph = None, None
-        for batch in pairs:
-            for pair in batch.itertuples():
-                if pair.width != pair.q_width:
-                    continue
-                if (pair.width, pair.shard) != last:
-                    last, graph = (pair.width, pair.shard), Graph.from_bytes(pair.graph)
-                yield _linked(graph, pair, cosine)
+    """Rows of a shard come first, one shard after the other, then its slices, each with the row that ends the shard."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, kept, graph = None, {}, None
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if (row.width, row.shard) != last:
+                    last, kept, graph = (row.width, row.shard), {}, None
+                if row.data is not None:
+                    size, table = kept.setdefault(row.part, [0, np.empty(row.size, dtype=np.uint8)])
+                    table[row.at : row.at + len(row.data)] = np.frombuffer(row.data, np.uint8)
+                    kept[row.part][0] = size + len(row.data)
+                elif row.q_nodes is not None:
+                    graph = graph or _loaded(kept, row.width)
+                    yield _linked(graph, Pair(row.width, *(kept[x][1] for x in ("nodes", "copies", "vectors")), row.q_nodes, row.q_vectors), cosine)
 
     return run
 
 
+def _loaded(kept: dict[str, list], width: int) -> Graph:
+    """The graph of a shard; what is missing or came twice must not pass for a graph."""
+    if "entry" not in kept or any(size != len(table) for size, table in kept.values()):
+        raise RuntimeError("a shard's rows must come whole and before its slices")
+    level = kept["level"][1].view(np.int8)
+    near = [kept[f"near{k}"][1].view(np.int32).reshape(-1, LINKS if k else 2 * LINKS) for k in range(int(level.max()) + 1)]
+    return Graph(_units(_numbers(kept["vectors"][1], len(level), width)), level, near, int(kept["entry"][1].view(np.int64)[0]))
+
+
 def _linked(graph: Graph, pair, cosine: float) -> pd.DataFrame:
     """Links of a slice of queries with a shard: their number by query, and a spanning forest of them.
 
@@ -291,7 +369,7 @@ def _linked(graph: Graph, pair, cosine: float) -> pd.DataFrame:
     more memory than a few queries against the shard.
     """
     nodes, copies, asked = (np.frombuffer(x, "<i8") for x in (pair.nodes, pair.copies, pair.q_nodes))
-    v, w = (np.frombuffer(x, "<f8").reshape(-1, pair.width) for x in (pair.q_vectors, pair.vectors))
+    v, w = _numbers(pair.q_vectors, len(asked), pair.width), _numbers(pair.vectors, len(nodes), pair.width)
     order = np.argsort(nodes)
     place = order[np.minimum(np.searchsorted(nodes, asked, sorter=order), len(nodes) - 1)]
     own = np.where(nodes[place] == asked, place, -1)
@@ -299,11 +377,12 @@ def _linked(graph: Graph, pair, cosine: float) -> pd.DataFrame:
     names = np.concatenate([nodes, asked])
     spot = np.where(own >= 0, own, len(nodes) + np.arange(len(asked)))
     root, links = np.arange(len(names)), np.zeros(len(asked), dtype=np.int64)
-    long_v, long_w = (np.sqrt(np.einsum("nd,nd->n", x, x)) for x in (v, w))
+    step = max(1, min(VERIFIED, GATHERED // (4 * pair.width)))
+    long_v, long_w = _lengths(v, step), _lengths(w, step)
     for r, c in graph.audited(_units(v), cosine - SLACK, own):
-        for i in range(0, len(r), VERIFIED):
-            a, b = r[i : i + VERIFIED], c[i : i + VERIFIED]
-            exact = np.einsum("nd,nd->n", v[a], w[b]) / (long_v[a] * long_w[b]) >= cosine
+        for some in spans(len(r), step):
+            a, b = r[some], c[some]
+            exact = np.einsum("nd,nd->n", v[a].astype(float), w[b].astype(float)) / (long_v[a] * long_w[b]) >= cosine
             exact &= own[a] != b
             a, b = a[exact], b[exact]
             links += np.bincount(a, weights=copies[b].astype(float), minlength=len(v)).astype(np.int64)
@@ -317,6 +396,11 @@ def _linked(graph: Graph, pair, cosine: float) -> pd.DataFrame:
     return pd.concat([counted, joined]).astype({"node": "int64", "links": "int64", "other": "Int64"})
 
 
+def _lengths(v: np.ndarray, step: int) -> np.ndarray:
+    parts = (v[some].astype(float) for some in spans(len(v), step))
+    return np.sqrt(np.concatenate([np.einsum("nd,nd->n", x, x) for x in parts]))
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector can link: components all there and finite, and not all zero."""
     ok = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -332,14 +416,18 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     below `RECALL`; a group
     larger than the widest beam is compared with the whole shard. Nothing below the cosine is linked.
     Links are verified and added up as they are found and leave a task as sums and as a spanning forest, so no
-    task holds all pairs of a group. Shards are bounded in bytes, whatever the width of the vectors.
+    task holds all pairs of a group. Shards are bounded in bytes, whatever the width of the vectors, and go
+    from task to task in rows of `PIECE_BYTES`; only the Python worker that searches a shard holds it whole.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
     vectors of different length. Copies of a vector link with each other. A null id is never the smallest;
     it is kept where no id is known. Rows that repeat an id are counted each. Empty tables give no rows.
     """
     spark = table.sparkSession
-    rows = packed(table).select(F.col(f"row.`{id_col}`").alias("vec_id"), F.col(f"row.`{vector_col}`").cast("array<double>").alias("v"))
+    given = packed(table).select(F.col(f"row.`{id_col}`").alias("vec_id"), F.col(f"row.`{vector_col}`").alias("v"))
+    # Vectors that come in single precision are passed on as they came; all sums are in double precision.
+    number = "<f4" if given.schema["v"].dataType == ArrayType(FloatType(), given.schema["v"].dataType.containsNull) else "<f8"
+    rows = given.withColumn("v", F.col("v").cast("array<double>"))
     rows = stored(rows.select(F.monotonically_increasing_id().alias("at"), "vec_id", F.when(usable(F.col("v")), F.col("v")).alias("v")), "vectors")
     grouped = rows.where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"))
     nodes = stored(grouped.select(F.monotonically_increasing_id().alias("node"), "v", "copies", "first"), "vector-nodes")
@@ -347,7 +435,7 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     @F.pandas_udf("binary")
     def flat(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in vectors:
-            yield pd.Series([np.asarray(x, dtype="<f8").tobytes() for x in batch])
+            yield pd.Series([np.asarray(x, dtype=number).tobytes() for x in batch])
 
     n, numbers = nodes.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
     shards = max(LEAST_SHARDS, -(-n // SHARD_ROWS), -(-8 * numbers // SHARD_BYTES))
@@ -355,15 +443,18 @@ def near_vectors(table: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     turn = F.xxhash64("node", F.lit("turn"))
     dealt = nodes.select("node", "copies", F.size("v").alias("width"), flat("v").alias("vector"), turn.alias("turn"), F.pmod(turn, F.lit(shards)).cast("int").alias("shard"))
     dealt = stored(dealt, "vector-shards")
-    # Graphs are dear and slices small, so both are dealt by number, not by bytes.
-    graphs = stored(
-        dealt.repartition(shards, "width", "shard").groupBy("width", "shard").applyInPandas(_build, "width int, shard int, graph binary, vectors binary, nodes binary, copies binary"),
-        "vector-graphs",
-    )
+    # Graphs are dear and slices small, so both are dealt by number, not by bytes. The second exchange keeps a shard's rows together and in order.
+    graphs = dealt.repartitionById(shards, "shard").groupBy("width", "shard").applyInPandas(_build, "width int, shard int, part string, at long, size long, data binary")
+    graphs = graphs.repartitionById(shards, "shard")
     cut = dealt.withColumn("slice", F.pmod(F.xxhash64("node", F.lit("slice")), F.lit(slices)).cast("int"))
     asked = stored(cut.repartition(slices, "width", "slice").groupBy("width", "slice").applyInPandas(_slice, "q_width int, q_nodes binary, q_vectors binary"), "vector-slices")
-    # Queries against all shards, in blocks that tasks read from the shared folder; nothing is shuffled for it.
-    found = stored(graphs.crossJoin(asked).mapInPandas(_search(cosine), "node long, links long, other long"), "vector-links")
+    # Queries against all shards: a task has one shard and some slices, which it reads from the shared folder and does not shuffle.
+    # The shard's rows come once, with the first slice of those (its number in the partition is 0), the slices with the row that ends the shard.
+    asked = asked.withColumn("first", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0)
+    ends = F.col("part").isNull()
+    pairs = graphs.hint("shuffle_replicate_nl").join(asked, (~ends & F.col("first")) | (ends & (F.col("width") == F.col("q_width"))))
+    pairs = pairs.select(*graphs.columns, *(F.when(ends, F.col(c)).alias(c) for c in ("q_nodes", "q_vectors")))
+    found = stored(pairs.mapInPandas(_search(cosine), "node long, links long, other long"), "vector-links")
 
     links = stored(found.groupBy("node").agg(F.sum("links").alias("links")), "vector-sums")
     roots = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))).toDF("r_node", "root")

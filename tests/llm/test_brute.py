@@ -408,6 +408,62 @@ def test_wide_vectors(spark, monkeypatch):
     assert got == {i: (1, i % 60) for i in range(120)} | {500: (1, 500), 501: (1, 500)}
 
 
+def test_a_shard_goes_in_small_rows_and_comes_back_whole():
+    draw = np.random.default_rng(8)
+    v = draw.normal(size=(3000, 64)).astype("<f4")
+    v[1::2] = v[::2] + draw.normal(size=(1500, 64)).astype("<f4") * 0.02
+    rows = pd.DataFrame({"width": 64, "shard": 3, "turn": draw.permutation(3000), "node": np.arange(3000) + 7, "copies": 1, "vector": [x.tobytes() for x in v]})
+    frames = list(hnsw._build(iter([rows[:1000], rows[1000:]])))
+    made = pd.concat(frames)
+    sizes = [sum(len(x) for x in frame["data"] if x is not None) for frame in frames]
+    assert made["data"].dropna().map(len).max() <= hnsw.PIECE_BYTES and max(sizes) <= hnsw.PIECES * hnsw.PIECE_BYTES
+    # In all little more than vectors, links of the ground level, node and copies: no second copy of the vectors.
+    assert 1.05 * v.nbytes < sum(sizes) < 3000 * (64 * 4 + 24 * 4 + 16) * 1.1
+    assert made["part"].isna().tolist() == [False] * (len(made) - 1) + [True]
+
+    asked = [hnsw._slice(rows[i : i + 1500]).iloc[0] for i in (0, 1500)]
+    plain = made[:-1].assign(q_nodes=None, q_vectors=None)
+    ends = pd.concat([made[-1:].assign(q_nodes=[x.q_nodes], q_vectors=[x.q_vectors]) for x in asked])
+    found = pd.concat(hnsw._search(0.95)(iter([plain[:5], plain[5:], ends])))
+    links = found.groupby("node")["links"].sum()
+    assert (links > 0).sum() >= 0.98 * 3000 and links.max() == 1
+    assert all(((r.node - 7) ^ 1) == r.other - 7 for r in found[found["other"].notna()].itertuples())
+    for broken in (plain[:-1], pd.concat([plain, plain[:1]])):
+        with pytest.raises(RuntimeError, match="whole"):
+            list(hnsw._search(0.95)(iter([broken, ends])))
+
+
+def test_graphs_of_wide_vectors_take_little_memory():
+    import tracemalloc
+
+    draw = np.random.default_rng(9)
+    x = draw.normal(size=(1500, 1024)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tracemalloc.start()
+    graph = hnsw.Graph.build(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # What 512 nodes meet in one step would take 200 MB.
+    assert peak < 100e6
+    assert all(len(table) == (graph.level > 0).sum() for table in graph.near[1:])
+
+
+def test_shards_of_several_rows_meet_slices_of_several_partitions(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SLICE_BYTES", 400_000)
+    draw = np.random.default_rng(10)
+    v = draw.normal(size=(300, 2048)).astype(np.float32)
+    v[150:] = v[:150] + draw.normal(size=(150, 2048)).astype(np.float32) * 0.05
+    assert v.nbytes / hnsw.LEAST_SHARDS > 2 * hnsw.PIECE_BYTES
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(500, [1.0, 2.0]), (501, [1.0, 2.001]), (502, [])]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600k")
+    try:
+        got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {i: (1, i % 150) for i in range(300)} | {500: (1, 500), 501: (1, 500), 502: (0, 502)}
+
+
 # Toxicity
 
 
